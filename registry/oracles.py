@@ -123,7 +123,7 @@ def user_spectrum(config, count):
 def complete(spec, lo, hi, width, by=()):
     """Spectrum ``spec`` on the grid between two scalar expressions over it."""
     keys = [*by, "vin"]
-    bounds = f"SELECT {''.join(b + ', ' for b in by)}{lo} AS lo, {hi} AS hi FROM x"
+    bounds = f"SELECT DISTINCT {''.join(b + ', ' for b in by)}{lo} AS lo, {hi} AS hi FROM x"
     bounds += f" GROUP BY {', '.join(by)}" if by else ""
     on = " AND ".join(f"v.{b} = b.{b}" for b in by) or "TRUE"
     return f"""
