@@ -24,11 +24,15 @@ SLICE_S = 3600
 UNTIMED_SLICES = 4096
 
 
+def slice_start(seconds: Column, slice_s: int) -> Column:
+    return seconds - F.pmod(seconds, F.lit(slice_s))
+
+
 def time_slice(order: str, slice_s: int, spread_by: Sequence[str]) -> Column:
-    """Number of the time slice of a row."""
+    """The second at which a row's time slice starts."""
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(UNTIMED_SLICES))
-    numbered = F.floor(epoch_seconds(F.col(order)) / F.lit(slice_s))
-    return F.coalesce(numbered, F.lit(-(2**62)) + spread).cast("bigint")
+    started = slice_start(epoch_seconds(F.col(order)), slice_s)
+    return F.coalesce(started, F.lit(-(2**62)) + spread).cast("bigint")
 
 
 def with_previous(
@@ -112,13 +116,14 @@ def hold_last_valid(
 
     reach = max(r.limit_s for r in held)
     slice_s = slice_s or max(SLICE_S, 4 * reach)
-    ts = epoch_seconds(F.col(order))
     any_valid = reduce(Column.__or__, [valid[r.output].isNotNull() for r in held])
     home = time_slice(order, slice_s, [key, *(r.signal for r in held), *tie])
-    until = F.when(any_valid, F.floor((ts + F.lit(reach)) / F.lit(slice_s)))
-    slices = F.when(F.col(order).isNull(), F.array(F.col("__home"))).otherwise(
-        F.sequence(F.col("__home"), F.coalesce(until.cast("bigint"), F.col("__home")))
-    )
+    until = slice_start(epoch_seconds(F.col(order)) + F.lit(reach), slice_s)
+    # A row without a time stamp has no "until" and stays where it is.
+    slices = F.when(
+        any_valid & until.isNotNull(),
+        F.sequence(F.col("__home"), until.cast("bigint"), F.lit(slice_s).cast("bigint")),
+    ).otherwise(F.array(F.col("__home")))
     spread = df.withColumn("__home", home).withColumn(SLICE, F.explode(slices))
 
     window = (

@@ -137,7 +137,8 @@ def _cell_number(spec: SpectrumSpec, first: int) -> Column:
     for axis, slots in zip(spec.axes, _slots(spec)):
         number = bin_number(axis, spec.out_of_range)
         if spec.keep_null:
-            number = F.coalesce(number, F.lit(axis.bins))
+            unread = F.col(f"`{axis.signal}`").isNull()
+            number = F.when(unread, F.lit(axis.bins)).otherwise(number)
         cell = cell * F.lit(slots) + number
     return cell + F.lit(first)
 
