@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+STEP = 1e6
 
-def exact_sum(value: Column, digits: int = 9, over: WindowSpec | None = None) -> Column:
-    """Sum of doubles, kept in whole ``10**-digits`` steps in a bigint.
+
+def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
+    """Sum of doubles, to twelve decimals, the same in any order.
 
     Adding doubles gives other last digits whenever partitions arrive in
-    another order or a lost task runs again; whole numbers do not. A single
-    sum may reach ``9.2 * 10**(18 - digits)``; beyond that Spark's ANSI mode
-    raises. NaN counts as missing.
+    another order or a lost task runs again. Whole numbers do not, so millionths
+    and the millionths of what is left are added as two bigints. A sum may
+    reach ``9.2e12``; beyond that Spark's ANSI mode raises. NaN counts as
+    missing.
     """
-    scale = float(10**digits)
-    steps = F.rint(F.nanvl(value.cast("double"), F.lit(None)) * scale).cast("bigint")
-    total = F.sum(steps)
-    return (total if over is None else total.over(over)) / F.lit(scale)
+    scaled = F.nanvl(value.cast("double"), F.lit(None)) * F.lit(STEP)
+    whole = F.rint(scaled)
+    parts = [whole.cast("bigint"), F.rint((scaled - whole) * F.lit(STEP)).cast("bigint")]
+    high, low = [F.sum(part) if over is None else F.sum(part).over(over) for part in parts]
+    return (high + low / F.lit(STEP)) / F.lit(STEP)
 
 
-def exact_avg(value: Column, digits: int = 9) -> Column:
+def exact_avg(value: Column) -> Column:
     """Mean over the rows that have a value; null when none has."""
     value = F.nanvl(value.cast("double"), F.lit(None))
-    return F.try_divide(exact_sum(value, digits), F.count(value))
+    return F.try_divide(exact_sum(value), F.count(value))

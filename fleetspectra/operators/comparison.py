@@ -16,11 +16,10 @@ def weighted_fleet_average(
     values: Sequence[str],
     weight: str,
     by: Sequence[str] = ("sales_group",),
-    digits: int = 6,
 ) -> DataFrame:
     """Means per group, weighted by mileage or time."""
     return stats.groupBy(*by).agg(
-        *[weighted_mean(F.col(v), F.col(weight), digits).alias(v) for v in values]
+        *[weighted_mean(F.col(v), F.col(weight)).alias(v) for v in values]
     )
 
 

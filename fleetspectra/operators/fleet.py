@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from fleetspectra.functions.numeric import exact_avg, exact_sum
 from fleetspectra.operators.grid import normalize_spectra
 
-# Shares are at most 1, so sums may carry twelve digits for nine million vehicles.
-SHARE_DIGITS = 12
-
-
 def _shares(
     spectra_df: DataFrame, bin_col: str, key: str, by: Sequence[str]
 ) -> DataFrame:
@@ -35,7 +31,7 @@ def fleet_average(
     A vehicle whose total is 0 has no shares and is left out of the mean.
     """
     shares = _shares(spectra_df, bin_col, key, by)
-    mean = exact_avg(F.col("norm_count"), SHARE_DIGITS)
+    mean = exact_avg(F.col("norm_count"))
     return shares.groupBy(*by, "x_bin").agg(mean.alias("avg_norm_count"))
 
 
@@ -69,16 +65,16 @@ def fleet_before_after(
     flags = outliers.select(*keys).distinct().withColumn("__out", F.lit(1))
     shares = _shares(spectra_df, bin_col, key, by).join(flags, keys, "left")
     return shares.groupBy(*by, "x_bin").agg(
-        exact_avg(F.col("norm_count"), SHARE_DIGITS).alias("avg_before"),
-        exact_avg(F.when(F.col("__out").isNull(), F.col("norm_count")), SHARE_DIGITS).alias(
+        exact_avg(F.col("norm_count")).alias("avg_before"),
+        exact_avg(F.when(F.col("__out").isNull(), F.col("norm_count"))).alias(
             "avg_after"
         ),
     )
 
 
-def weighted_mean(value: Column, weight: Column, digits: int) -> Column:
+def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean of ``value`` weighted by ``weight``, where both are known."""
     both = value.isNotNull() & weight.isNotNull()
     return F.try_divide(
-        exact_sum(F.when(both, value * weight), digits), exact_sum(F.when(both, weight), digits)
+        exact_sum(F.when(both, value * weight)), exact_sum(F.when(both, weight))
     )

@@ -130,25 +130,21 @@ def _edge_key(edge: Column) -> Column:
     return F.rint(edge * F.lit(EDGE_STEPS)).cast("bigint")
 
 
-def total_distance(
-    spectra_df: DataFrame, keys: Sequence[str] = ("vin",), digits: int = 9
-) -> DataFrame:
+def total_distance(spectra_df: DataFrame, keys: Sequence[str] = ("vin",)) -> DataFrame:
     """Sum of the counts per vehicle."""
-    total = exact_sum(F.col("count"), digits)
-    return spectra_df.groupBy(*keys).agg(total.alias("total_distance"))
+    return spectra_df.groupBy(*keys).agg(exact_sum(F.col("count")).alias("total_distance"))
 
 
 def normalize_spectra(
     spectra_df: DataFrame,
     keys: Sequence[str] = ("vin",),
     output: str = "normalized_count",
-    digits: int = 9,
 ) -> DataFrame:
     """Counts as shares of the vehicle's total; null when the total is 0.
 
     The window holds one vehicle's bins, as many rows as its axes have bins.
     """
-    total = exact_sum(F.col("count"), digits, over=W.partitionBy(*keys))
+    total = exact_sum(F.col("count"), over=W.partitionBy(*keys))
     return spectra_df.withColumn(output, F.try_divide(F.col("count"), total))
 
 

@@ -185,7 +185,6 @@ def weight_matrix(
     width: float = WEIGHT_WIDTH,
     key: str = "vin",
     label: str = "x1_interval",
-    digits: int = 9,
 ) -> DataFrame:
     """One row per vehicle, one column ``bin_<centre>`` per bin of the range.
 
@@ -197,7 +196,7 @@ def weight_matrix(
         spectra_df.select(key, bin_center(F.col(label)).alias("__center"), "count")
         .groupBy(key)
         .pivot("__center", centers)
-        .agg(exact_sum(F.col("count"), digits))
+        .agg(exact_sum(F.col("count")))
     )
     return wide.select(
         key,
@@ -215,7 +214,6 @@ def zero_mass_outliers(
     key: str = "vin",
     by: str = "sales_group",
     label: str = "x1_interval",
-    digits: int = 9,
 ) -> DataFrame:
     """Vehicles with no weight inside the range, with the groups they are in.
 
@@ -225,7 +223,7 @@ def zero_mass_outliers(
     center = bin_center(F.col(label))
     inside = (center > F.lit(float(lo))) & (center < F.lit(float(hi)))
     aligned = F.floor((center - F.lit(float(lo))) / F.lit(float(width))) * width + lo + width / 2
-    mass = exact_sum(F.when(inside & (center == aligned), F.col("count")), digits)
+    mass = exact_sum(F.when(inside & (center == aligned), F.col("count")))
     per_group = spectra_df.groupBy(key, by).agg(F.coalesce(mass, F.lit(0.0)).alias("__mass"))
-    total = exact_sum(F.col("__mass"), digits, over=W.partitionBy(key))
+    total = exact_sum(F.col("__mass"), over=W.partitionBy(key))
     return per_group.select(key, by, total.alias("__total")).where("__total = 0").select(key, by)

@@ -48,7 +48,6 @@ def spectra(
     distance: str = "distance_via_speed_km",
     time: str = "timestamp",
     group_by: Sequence[str] = ("vin",),
-    digits: int = 9,
 ) -> DataFrame:
     """All spectra of ``specs`` from one scan of the signals.
 
@@ -79,7 +78,7 @@ def spectra(
     if "time" in weights:
         totals["time"] = F.count(F.col(f"`{time}`"))
     if "distance" in weights:
-        totals["distance"] = exact_sum(F.col(f"`{distance}`"), digits)
+        totals["distance"] = exact_sum(F.col(f"`{distance}`"))
     grouped = binned.groupBy(*group_by, "__cell").agg(
         *[total.alias(f"__{weight}") for weight, total in totals.items()]
     )
@@ -208,7 +207,6 @@ def rebin_spectra(
     start: float,
     width: float,
     keys: Sequence[str] = ("vin",),
-    digits: int = 9,
 ) -> DataFrame:
     """Merge each ``factor`` neighbouring bins of a one-axis spectrum."""
     wide = width * factor
@@ -216,7 +214,7 @@ def rebin_spectra(
         F.rint((F.col("x1_quantized") - F.lit(float(start))) / F.lit(float(width))) / F.lit(factor)
     )
     merged = spectra_df.groupBy(*keys, number.cast("int").alias("__b")).agg(
-        exact_sum(F.col("count"), digits).alias("count")
+        exact_sum(F.col("count")).alias("count")
     )
     lo = lower_edge(F.col("__b"), start, wide)
     hi = lower_edge(F.col("__b") + 1, start, wide)

@@ -48,8 +48,8 @@ def vehicle_stats(
     driving = speed > 0
     stats = {
         "distance_via_speed_km": exact_sum(km),
-        "vehicle_speed_avg_driving_kmh": exact_avg(F.when(driving, speed), 6),
-        "vehicle_speed_avg_kmh": exact_avg(speed, 6),
+        "vehicle_speed_avg_driving_kmh": exact_avg(F.when(driving, speed)),
+        "vehicle_speed_avg_kmh": exact_avg(speed),
         "vehicle_speed_max_kmh": F.max(speed),
     }
     if names.fuel_flow:
@@ -59,9 +59,9 @@ def vehicle_stats(
         weight = F.col(f"`{names.weight}`").cast("double")
         both = weight.isNotNull() & km.isNotNull()
         stats["weight_distance_based_kg"] = F.try_divide(
-            exact_sum(F.when(both, weight * km), 6), exact_sum(F.when(both, km))
+            exact_sum(F.when(both, weight * km)), exact_sum(F.when(both, km))
         )
-        stats["weight_avg_kg"] = exact_avg(weight, 6)
+        stats["weight_avg_kg"] = exact_avg(weight)
         stats["weight_min_kg"] = F.min(weight)
         stats["weight_max_kg"] = F.max(weight)
     if names.gradient:

@@ -10,14 +10,16 @@ GROUP_K = 0.5
 PERIOD = ("1996-01-01 00:00:00", "1998-01-01 00:00:00")
 
 
-def total(x: str, digits: int = 9, over: str = "") -> str:
-    """Sum in whole steps of ``10**-digits``."""
-    steps = f"sum(CAST(({x}) * 1e{digits} AS BIGINT)){over}"
-    return f"(CAST({steps} AS BIGINT) / 1e{digits})"
+def total(x: str, over: str = "") -> str:
+    """Sum in millionths, and in millionths of what is left of them."""
+    high = f"CAST(({x}) * 1e6 AS BIGINT)"
+    low = f"CAST((({x}) * 1e6 - {high}) * 1e6 AS BIGINT)"
+    high, low = (f"CAST(sum({part}){over} AS BIGINT)" for part in (high, low))
+    return f"(({high} + {low} / 1e6) / 1e6)"
 
 
-def mean(x: str, digits: int = 9) -> str:
-    return f"({total(x, digits)} / nullif(count({x}), 0))"
+def mean(x: str) -> str:
+    return f"({total(x)} / nullif(count({x}), 0))"
 
 
 def label(lo: str, hi: str) -> str:
@@ -155,8 +157,8 @@ n AS (
 USER_STATS = f"""
 t AS (
   SELECT vin, {total('speed * 3600.0 / 3600.0')} AS distance_via_speed_km,
-         {mean('CASE WHEN speed > 0 THEN speed END', 6)} AS vehicle_speed_avg_driving_kmh,
-         {mean('speed', 6)} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh
+         {mean('CASE WHEN speed > 0 THEN speed END')} AS vehicle_speed_avg_driving_kmh,
+         {mean('speed')} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh
   FROM u GROUP BY vin),
 st AS (SELECT t.*, c_mktsegment AS sales_group FROM t JOIN customer ON c_custkey = t.vin),
 kept AS (SELECT * FROM st WHERE distance_via_speed_km >= {USER_MIN_KM}),
@@ -185,12 +187,12 @@ def vehicle_stats(group):
          (fuel_kg / 0.84) / nullif(distance_via_speed_km, 0) * 100.0 AS fuel_l_per_100km
   FROM (
     SELECT {keys}, {total('km')} AS distance_via_speed_km,
-      {mean('CASE WHEN speed > 0 THEN speed END', 6)} AS vehicle_speed_avg_driving_kmh,
-      {mean('speed', 6)} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh,
+      {mean('CASE WHEN speed > 0 THEN speed END')} AS vehicle_speed_avg_driving_kmh,
+      {mean('speed')} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh,
       {total('fuel_flow * 1.0 / 3600.0')} AS fuel_kg,
-      {total(f'CASE WHEN {both} THEN weight * km END', 6)}
+      {total(f'CASE WHEN {both} THEN weight * km END')}
         / nullif({total(f'CASE WHEN {both} THEN km END')}, 0) AS weight_distance_based_kg,
-      {mean('weight', 6)} AS weight_avg_kg, min(weight) AS weight_min_kg,
+      {mean('weight')} AS weight_avg_kg, min(weight) AS weight_min_kg,
       max(weight) AS weight_max_kg, {mean(slope)} AS road_gradient_avg,
       {mean(f'abs({slope})')} AS road_gradient_abs_avg,
       round(stddev_samp({slope}), 6) AS road_gradient_stddev
@@ -214,11 +216,11 @@ x AS ({spectrum(2, [WEIGHT], 'TRUE', DIST, source='w', group=('vin', 'sales_grou
 PARAMETERS = ["fuel_l_per_100km", "weight_avg_kg", "vehicle_speed_avg_driving_kmh"]
 
 
-def weighted(value, weight, digits=6):
+def weighted(value, weight):
     both = f"{value} IS NOT NULL AND {weight} IS NOT NULL"
     return (
-        f"{total(f'CASE WHEN {both} THEN {value} * {weight} END', digits)}"
-        f" / nullif({total(f'CASE WHEN {both} THEN {weight} END', digits)}, 0)"
+        f"{total(f'CASE WHEN {both} THEN {value} * {weight} END')}"
+        f" / nullif({total(f'CASE WHEN {both} THEN {weight} END')}, 0)"
     )
 
 
@@ -461,7 +463,7 @@ z AS (SELECT vin FROM x GROUP BY vin HAVING coalesce(sum(
         CASE WHEN x1_quantized >= 12000 AND x1_quantized < 50000 THEN count END), 0) = 0)
 SELECT DISTINCT vin, sales_group FROM x WHERE vin IN (SELECT vin FROM z)"""
 
-    mean_share = mean("norm_count", 12)
+    mean_share = mean("norm_count")
     out["fleet_average"] = f"""
 WITH {REGIONAL},{shares('cg', 'interval_start', ['vin'])}
 SELECT x_bin, {mean_share} AS avg_norm_count FROM n GROUP BY 1"""
@@ -478,7 +480,7 @@ SELECT sales_group, x_bin, vin, norm_count, avg_norm_count FROM n JOIN a USING (
 WITH {GROUPED},{shares('x', 'x1_quantized', ['sales_group', 'vin'])},
 p AS (SELECT n.*, d.vin AS out_vin FROM n LEFT JOIN (SELECT DISTINCT vin, sales_group FROM o) d
       USING (vin, sales_group))
-SELECT sales_group, x_bin, {mean_share} AS avg_before, {mean(after, 12)} AS avg_after
+SELECT sales_group, x_bin, {mean_share} AS avg_before, {mean(after)} AS avg_after
 FROM p GROUP BY 1, 2"""
     out["weighted_fleet_average"] = f"WITH {REGIONAL_STATS} SELECT * FROM r"
     long = " UNION ALL ".join(

@@ -12,6 +12,7 @@ from fleetspectra.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "4000")
     yield session
 
 
@@ -31,12 +32,15 @@ def setting(spark):
     before = {}
 
     def change(key, value):
-        before[key] = spark.conf.get(key)
+        before[key] = spark.conf.get(key, None)
         spark.conf.set(key, value)
 
     yield change
     for key, value in before.items():
-        spark.conf.set(key, value)
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
 
 
 @pytest.fixture

@@ -125,6 +125,6 @@ def test_sums_do_not_depend_on_order(frame):
 
 
 def test_sum_too_large_is_an_error_not_a_wrong_number(frame):
-    df = frame("x double", (9e9,), (9e9,))
+    df = frame("x double", (9e12,), (9e12,))
     with pytest.raises(Exception, match="(?i)overflow"):
         df.agg(exact_sum(F.col("x"))).collect()
