@@ -11,54 +11,53 @@ from fleetspectra.spec import Axis
 SIGNED_EDGE = r"[+-]?\d+(?:\.\d+)?"
 UNSIGNED_EDGE = r"\d+(?:\.\d+)?"
 
-FRACTION = "decimal(28,10)"
+# Fractional edges use decimals: 0.3 / 0.1 is 2.999... in doubles.
+FRACTION = "DECIMAL(18,9)"
 
 
-def on_axis(axis: Axis, out_of_range: str = "drop", keep_null: bool = False) -> Column:
-    """True for the rows that get a bin."""
-    x = F.col(f"`{axis.signal}`")
+def _number(value: float, whole: bool) -> str:
+    return f"CAST({float(value)!r} AS DOUBLE)" if whole else f"CAST('{value}' AS {FRACTION})"
+
+
+def on_axis(axis: Axis, out_of_range: str = "drop", keep_null: bool = False) -> str:
+    """SQL test for the rows that get a bin."""
+    x = f"`{axis.signal}`"
     if out_of_range == "clip":
-        inside = x.isNotNull() & ~F.isnan(x.cast("double"))
+        inside = f"({x} IS NOT NULL AND NOT isnan({x}))"
     else:
-        inside = (x >= F.lit(axis.start)) & (x < F.lit(axis.stop))
-    return inside | x.isNull() if keep_null else inside
+        lo, hi = _number(axis.start, True), _number(axis.stop, True)
+        inside = f"({x} >= {lo} AND {x} < {hi})"
+    return f"({inside} OR {x} IS NULL)" if keep_null else inside
 
 
-def bin_number(axis: Axis, out_of_range: str = "drop") -> Column:
-    """0 for the first bin, for rows ``on_axis``."""
-    x = F.col(f"`{axis.signal}`")
-    if axis.whole:
-        steps = (x.cast("double") - F.lit(float(axis.start))) / F.lit(float(axis.width))
-    else:
-        # 0.3 / 0.1 is 2.999... in doubles, so fractional edges use decimals.
-        start = F.lit(str(axis.start)).cast(FRACTION)
-        width = F.lit(str(axis.width)).cast(FRACTION)
-        steps = (x.cast(FRACTION) - start) / width
-    last = F.lit(axis.bins - 1)
-    number = F.least(F.floor(steps).cast("int"), last)
+def bin_number(axis: Axis, out_of_range: str = "drop") -> str:
+    """SQL for the bin, 0 being the first, of rows ``on_axis``."""
+    x, kind = f"`{axis.signal}`", "DOUBLE" if axis.whole else FRACTION
+    start, width = _number(axis.start, axis.whole), _number(axis.width, axis.whole)
+    last = axis.bins - 1
+    number = f"least(CAST(floor((CAST({x} AS {kind}) - {start}) / {width}) AS INT), {last})"
     if out_of_range == "clip":
-        below, above = x < F.lit(axis.start), x >= F.lit(axis.stop)
-        number = F.when(below, F.lit(0)).when(above, last).otherwise(number)
+        lo, hi = _number(axis.start, True), _number(axis.stop, True)
+        number = f"CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN {last} ELSE {number} END"
     return number
 
 
-def lower_edge(number: Column, start: float, width: float) -> Column:
-    """Lower edge of a bin as a double."""
-    if float(start).is_integer() and float(width).is_integer():
-        return F.lit(float(start)) + number * F.lit(float(width))
-    exact = F.lit(str(start)).cast(FRACTION) + number * F.lit(str(width)).cast(FRACTION)
-    return exact.cast("double")
+def lower_edge(number: str, start: float, width: float) -> str:
+    """SQL for the lower edge, a double, of the bin given by an int expression."""
+    whole = float(start).is_integer() and float(width).is_integer()
+    edge = f"{_number(start, whole)} + {number} * {_number(width, whole)}"
+    return f"CAST({edge} AS DOUBLE)"
 
 
-def edge_text(edge: Column) -> Column:
+def _edge_text(edge: str) -> str:
     """Whole edges without a decimal point, others as they are."""
-    whole = edge.cast("bigint")
-    return F.when(whole == edge, whole.cast("string")).otherwise(edge.cast("string"))
+    whole = f"CAST({edge} AS BIGINT)"
+    return f"IF({whole} = {edge}, CAST({whole} AS STRING), CAST({edge} AS STRING))"
 
 
-def interval_label(lo: Column, hi: Column) -> Column:
-    """``[lo,hi)``; null when the bin has no edges."""
-    return F.concat(F.lit("["), edge_text(lo), F.lit(","), edge_text(hi), F.lit(")"))
+def interval_label(lo: str, hi: str) -> Column:
+    """``[lo,hi)`` from two columns; null when the bin has no edges."""
+    return F.expr(f"concat('[', {_edge_text(lo)}, ',', {_edge_text(hi)}, ')')")
 
 
 def interval_start(label: Column, signed: bool = True) -> Column:

@@ -44,7 +44,9 @@ def vehicle_vs_fleet(
     """Each vehicle's share next to its fleet's mean: the lines of a chart."""
     shares = _shares(spectra_df, bin_col, key, by)
     average = fleet_average(spectra_df, by, bin_col, key)
-    return shares.select(*by, key, "x_bin", "norm_count").join(average, [*by, "x_bin"])
+    return shares.select(*by, key, "x_bin", "norm_count").join(
+        average, [*by, "x_bin"], "left"
+    )
 
 
 def fleet_before_after(

@@ -13,8 +13,8 @@ from fleetspectra.functions.numeric import exact_sum
 
 Limit = float | str | tuple[str, float]
 
-# Bin edges are matched in millionths, so edges computed differently still meet.
-EDGE_STEPS = 1e6
+# Edges that differ by less than this part of a bin are the same edge.
+EDGE_TOLERANCE = "1e-6"
 
 
 def grid_bounds(
@@ -69,8 +69,15 @@ def complete_spectra(
     A limit is a number, ``"min"`` or ``"max"`` of the data, or ``("p", 0.99)``
     for a quantile of the upper edges; limits from data are taken per ``by``
     group. Rows outside the grid vanish. Other columns are null on filled
-    rows. The bins are generated per vehicle, nothing is collected.
+    rows.
+
+    A vehicle's first row also brings its empty grid, and those bins the
+    vehicle has rows for are dropped again. So the spectra are read once and
+    shuffled once, by vehicle. Limits from data need one more reading: pass a
+    stored table then.
     """
+    keys = [*by, key]
+    rows = spectra_df
     data_limits = {
         name: agg
         for name, agg in {
@@ -79,55 +86,64 @@ def complete_spectra(
         }.items()
         if agg is not None
     }
-    vehicles = spectra_df.select(*by, key).distinct()
     if data_limits and by:
         limits = spectra_df.groupBy(*by).agg(*[a.alias(n) for n, a in data_limits.items()])
-        vehicles = vehicles.join(limits, list(by))
-        bound = {name: F.col(name) for name in data_limits}
-    else:
-        bound = {n: spectra_df.agg(a.alias(n)).scalar() for n, a in data_limits.items()}
-    lo_col = bound.get("__lo", F.lit(lo)).cast("double")
-    hi_col = bound.get("__hi", F.lit(hi)).cast("double")
-
-    count = F.ceil(F.round((hi_col - lo_col) / F.lit(float(width)), 9)).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    if "__lo" in bound:
-        first = lo_col + F.col("__n") * F.lit(float(width))
-        after = lo_col + (F.col("__n") + 1) * F.lit(float(width))
+        rows = rows.join(limits, list(by))
     else:
-        first = lower_edge(F.col("__n"), lo, width)
-        after = lower_edge(F.col("__n") + 1, lo, width)
-    grid = vehicles.select(
-        *[c for c in vehicles.columns if c != "__hi"], F.explode(numbers).alias("__n")
-    ).select(
-        *by,
-        key,
-        first.alias("interval_start"),
-        after.alias("interval_end"),
-        interval_label(first, after).alias("x1_interval"),
-        _edge_key(first).alias("__edge"),
+        for name, agg in data_limits.items():
+            rows = rows.withColumn(name, spectra_df.agg(agg.alias(name)).scalar())
+    for name, limit in {"__lo": lo, "__hi": hi}.items():
+        if name not in data_limits:
+            rows = rows.withColumn(name, F.lit(float(limit)))
+
+    first_row = W.partitionBy(*keys).orderBy(start)
+    size = f"CAST(ceil(round((__hi - __lo) / {float(width)!r}, 9)) AS INT)"
+    rows = rows.select(
+        "*",
+        F.expr(size).alias("__size"),
+        _own_bin(start, width).alias("__own"),
+        (F.row_number().over(first_row) == 1).alias("__first"),
+    )
+    # A seed is an empty bin; the row itself goes along as a null.
+    seeds = "concat(sequence(0, __size - 1), array(CAST(NULL AS INT)))"
+    seeds = f"IF(__first AND __size > 0, {seeds}, array(CAST(NULL AS INT)))"
+    spread = rows.select("*", F.expr(f"explode({seeds})").alias("__seed"))
+    spread = spread.select("*", F.coalesce("__seed", "__own").alias("__n"))
+    filled = F.col("__seed").isNotNull()
+    taken = F.count(F.when(~filled, F.lit(1))).over(W.partitionBy(*keys, "__n"))
+    kept = (
+        spread.where("__n >= 0 AND __n < __size")
+        .select("*", taken.alias("__taken"))
+        .where(~filled | (F.col("__taken") == 0))
     )
     rest = [
-        c
-        for c in spectra_df.columns
-        if c not in (*by, key, start, upper, "x1_interval", "count")
+        c for c in spectra_df.columns if c not in (*keys, start, upper, "x1_interval", "count")
     ]
-    counts = spectra_df.select(
-        *by, key, _edge_key(F.col(start)).alias("__edge"), *rest, F.col("count").alias("__count")
+    if "__lo" in data_limits:
+        edges = [f"__lo + {n} * {float(width)!r}" for n in ("__n", "(__n + 1)")]
+    else:
+        edges = [lower_edge(n, lo, width) for n in ("__n", "(__n + 1)")]
+    out = kept.select(
+        *keys,
+        F.expr(f"CAST({edges[0]} AS DOUBLE)").alias("interval_start"),
+        F.expr(f"CAST({edges[1]} AS DOUBLE)").alias("interval_end"),
+        *[F.when(~filled, F.col(f"`{c}`")).alias(c) for c in rest],
+        F.when(filled, F.lit(0.0)).otherwise(F.coalesce("count", F.lit(0.0))).alias("count"),
     )
-    return grid.join(counts, [*by, key, "__edge"], "left").select(
-        *by,
-        key,
-        "x1_interval",
+    return out.select(
+        *keys,
+        interval_label("interval_start", "interval_end").alias("x1_interval"),
         "interval_start",
         "interval_end",
         *rest,
-        F.coalesce("__count", F.lit(0.0)).alias("count"),
+        "count",
     )
 
 
-def _edge_key(edge: Column) -> Column:
-    return F.rint(edge * F.lit(EDGE_STEPS)).cast("bigint")
+def _own_bin(start: str, width: float) -> Column:
+    """Bin of the grid a row lies on; null when its edge is not one of the grid's."""
+    steps = f"(`{start}` - __lo) / {float(width)!r}"
+    return F.expr(f"IF(abs({steps} - rint({steps})) < {EDGE_TOLERANCE}, CAST(rint({steps}) AS INT), NULL)")
 
 
 def total_distance(spectra_df: DataFrame, keys: Sequence[str] = ("vin",)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,11 +68,12 @@ def spectra(
     if len(layout) == 1:
         # As a filter of its own, the test reaches the scan.
         _, spec, first = layout[0]
-        binned = df.where(_counted(spec)).withColumn("__cell", _cell_number(spec, first))
+        counted = df.where(_counted(spec))
+        binned = counted.select("*", F.expr(_cell_number(spec, first)).alias("__cell"))
     else:
-        cells = [F.when(_counted(s), _cell_number(s, first)) for _, s, first in layout]
-        binned = df.withColumn("__cell", F.explode(F.array(*cells)))
-        binned = binned.where(F.col("__cell").isNotNull())
+        cells = [f"IF({_counted(s)}, {_cell_number(s, first)}, NULL)" for _, s, first in layout]
+        binned = df.select("*", F.expr(f"explode(array({', '.join(cells)}))").alias("__cell"))
+        binned = binned.where("__cell IS NOT NULL")
 
     totals = {}
     if "time" in weights:
@@ -82,22 +83,25 @@ def spectra(
     grouped = binned.groupBy(*group_by, "__cell").agg(
         *[total.alias(f"__{weight}") for weight, total in totals.items()]
     )
-    counts = F.array(*[F.col(f"__{weight}").cast("double") for weight in totals])
+    counts = ", ".join(
+        f"named_struct('id', {config_id(0, weight)}, 'count', CAST(__{weight} AS DOUBLE))"
+        for weight in totals
+    )
     rows = grouped.select(
         *group_by,
-        _spec_of_cell(layout).alias("__spec"),
-        F.col("__cell"),
-        F.posexplode(counts).alias("__weight", "count"),
+        "__cell",
+        F.expr(_by_cell(layout, lambda position, *_: str(position))).alias("__spec"),
+        F.expr(f"explode(array({counts}))").alias("__w"),
     )
-    by_weight = [config_id(0, weight) for weight in totals]
-    offset = F.when(F.col("__weight") == 0, by_weight[0]).otherwise(by_weight[-1])
-    for d in range(dims):
-        rows = _with_axis(rows, layout, d)
+    parts = [_axis_columns(layout, d) for d in range(dims)]
+    rows = rows.select("*", *[number for number, _, _ in parts])
+    rows = rows.select("*", *[column for _, columns, _ in parts for column in columns])
+    rows = rows.select("*", *[label for _, _, label in parts])
     return rows.select(
-        (F.col("__spec") * 2 + offset).cast("int").alias("ls_config_id"),
+        F.expr("CAST(__spec * 2 + __w.id AS INT)").alias("ls_config_id"),
         *group_by,
         *[f"x{d + 1}_{part}" for d in range(dims) for part in _PARTS],
-        "count",
+        "__w.count",
     )
 
 
@@ -123,64 +127,56 @@ def _cell_layout(usable: Sequence[tuple[int, SpectrumSpec]]) -> Layout:
     return layout
 
 
-def _counted(spec: SpectrumSpec) -> Column:
-    """True for the rows that count in a spectrum."""
-    tests = [F.expr(text) for text in spec.filters]
+def _counted(spec: SpectrumSpec) -> str:
+    """SQL test for the rows that count in a spectrum."""
+    tests = [f"({text})" for text in spec.filters]
     tests += [on_axis(a, spec.out_of_range, spec.keep_null) for a in spec.axes]
-    return reduce(Column.__and__, tests)
+    return " AND ".join(tests)
 
 
-def _cell_number(spec: SpectrumSpec, first: int) -> Column:
-    """The cell a counted row falls in."""
-    cell = F.lit(0).cast("bigint")
+def _cell_number(spec: SpectrumSpec, first: int) -> str:
+    """SQL for the cell a counted row falls in."""
+    cell = "0L"
     for axis, slots in zip(spec.axes, _slots(spec)):
         number = bin_number(axis, spec.out_of_range)
         if spec.keep_null:
-            unread = F.col(f"`{axis.signal}`").isNull()
-            number = F.when(unread, F.lit(axis.bins)).otherwise(number)
-        cell = cell * F.lit(slots) + number
-    return cell + F.lit(first)
+            number = f"IF(`{axis.signal}` IS NULL, {axis.bins}, {number})"
+        cell = f"({cell} * {slots} + {number})"
+    return f"{cell} + {first}L"
 
 
-def _spec_of_cell(layout: Layout) -> Column:
-    out = F.lit(layout[0][0])
-    for position, _, first in layout[1:]:
-        out = F.when(F.col("__cell") >= first, position).otherwise(out)
-    return out
+def _by_cell(layout: Layout, value: Callable[[int, SpectrumSpec, int], str]) -> str:
+    """SQL for a value that depends on the spectrum a cell belongs to."""
+    cases = [f"WHEN __cell >= {entry[2]} THEN {value(*entry)}" for entry in reversed(layout)]
+    return f"CASE {' '.join(cases)} END"
 
 
-def _with_axis(rows: DataFrame, layout: Layout, dim: int) -> DataFrame:
-    """Id, edges and label of one axis, read back from the cell number."""
+def _axis_columns(layout: Layout, dim: int) -> tuple[Column, list[Column], Column]:
+    """Bin number, then id and edges, then label of one axis, from the cell."""
 
-    def by_spec(value) -> Column:
-        out = F.lit(None)
-        for position, spec, first in reversed(layout):
-            if dim < len(spec.axes):
-                mine = F.col("__spec") == position
-                out = F.when(mine, value(spec, first)).otherwise(out)
-        return out
+    def on_this_axis(value: Callable[[SpectrumSpec, int], str]) -> str:
+        return _by_cell(
+            layout, lambda _, spec, first: value(spec, first) if dim < len(spec.axes) else "NULL"
+        )
 
-    def number(spec: SpectrumSpec, first: int) -> Column:
+    def number(spec: SpectrumSpec, first: int) -> str:
         slots = _slots(spec)
-        after = math.prod(slots[dim + 1 :])
-        cell = F.floor((F.col("__cell") - first) / F.lit(after)) % F.lit(slots[dim])
-        return F.when(cell < spec.axes[dim].bins, cell)
+        cell = f"((__cell - {first}) DIV {math.prod(slots[dim + 1 :])}) % {slots[dim]}"
+        return f"IF({cell} < {spec.axes[dim].bins}, CAST({cell} AS INT), NULL)"
 
-    def edge(step: int):
-        return lambda spec, first: lower_edge(
-            F.col("__n") + step, spec.axes[dim].start, spec.axes[dim].width
+    def edge(n: str) -> str:
+        return on_this_axis(
+            lambda spec, _: lower_edge(n, spec.axes[dim].start, spec.axes[dim].width)
         )
 
-    name = f"x{dim + 1}_"
-    lo, hi = name + "quantized", name + "upper"
-    return (
-        rows.withColumn(name + "signal_id", by_spec(lambda s, _: F.lit(signal_parts(s)[dim][0])))
-        .withColumn("__n", by_spec(number))
-        .withColumn(lo, by_spec(edge(0)).cast("double"))
-        .withColumn(hi, by_spec(edge(1)).cast("double"))
-        .withColumn(name + "interval", interval_label(F.col(lo), F.col(hi)))
-        .drop("__n")
-    )
+    n, x = f"__n{dim}", f"x{dim + 1}_"
+    columns = [
+        F.expr(on_this_axis(lambda spec, _: f"'{signal_parts(spec)[dim][0]}'")).alias(x + "signal_id"),
+        F.expr(edge(n)).alias(x + "quantized"),
+        F.expr(edge(f"({n} + 1)")).alias(x + "upper"),
+    ]
+    label = interval_label(x + "quantized", x + "upper").alias(x + "interval")
+    return F.expr(on_this_axis(number)).alias(n), columns, label
 
 
 def one_spectrum(spectra_df: DataFrame, config: int) -> DataFrame:
@@ -209,19 +205,18 @@ def rebin_spectra(
     keys: Sequence[str] = ("vin",),
 ) -> DataFrame:
     """Merge each ``factor`` neighbouring bins of a one-axis spectrum."""
-    wide = width * factor
     number = F.floor(
         F.rint((F.col("x1_quantized") - F.lit(float(start))) / F.lit(float(width))) / F.lit(factor)
     )
     merged = spectra_df.groupBy(*keys, number.cast("int").alias("__b")).agg(
         exact_sum(F.col("count")).alias("count")
     )
-    lo = lower_edge(F.col("__b"), start, wide)
-    hi = lower_edge(F.col("__b") + 1, start, wide)
-    return merged.select(
+    edges = {"x1_quantized": "__b", "x1_upper": "(__b + 1)"}
+    merged = merged.select(
         *keys,
-        lo.alias("x1_quantized"),
-        hi.alias("x1_upper"),
-        interval_label(lo, hi).alias("x1_interval"),
+        *[F.expr(lower_edge(n, start, width * factor)).alias(name) for name, n in edges.items()],
         "count",
     )
+    return merged.select(
+        *keys, *edges, interval_label(*edges).alias("x1_interval"), "count"
+    )

@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 # Which event stands for which gear.
 GEARS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
+# The columns of the test tables, so that Spark need not open
+# the files to plan a query.
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def user_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Events as signals in time order: vehicle = user, speed = value."""
-    gear = F.lit(None).cast("int")
-    for event, number in GEARS.items():
-        gear = F.when(F.col("event_type") == event, number).otherwise(gear)
+    cases = " ".join(f"WHEN '{event}' THEN {number}" for event, number in GEARS.items())
+    gear = F.expr(f"CASE event_type {cases} END")
     return table(spark, sf, "events").select(
         F.col("user_id").alias("vin"),
         F.col("ts").cast("timestamp").alias("timestamp"),

@@ -91,7 +91,7 @@ def test_edges_read_back(frame):
 
 def test_label_of_null_edges(frame):
     df = frame("a double, b double", (1.0, 2.0), (None, 2.0), (0.25, 0.5))
-    got = [r[0] for r in df.select(interval_label(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.select(interval_label("a", "b")).collect()]
     assert got == ["[1,2)", None, "[0.25,0.5)"]
 
 
