@@ -35,6 +35,7 @@ from fleetspectra.operators.outliers import (
     remove_outliers,
     removed_vins,
     weight_matrix,
+    weight_shares,
     zero_mass_outliers,
 )
 from fleetspectra.operators.quantiles import grouped_quantiles

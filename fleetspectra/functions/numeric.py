@@ -17,7 +17,7 @@ def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
     reach ``9.2e12``; beyond that Spark's ANSI mode raises. NaN counts as
     missing.
     """
-    scaled = F.nanvl(value.cast("double"), F.lit(None)) * F.lit(STEP)
+    scaled = _known(value) * F.lit(STEP)
     whole = F.rint(scaled)
     parts = [whole.cast("bigint"), F.rint((scaled - whole) * F.lit(STEP)).cast("bigint")]
     high, low = [F.sum(part) if over is None else F.sum(part).over(over) for part in parts]
@@ -26,5 +26,8 @@ def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
 
 def exact_avg(value: Column) -> Column:
     """Mean over the rows that have a value; null when none has."""
-    value = F.nanvl(value.cast("double"), F.lit(None))
-    return F.try_divide(exact_sum(value), F.count(value))
+    return F.try_divide(exact_sum(value), F.count(_known(value)))
+
+
+def _known(value: Column) -> Column:
+    return F.nanvl(value.cast("double"), F.lit(None))

@@ -206,6 +206,14 @@ def weight_matrix(
     )
 
 
+def weight_shares(matrix: DataFrame, key: str = "vin") -> DataFrame:
+    """The matrix as shares of each vehicle's mass; vehicles without any go."""
+    bins = [c for c in matrix.columns if c != key]
+    total = reduce(Column.__add__, [F.col(f"`{c}`") for c in bins])
+    massive = matrix.withColumn("__total", total).where("__total <> 0")
+    return massive.select(key, *[(F.col(f"`{c}`") / F.col("__total")).alias(c) for c in bins])
+
+
 def zero_mass_outliers(
     spectra_df: DataFrame,
     lo: float = WEIGHT_LO,

@@ -335,6 +335,18 @@ SELECT x.*, CASE WHEN x1_signal_id = 'gear'
   THEN coalesce(text, CAST(CAST(x1_quantized AS BIGINT) AS VARCHAR)) ELSE x1_interval END
   AS x1_value_to_text
 FROM x LEFT JOIN m ON x1_signal_id = 'gear' AND x1_quantized = value"""
+    wide = Ax("speed", 0, 160, 20)
+    two = " UNION ALL ".join(
+        spectrum(config, [gear, wide], "speed > 0", count, source="u")
+        for config, count in [(1, TIME), (2, total(USER_KM))]
+    )
+    out["translate_two_axes"] = f"""
+WITH {USERS},
+x AS ({two}),
+m AS (SELECT n_nationkey AS value, n_name AS text FROM nation WHERE n_regionkey + 1024 = 1026)
+SELECT x.*, coalesce(text, CAST(CAST(x1_quantized AS BIGINT) AS VARCHAR)) AS x1_value_to_text,
+  x2_interval AS x2_value_to_text
+FROM x LEFT JOIN m ON x1_quantized = value"""
     meta = []
     for i, (name, signal, description, named, unit) in enumerate(
         [
@@ -457,6 +469,11 @@ SELECT CAST(sum(vins_before) AS BIGINT) AS total_before,
         for c in CENTERS
     )
     out["weight_matrix"] = f"WITH {ORDERS} SELECT vin, {cells} FROM x GROUP BY vin"
+    mass = " + ".join(f"bin_{c}" for c in CENTERS)
+    parts = ", ".join(f"bin_{c} / mass AS bin_{c}" for c in CENTERS)
+    out["weight_shares"] = f"""
+WITH {ORDERS}, m AS (SELECT vin, {cells} FROM x GROUP BY vin)
+SELECT vin, {parts} FROM (SELECT *, {mass} AS mass FROM m) WHERE mass <> 0"""
     out["zero_mass_outliers"] = f"""
 WITH {ORDERS},
 z AS (SELECT vin FROM x GROUP BY vin HAVING coalesce(sum(

@@ -249,6 +249,15 @@ def translate_spectra(spark, sf):
     return fs.translate_spectra(counted, mapping, states, net_type=1026)
 
 
+@query
+def translate_two_axes(spark, sf):
+    rows = sig.add_distance(views.user_signals(spark, sf), "speed", sample_s=3600)
+    wide = fs.Axis("speed", 0, 160, 20)
+    spec = fs.SpectrumSpec("Gear by speed", (GEAR.axes[0], wide), ("speed > 0",), "Gearbox")
+    mapping, states = views.signal_mapping(spark), views.state_mapping(spark, sf)
+    return fs.translate_spectra(fs.spectra(rows, [spec]), mapping, states, net_type=1026)
+
+
 @query
 def spectra_metadata(spark, sf):
     metadata = fs.name_signals(fs.spectra_metadata(spark, SPECS), views.signal_mapping(spark))
@@ -438,7 +447,7 @@ def _grouped(spark, sf):
     spectra = _stored_spectra(spark, sf, WEIGHT, ("sales_group", "vin"))
     stats = fs.vehicle_stats(views.supplier_signals(spark, sf), NAMES, ["sales_group", "vin"])
     found = fs.iqr_outliers(fs.stored(stats, "stats"), k=GROUP_K).removed
-    return spectra, fs.stored(found, "outliers")
+    return spectra, found
 
 
 @query
@@ -477,6 +486,11 @@ def weight_matrix(spark, sf):
     return fs.weight_matrix(_order_spectra(spark, sf))
 
 
+@query
+def weight_shares(spark, sf):
+    return fs.weight_shares(fs.weight_matrix(_order_spectra(spark, sf)))
+
+
 @query
 def zero_mass_outliers(spark, sf):
     return fs.zero_mass_outliers(_order_spectra(spark, sf))

@@ -22,6 +22,7 @@ from fleetspectra.operators.outliers import (
     remove_outliers,
     removed_vins,
     weight_matrix,
+    weight_shares,
     zero_mass_outliers,
 )
 from fleetspectra.operators.quantiles import grouped_quantiles
@@ -201,6 +202,8 @@ def test_zero_mass(frame):
     assert matrix.columns[:2] == ["vin", "bin_12500"] and matrix.columns[-1] == "bin_49500"
     assert len(matrix.columns) == 39
     sums = {r.vin: sum(r[1:]) for r in matrix.collect()}
+    shares = weight_shares(matrix).orderBy("vin").collect()
+    assert [(r.vin, sum(r[1:])) for r in shares] == [("first", 1.0), ("last", 1.0), ("two groups", 1.0)]
     assert {v for v, s in sums.items() if s == 0} == {"above", "below", "both", "null", "zero"}
 
 
