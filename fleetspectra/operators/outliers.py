@@ -30,11 +30,12 @@ class Split(NamedTuple):
 
 
 def _split(df: DataFrame, keep: Column, key: str, by: str) -> Split:
-    keep = F.coalesce(keep, F.lit(False))
-    vehicles = df.groupBy(by, key).agg(F.max(keep).alias("__kept"))
+    # A null test drops a row; left bare, the test reaches the scan.
+    kept = F.coalesce(keep, F.lit(False))
+    vehicles = df.groupBy(by, key).agg(F.max(kept).alias("__kept"))
     return Split(
         df.where(keep),
-        df.where(~keep).select(key, by),
+        df.where(~kept).select(key, by),
         vehicles.groupBy(by).agg(
             F.count(key).alias("vins_before"),
             F.count(F.when(F.col("__kept"), F.col(key))).alias("vins_after"),

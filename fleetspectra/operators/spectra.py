@@ -60,6 +60,8 @@ def spectra(
     ``xn_signal_id``, ``xn_quantized`` (lower edge), ``xn_upper``,
     ``xn_interval``; then ``count``.
     """
+    if not weights or not set(weights) <= {"time", "distance"}:
+        raise ValueError("weights are time and distance")
     usable = usable_specs(df, specs)
     if not usable:
         raise ValueError("none of the spectra has its signals in the table")

@@ -306,6 +306,26 @@ SELECT vin, event_id, CASE WHEN before IS NOT NULL AND speed <> 200 THEN
   speed * least((epoch_us(ts) - epoch_us(before)) / 1e6, {USER_LIMIT_S}.0) / 3600.0 END
   AS distance_via_speed_km FROM l"""
 
+    out["prepare_signals"] = f"""
+WITH {USERS},
+p AS (SELECT *, CASE WHEN gear <> 2 THEN speed * 10.0 ELSE 0.0 END AS rpm FROM u),
+c AS (
+  SELECT *, coalesce(CASE WHEN rpm > 0 THEN rpm END,
+    last_value(CASE WHEN rpm > 0 THEN rpm END IGNORE NULLS) OVER (
+      PARTITION BY vin ORDER BY ts
+      RANGE BETWEEN INTERVAL {USER_LIMIT_S} SECONDS PRECEDING AND CURRENT ROW)) AS rpm_cleaned
+  FROM p),
+d AS (SELECT *, lag(ts) OVER (PARTITION BY vin ORDER BY ts) AS before FROM c
+      WHERE rpm_cleaned IS NOT NULL AND speed > 0)
+SELECT vin, event_id, rpm_cleaned, speed / 10.0 AS fuel_cleaned, speed AS speed_cleaned,
+  abs(speed - 50.0) AS gradient_abs,
+  CASE WHEN speed <> 200 THEN speed * 1.0 / 3600.0 END AS distance_via_speed_km,
+  (gear * 100.0) * rpm * {2 * math.pi / 60000:.17e} AS engine_power_kw,
+  CAST(year(ts) * 100 + month(ts) AS INTEGER) AS year_month,
+  CAST({sec.format('ts')} - {sec.format('before')} AS DOUBLE) / 60.0
+    AS diff_time_to_last_timestamp_vin_min
+FROM d"""
+
     def over_items(body):
         return f"WITH {ITEMS} SELECT * FROM ({body})"
 

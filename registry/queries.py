@@ -190,6 +190,34 @@ def distance_by_gap(spark, sf):
     return rows.select("vin", "event_id", "distance_via_speed_km")
 
 
+@query
+def prepare_signals(spark, sf):
+    """The whole preparation: clean two signals, drop, derive, time since the last row."""
+    raw = views.user_signals(spark, sf).selectExpr(
+        "vin",
+        "timestamp",
+        "event_id",
+        "speed AS `20`",
+        "IF(gear <> 2, speed * 10D, 0D) AS `11`",
+        "speed / 10D AS `87`",
+        "speed - 50D AS `209`",
+        "gear * 100D AS `4`",
+    )
+    rows = chains.prepare_signals(raw, limit_s=USER_LIMIT_S, time_since_last=True)
+    return rows.selectExpr(
+        "vin",
+        "event_id",
+        "`11_cleaned` AS rpm_cleaned",
+        "`87_cleaned` AS fuel_cleaned",
+        "`20_cleaned` AS speed_cleaned",
+        "`209_abs` AS gradient_abs",
+        "distance_via_speed_km",
+        "engine_power_kw",
+        "year_month",
+        "diff_time_to_last_timestamp_vin_min",
+    )
+
+
 # --- spectra ----------------------------------------------------------------
 
 

@@ -67,6 +67,11 @@ def test_no_usable_spectrum_is_an_error(frame):
         spectra(df, SPECS)
 
 
+def test_unknown_weight_is_an_error(frame):
+    with pytest.raises(ValueError, match="weights"):
+        spectra(frame(SIGNALS, ("A", T, 1.0, 1.0, 1.0, 1.0)), SPECS, ["fuel"])
+
+
 def test_fused_equals_one_by_one(spark):
     df = items(spark)
     fused = spectra(df, [*SPECS, engine_spec("11", "4", "20")])

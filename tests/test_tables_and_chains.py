@@ -1,5 +1,6 @@
 import datetime as dt
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,21 @@ def test_layout_splits_a_hot_vehicle(spark):
     assert in_order.where("NOT ok").isEmpty()
 
 
+@pytest.mark.parametrize(("named", "master"), [("/shared/", "yarn"), (None, "local[2]"), (None, "yarn")])
+def test_shared_folder_is_the_named_one(named, master):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: named),
+        sparkContext=SimpleNamespace(master=master),
+    )
+    if named:
+        assert tables.shared_folder(session) == "/shared"
+    elif master.startswith("local"):
+        assert tables.shared_folder(session) == tables.shared_folder(session) != "/shared"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_folder(session)
+
+
 def test_stored_step_reads_back_from_the_shared_folder(spark, frame):
     df = frame("vin string, x double", ("A", 1.0))
     back = tables.stored(df, "test")
