@@ -475,7 +475,8 @@ def _grouped(spark, sf):
     spectra = _stored_spectra(spark, sf, WEIGHT, ("sales_group", "vin"))
     stats = fs.vehicle_stats(views.supplier_signals(spark, sf), NAMES, ["sales_group", "vin"])
     found = fs.iqr_outliers(fs.stored(stats, "stats"), k=GROUP_K).removed
-    return spectra, found
+    # Stored, the list has a known size and the spectra need no shuffle to lose it.
+    return spectra, fs.stored(found, "outliers")
 
 
 @query
