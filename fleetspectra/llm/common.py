@@ -93,3 +93,45 @@ def in_batches(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -
                 yield step(batch)
 
     return run
+
+
+def bounded_sample(df: DataFrame, kind: str, per_kind: int, by: str = "doc_id", seed: int = 5) -> DataFrame:
+    """About ``per_kind`` rows of each value of ``kind``, the same in every run, with ``weight``: the rows that each stands for.
+
+    A row is in if a hash of its id falls below the share that its kind needs; no kind is sorted or collected.
+    """
+    sizes = df.groupBy(kind).agg(F.count("*").alias("_n")).withColumnRenamed(kind, "_kind")
+    rows = df.join(sizes, F.col(kind) == F.col("_kind"))
+    draw = F.shiftrightunsigned(F.xxhash64(by, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    share = F.least(F.lit(1.0), F.lit(float(per_kind)) / F.col("_n"))
+    return rows.where(draw < share).withColumn("weight", F.lit(1.0) / share).drop("_kind", "_n")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, use: Column, per_kind: int) -> DataFrame:
+    """``doc_id, label, weight`` of a bounded sample of the labels that may be learned from; one label an id."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & use)
+    known = known.groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
+    present = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null")
+    return bounded_sample(known.join(present, "doc_id", "left_semi"), "label", per_kind)
+
+
+#: A table is broadcast only if it was counted and its rows take no more than so many bytes.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table of texts with a stored table of findings.
+
+    The findings are measured; within ``bound`` they are broadcast and the texts stay where they are, beyond
+    it both sides are shuffled by the keys. The rows are the same.
+    """
+    width = sum(
+        F.coalesce(F.size(c) * _bytes_of(t.elementType), F.lit(0)) if hasattr(t, "elementType") else F.lit(16)
+        for c, t in ((f.name, f.dataType) for f in small.schema)
+    )
+    total = small.agg(F.sum(width)).head()[0] or 0
+    return big.join(F.broadcast(small) if total <= bound else small, on, how)
+
+
+def _bytes_of(kind) -> Column:
+    return F.lit(8 * (len(kind.fields) + 2) if hasattr(kind, "fields") else 8)

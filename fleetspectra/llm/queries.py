@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import mixing, pii, sharding, simhash
-from fleetspectra.llm.common import shared_folder
+from fleetspectra.llm import gam, langid, mixing, pii, rules, sharding, simhash, suffix
+from fleetspectra.llm.common import fold_of, shared_folder
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -21,15 +21,40 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = fold_of("doc_id", 5) == 0
+    tables = gam.train(docs, _read(spark, sf, "labels"), ~held_out)
+    scored = gam.score(docs, tables)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_find_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.find_pii(_read(spark, sf, "documents")))
 
 
+def op4_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix.remove_repeats(_read(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    found = langid.identify(docs, langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    return rules.judge(docs, rules.train(docs, _read(spark, sf, "labels")))
+
+
 def op9_shard(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
     placed = sharding.shard_records(_read(spark, sf, "documents"), 40, folder)
@@ -41,8 +66,12 @@ def op9_shard(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality": op2_quality,
     "op3_find_pii": op3_find_pii,
+    "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
+    "op8_quality_rules": op8_quality_rules,
     "op9_shard": op9_shard,
 }
 

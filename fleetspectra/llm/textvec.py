@@ -95,8 +95,8 @@ class Texts:
         return start[a], end[b], doc[a]
 
 
-def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows of about ``limit`` bytes (a longer text alone): first row, end row, texts. Null reads as empty."""
+def chunks(array: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of at most ``rows`` rows and about ``limit`` bytes (a longer text alone): first row, end row, texts. Null reads as empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     array = pc.fill_null(array.cast(pa.large_string()), "")
@@ -107,7 +107,7 @@ def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(edges, edges[at] + limit, side="right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + rows)
         yield at, end, Texts(raw[edges[at] : edges[end]], edges[at : end + 1] - edges[at])
         at = end
 
@@ -148,3 +148,44 @@ def repeated_lines(texts: Texts, rolling: Rolling) -> np.ndarray:
     first = np.zeros(len(count), np.int64)
     first[group[::-1]] = doc[::-1]
     return np.bincount(doc, minlength=texts.n) - np.bincount(first, minlength=texts.n)
+
+
+def byte_grams(data: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Hash number (below ``2**bits``) of the ``width`` bytes from each place on that has so many after it."""
+    n = max(0, len(data) - width + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = key << U(8) | data[k : k + n]
+    return (key * U(BASE) + U(width * 0xBF58476D1CE4E5B9 % (1 << 64)) >> U(64 - bits)).astype(np.int64)
+
+
+def add_counts(counts: np.ndarray, doc: np.ndarray, gram: np.ndarray) -> None:
+    """Count each document's grams into its row of ``counts``."""
+    width = counts.shape[1]
+    counts += np.bincount(doc * width + gram, minlength=counts.size).reshape(counts.shape)
+
+
+def owner(texts: Texts) -> np.ndarray:
+    """The document of each byte."""
+    return np.repeat(np.arange(texts.n), np.diff(texts.edges))
+
+
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Rows of log counts with length 1 (empty rows stay 0)."""
+    x = np.log1p(counts).astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+
+
+def pack(row: np.ndarray) -> bytes:
+    """A sparse row as bytes: places, then values."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def unpack(parts: list[bytes], width: int) -> np.ndarray:
+    """Packed rows as one dense matrix."""
+    x = np.zeros((len(parts), width), np.float32)
+    for k, part in enumerate(parts):
+        n = len(part) // 6
+        x[k, np.frombuffer(part, "<u2", n)] = np.frombuffer(part, "<f4", n, 2 * n)
+    return x
