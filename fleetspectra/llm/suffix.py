@@ -4,8 +4,7 @@ Rolling-hash triggers cut the texts into phrases. A window of ``width`` bytes is
 the dictionary) followed by the next phrases (a prefix of a suffix of the parse); windows that are equal have
 the same first trigger at the same place, so they meet under it. What has to be ordered are the suffixes at
 triggers, one in some sixty positions, and where a stretch of the parse occurs as a whole again, all its
-windows are settled at once. Only suffixes around the places where two texts part are taken apart window by
-window. Of the corpus' suffix order only its classes are made (suffixes that agree in the next ``width``
+windows are settled at once. Only stretches where two texts part are taken apart, at last window by window. Of the corpus' suffix order only its classes are made (suffixes that agree in the next ``width``
 bytes, by hash), as the classes alone say what is repeated.
 """
 
@@ -16,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import in_batches, settled, sized_join
+from fleetspectra.llm.common import in_batches, settled, sized_join, stored
 from fleetspectra.llm.textvec import U, Rolling, Texts, chunks, mix
 
 #: Bytes that a trigger depends on; one place in EVERY is a trigger.
-TRIGGER, EVERY = 8, 56
+TRIGGER, EVERY = 8, 64
 SEGMENT, LOOSE, KNOWN = 0, 1, 2
 
 
@@ -36,9 +35,9 @@ def triggers(texts: Texts, rolling: Rolling, size: int = TRIGGER, every: int = E
     return found[inside] + size, doc[inside]
 
 
-def _split(width: int) -> tuple[int, int]:
-    """How far left of its trigger a window may begin to be found by the bytes after it, or by those around it."""
-    return width * 38 // 100, width * 76 // 100
+def _reach(width: int) -> tuple[int, int, int]:
+    """How far left of its trigger a window may begin to be found by what follows it, lies around it, or precedes it."""
+    return width * 38 // 100, width * 76 // 100, width * 98 // 100
 
 
 def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
@@ -46,11 +45,11 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
 
     SEGMENT: the windows from ``lo`` on, ``n`` of them, whose first trigger is the same; ``k`` is a hash of bytes
     that all of them hold around it, ``x`` of all their bytes. LOOSE: a window (``k`` its hash) without a trigger
-    near its begin, ``n`` 2 if the chunk has several (then ``lo`` is -1 and KNOWN rows say where). KNOWN: ``n``
-    windows from ``lo`` on that are repeated.
+    near its begin; ``lo`` is -1 if the chunk has several (then KNOWN rows say where). KNOWN: ``n`` windows from
+    ``lo`` on that are repeated.
     """
     rolling = Rolling(texts.data)
-    near, far = _split(width)
+    reach = _reach(width)
     end, doc = triggers(texts, rolling)
     first, last = texts.edges[doc], texts.edges[doc + 1] - width
     before = np.full(len(end), -(1 << 60))
@@ -60,14 +59,13 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
     begin = np.maximum(first, before - TRIGGER + 1)
     stop = np.minimum(end - TRIGGER, last)
     rows = []
-    for kind, (a, b) in enumerate(((near, TRIGGER), (far, near + 1))):
-        lo, hi = np.maximum(begin, end - a), np.minimum(stop, end - b)
+    for kind, (a, b) in enumerate(zip((TRIGGER - 1, *reach), reach, strict=False)):
+        lo, hi = np.maximum(begin, end - b), np.minimum(stop, end - a - 1)
         ok = np.flatnonzero(hi >= lo)
         lo, hi, at = lo[ok], hi[ok], end[ok]
-        around = (at - TRIGGER, at + width - near) if kind == 0 else (at - near, at + width - far)
-        k = mix(rolling.raw(*around) + U(kind + 1))
-        x = mix(rolling.raw(lo, hi + width) + (at - lo).astype(np.uint64) * U(0x9FB21C651E98DF25) + (at - hi).astype(np.uint64))
-        rows.append((np.full(len(ok), SEGMENT), doc[ok], lo - first[ok], hi - lo + 1, k, x))
+        k = mix(rolling.raw(at - (a if kind else TRIGGER), at + width - b) + U(kind + 1))
+        x = mix(rolling.raw(lo, hi + width) + _shape(at, lo, hi))
+        rows.append((np.full(len(ok), SEGMENT), doc[ok], lo - first[ok], hi - lo + 1, k, x, at - first[ok]))
     # windows that begin far before their first trigger, or have none after them
     tail_doc = np.arange(texts.n)
     tail_lo = texts.edges[:-1].copy()
@@ -76,7 +74,7 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
         newest[doc] = end  # in order, so the last one stays
         tail_lo = np.where(newest >= 0, np.maximum(tail_lo, newest - TRIGGER + 1), tail_lo)
     lo = np.concatenate([begin, tail_lo])
-    hi = np.concatenate([np.minimum(stop, end - far - 1), texts.edges[1:] - width])
+    hi = np.concatenate([np.minimum(stop, end - reach[-1] - 1), texts.edges[1:] - width])
     loose_doc = np.concatenate([doc, tail_doc])
     count = np.maximum(0, hi - lo + 1)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
@@ -86,10 +84,11 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
     twice = times[group] > 1
     lone = index[times == 1]
     zero = np.zeros(len(lone), np.uint64)
-    rows.append((np.full(len(lone), LOOSE), at_doc[lone], at[lone] - texts.edges[at_doc[lone]], np.ones(len(lone), np.int64), found[times == 1], zero))
+    none = np.zeros(len(lone), np.int64)
+    rows.append((none + LOOSE, at_doc[lone], at[lone] - texts.edges[at_doc[lone]], none + 1, found[times == 1], zero, none))
     several = found[times > 1]
     none = np.zeros(len(several), np.int64)
-    rows.append((none + LOOSE, at_doc[index[times > 1]], none - 1, none + 2, several, several * U(0)))
+    rows.append((none + LOOSE, at_doc[index[times > 1]], none - 1, none + 1, several, several * U(0), none))
     order = np.flatnonzero(twice)
     order = order[np.lexsort((at[order],))]
     if len(order):
@@ -97,8 +96,8 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (d[1:] != d[:-1])]))
         length = np.diff(np.concatenate([cut, [len(p)]]))
         gap = np.zeros(len(cut), np.uint64)
-        rows.append((np.full(len(cut), KNOWN), d[cut], p[cut] - texts.edges[d[cut]], length, gap, gap))
-    names = ("kind", "doc", "lo", "n", "k", "x")
+        rows.append((np.full(len(cut), KNOWN), d[cut], p[cut] - texts.edges[d[cut]], length, gap, gap, length * 0))
+    names = ("kind", "doc", "lo", "n", "k", "x", "at")
     return {name: np.concatenate([r[c] for r in rows]) for c, name in enumerate(names)}
 
 
@@ -116,20 +115,46 @@ def _parsed(texts_of: DataFrame, width: int) -> DataFrame:
                 [
                     pa.array(one["kind"].astype(np.int8)), pa.array(one["h"]), pa.array(one["size"].astype(np.int64)),
                     pa.array(one["lo"].astype(np.int32)), pa.array(one["n"].astype(np.int32)),
+                    pa.array(one["at"].astype(np.int32)),
                     pa.array(one["k"].astype(np.uint64).view(np.int64)), pa.array(one["x"].astype(np.uint64).view(np.int64)),
                 ],
-                ["kind", "h", "size", "lo", "n", "k", "x"],
+                ["kind", "h", "size", "lo", "n", "at", "k", "x"],
             )
 
         return step
 
-    schema = "kind tinyint, h bigint, size bigint, lo int, n int, k bigint, x bigint"
+    schema = "kind tinyint, h bigint, size bigint, lo int, n int, at int, k bigint, x bigint"
     return texts_of.mapInArrow(in_batches(make), schema)
 
 
-def _windows(held: DataFrame, width: int) -> DataFrame:
-    """Every window of the segments in ``at`` of each text: ``k``, its hash ``x``, and where it begins (-1: only a witness)."""
+def _shape(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (at - lo).astype(np.uint64) * U(0x9FB21C651E98DF25) + (at - hi).astype(np.uint64) * U(0xD1B54A32D192ED03)
 
+
+def cut_finer(rolling: Rolling, base: int, segments: list, grain: int, width: int) -> tuple[np.ndarray, ...]:
+    """Segments of one text cut at every ``grain``-th distance from their trigger: place, number, trigger, k, x, witness.
+
+    ``k`` is a hash of the bytes that all windows at these distances hold, ``x`` of all bytes of the piece's windows.
+    """
+    lo, n, at = (np.array([s[c] for s in segments]) for c in ("lo", "n", "at"))
+    far, near = (at - lo) // grain, (at - lo - n + 1) // grain  # the pieces that the farthest and nearest window are in
+    count = far - near + 1
+    row = np.repeat(np.arange(len(lo)), count)
+    piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[row]
+    from_ = np.maximum(lo[row], at[row] - piece * grain - grain + 1)
+    to = np.minimum((lo + n - 1)[row], at[row] - piece * grain)
+    x = mix(rolling.raw(from_ + base, to + base + width) + _shape(at[row], from_, to))
+    if grain == 1:
+        x = mix(rolling.raw(from_ + base, from_ + base + width))
+        k = x
+    else:
+        start = at[row] - piece * grain + base
+        k = mix(rolling.raw(start, start + width - grain + 1) + (piece + 5).astype(np.uint64))
+    witness = np.array([s["witness"] for s in segments], bool)[row]
+    return from_, to - from_ + 1, at[row], k, x, witness
+
+
+def _finer(held: DataFrame, grain: int, width: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
@@ -138,20 +163,38 @@ def _windows(held: DataFrame, width: int) -> DataFrame:
             for first, end, texts in chunks(batch.column(2)):
                 rolling = Rolling(texts.data)
                 for row in range(first, end):
-                    base = texts.edges[row - first]
-                    lo = np.array([s["lo"] for s in segments[row]])
-                    n = np.array([s["n"] for s in segments[row]])
-                    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    witness = np.repeat(np.array([s["witness"] for s in segments[row]], bool), n)
-                    k = np.repeat(np.array([s["k"] for s in segments[row]], np.int64), n)
-                    x = mix(rolling.raw(p + base, p + base + width)).view(np.int64)
-                    out.append((np.full(len(p), key[row]), np.full(len(p), size[row]), np.where(witness, -1, p).astype(np.int32), k, x))
-            columns = [np.concatenate([o[c] for o in out]) for c in range(5)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "size", "lo", "k", "x"])
+                    lo, n, at, k, x, witness = cut_finer(rolling, texts.edges[row - first], segments[row], grain, width)
+                    out.append((
+                        np.full(len(lo), key[row]), np.full(len(lo), size[row]), lo.astype(np.int32), n.astype(np.int32),
+                        at.astype(np.int32), k.view(np.int64), x.view(np.int64), witness,
+                    ))
+            columns = [pa.array(np.concatenate([o[c] for o in out])) for c in range(8)]
+            return pa.RecordBatch.from_arrays(columns, ["h", "size", "lo", "n", "at", "k", "x", "witness"])
 
         return step
 
-    return held.mapInArrow(in_batches(make), "h bigint, size bigint, lo int, k bigint, x bigint")
+    schema = "h bigint, size bigint, lo int, n int, at int, k bigint, x bigint, witness boolean"
+    return held.select("h", "size", "text", "segments").mapInArrow(in_batches(make), schema)
+
+
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows known to be repeated, and the pieces to be cut finer: one for each class of equal ones.
+
+    A piece whose ``k`` is met once has no repeated window. Pieces with equal ``x`` settle each other; where a
+    ``k`` has several ``x``, a window may still be shared. A witness stands for several equal pieces settled before.
+    """
+    weight = F.sum(F.when(F.col("witness"), 2).otherwise(1)).alias("all")
+    groups = rows.groupBy("k").agg(weight, F.min("x").alias("least"), F.max("x").alias("most")).where("all > 1")
+    groups = groups.select(F.col("k").alias("gk"), (F.col("least") == F.col("most")).alias("alike"))
+    met = stored(rows.join(groups, F.col("k") == F.col("gk")).drop("gk"))
+    mixed = met.where("not alike")
+    classes = stored(mixed.groupBy("k", "x").agg(weight, F.min(F.struct("h", "size", "lo", "n", "at")).alias("one")))
+    again = classes.where("all > 1").select(F.col("k").alias("gk"), F.col("x").alias("gx"))
+    settled_too = mixed.join(again, (F.col("k") == F.col("gk")) & (F.col("x") == F.col("gx")), "left_semi")
+    known = met.where("alike").unionByName(settled_too).where("not witness").select("h", "size", "lo", "n")
+    piece = F.struct("one.lo", "one.n", "one.at", (F.col("all") > 1).alias("witness"))
+    asked = classes.select("one.h", "one.size", piece.alias("s")).groupBy("h", "size").agg(F.collect_list("s").alias("segments"))
+    return known, asked
 
 
 def _merged(rows: DataFrame, width: int) -> DataFrame:
@@ -176,39 +219,26 @@ def _merged(rows: DataFrame, width: int) -> DataFrame:
     return grouped.mapInArrow(in_batches(make), "h bigint, size bigint, runs array<int>")
 
 
+#: Mixed segments are cut into pieces of so many windows, and mixed pieces into single windows.
+GRAINS = (8, 1)
+
+
 def repeated_runs(texts_of: DataFrame, width: int = 400) -> DataFrame:
     """``h, size, runs`` of the texts (``h, size, text``) that have bytes in a string of ``width`` bytes found elsewhere too."""
-    rows = _parsed(texts_of, width)
-    of = F.col("kind")
-    groups = (
-        rows.where(of == SEGMENT).groupBy("k").agg(F.count("*").alias("all"), F.min("x").alias("least"), F.max("x").alias("most"))
-        .where("all > 1")
-    )
-    met = settled(
-        rows.where(of == SEGMENT).drop("kind")
-        .join(groups.select(F.col("k").alias("gk"), (F.col("least") == F.col("most")).alias("alike")), F.col("k") == F.col("gk")).drop("gk")
-    )
-    known = met.where("alike").select("h", "size", "lo", "n")
-    mixed = met.where("not alike")
-    alike = mixed.groupBy("k", "x").agg(F.count("*").alias("all"), F.min(F.struct("h", "size", "lo", "n")).alias("one"))
-    alike = settled(alike)
-    again = alike.where("all > 1").select(F.col("k").alias("gk"), F.col("x").alias("gx"))
-    known = known.union(
-        mixed.join(again, (F.col("k") == F.col("gk")) & (F.col("x") == F.col("gx")), "left_semi").select("h", "size", "lo", "n")
-    )
-    asked = alike.select("one.h", "one.size", F.struct("one.lo", "one.n", "k", (F.col("all") > 1).alias("witness")).alias("s"))
-    asked = settled(asked.groupBy("h", "size").agg(F.collect_list("s").alias("at")))
-    held = sized_join(texts_of, asked, ["h", "size"])
-    loose = settled(rows.where(of != SEGMENT))
-    windows = _windows(held.select("h", "size", "text", "at"), width).withColumn("n", F.when(F.col("lo") < 0, 2).otherwise(1))
-    windows = settled(
-        windows.unionByName(loose.where(of == LOOSE).select("h", "size", "lo", F.lit(0).cast("bigint").alias("k"), F.col("k").alias("x"), "n"))
-    )
-    twice = windows.groupBy("k", "x").agg(F.sum("n").alias("all")).where("all > 1")
-    twice = twice.select(F.col("k").alias("gk"), F.col("x").alias("gx"))
-    found = windows.where("lo >= 0").join(twice, (F.col("k") == F.col("gk")) & (F.col("x") == F.col("gx")), "left_semi")
-    every = known.union(found.select("h", "size", "lo", "n")).union(loose.where(of == KNOWN).select("h", "size", "lo", "n"))
-    return settled(_merged(every.distinct(), width))
+    parsed = _parsed(texts_of, width)
+    kind = F.col("kind")
+    loose = stored(parsed.where(kind != SEGMENT))
+    every = loose.where(kind == KNOWN).select("h", "size", "lo", "n")
+    rows = parsed.where(kind == SEGMENT).drop("kind").withColumn("witness", F.lit(False))
+    for grain in (None, *GRAINS):
+        if grain:
+            rows = _finer(sized_join(texts_of, settled(asked), ["h", "size"]), grain, width)
+        if grain == 1:
+            single = loose.where(kind == LOOSE).withColumns({"x": F.col("k"), "witness": F.col("lo") < 0})
+            rows = rows.unionByName(single.drop("kind"))
+        known, asked = _judged(rows)
+        every = every.union(known)
+    return settled(_merged(every, width))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
