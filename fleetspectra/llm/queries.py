@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import gam, langid, mixing, pii, rules, sharding, simhash, suffix
+from fleetspectra.llm import decontam, gam, langid, lm, mixing, pii, rules, sharding, simhash, suffix
 from fleetspectra.llm.common import fold_of, shared_folder
 
 
+#: A public vocabulary file; nothing of it is kept here.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
@@ -43,6 +47,10 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     held_out = fold_of("doc_id", 4) == 2
@@ -64,15 +72,24 @@ def op9_shard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_language_model(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = fold_of("doc_id", 5) == 1
+    scored = lm.score(docs, ~held_out, vocabulary)
+    return scored.withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
     "op3_find_pii": op3_find_pii,
     "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_shard": op9_shard,
+    "op10_language_model": op10_language_model,
 }
 
 # None of these queries has plain SQL; tests/llm compares them with brute force on small tables.
