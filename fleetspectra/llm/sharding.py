@@ -18,11 +18,11 @@ def virtual_slot(id_col: str, text_col: str, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(slots)).cast("int")
 
 
-def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, vslot`` of each row; the text goes no further."""
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """``doc_id, size, text_crc32, vslot`` of each row; the text goes no further unless the whole row is to be carried."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        *([F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row")] if carry else [F.col(id_col).alias("doc_id")]),
         (F.octet_length(text) + RECORD_BYTES).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         virtual_slot(id_col, text_col, slots).alias("vslot"),
@@ -100,10 +100,12 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
 
 
 def shard_records(
-    docs: DataFrame, n_shards: int, folder: str, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS
+    docs: DataFrame, n_shards: int, folder: str, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, carry: bool = False
 ) -> DataFrame:
     """``doc_id, size, text_crc32, vslot, shard, slot, map_version``: the shard of each row and its place there.
 
+    With ``carry``, the columns of ``docs`` come along (in place of ``doc_id``); else texts aren't shuffled.
+
     Records hash into fixed slots, bytes are added up per slot, and the slot-to-shard map in ``folder``
     (made there when missing) is edited until the shards' bytes are near equal: law ``bytes``. A row's place
     counts from 0 without gaps: rows of the shard's earlier slots, then its place among its slot's rows, so
@@ -111,7 +113,8 @@ def shard_records(
     text share a slot; no documents: no rows.
     """
     spark = docs.sparkSession
-    rows = settled(records(docs, id_col, text_col, slots))
+    rows = records(docs, id_col, text_col, slots, carry)
+    rows = rows if carry else settled(rows)
     sizes = settled(slot_sizes(spark, rows, slots))
     store_map(first_map(spark, n_shards, slots), folder)
     store_map(edited(load_map(spark, folder), sizes, n_shards), folder)
@@ -119,8 +122,9 @@ def shard_records(
     places = load_map(spark, folder).join(sizes, "vslot").select(
         "vslot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy("_id" if carry else "doc_id", "text_crc32", "size")
     placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(places), "vslot")  # a row per slot: SLOTS at most
+    own = [F.col(f"_row.{c}") for c in docs.columns] if carry else ["doc_id"]
     return placed.select(
-        "doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "map_version"
+        *own, "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "map_version"
     )
