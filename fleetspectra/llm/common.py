@@ -90,15 +90,18 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
+BATCH_ROWS = 1024
+
+
 def in_batches(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
-    """A function for ``mapInArrow`` that sets up once a task and then maps batch by batch."""
+    """A function for ``mapInArrow`` that sets up once a task and then maps BATCH_ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            if batch.num_rows:
+            for first in range(0, batch.num_rows, BATCH_ROWS):
                 step = step or make()
-                yield step(batch)
+                yield step(batch.slice(first, BATCH_ROWS))
 
     return run
 
