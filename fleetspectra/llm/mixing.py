@@ -14,7 +14,7 @@ from fleetspectra.llm.common import WORD, ranked, settled
 #: Most copies of a document, as the targets stop at so many times their source's size.
 MOST_COPIES = 3
 #: A task pairs the rows of one block of a source; the residuals of FAN_IN blocks meet in the next level's block.
-BLOCK_ROWS, FAN_IN = 20_000, 1_000
+BLOCK_ROWS, FAN_IN = 4_000, 1_000
 EXACT = 1e-9
 
 
