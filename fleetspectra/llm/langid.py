@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import bounded_sample, in_batches, settled
-from fleetspectra.llm.linear import fit_logistic
+from fleetspectra.llm.linear import fifth_first, fit_logistic
 from fleetspectra.llm.rules import features
 from fleetspectra.llm.textvec import Texts, add_counts, byte_grams, chunks, damped, owner, pack, unpack
 
@@ -89,12 +89,12 @@ def train(
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((1 << bits, 0)), np.zeros(0), np.zeros(0), bits)
-    x = unpack([bytes(r["row"]) for r in got], 1 << bits)
-    label = np.array([languages.index(r["label"]) for r in got])
-    held = np.arange(len(label)) % 5 == 0
+    order, n = fifth_first(len(got))
+    x = unpack([bytes(got[k]["row"]) for k in order], 1 << bits)
+    label = np.array([languages.index(got[k]["label"]) for k in order])
     even = (1.0 / np.maximum(np.bincount(label), 1))[label]
-    w, b = fit_logistic(x[~held], code[label][~held], even[~held], rounds=100)
-    right = (((x[held] @ w + b) > 0) == (code[label][held] > 0)).mean(0) if held.any() else np.full(code.shape[1], 0.9)
+    w, b = fit_logistic(x[n:], code[label][n:], even[n:], rounds=100)
+    right = (((x[:n] @ w + b) > 0) == (code[label][:n] > 0)).mean(0)
     right = np.clip(right, 0.51, 0.999)
     trust = np.log(right / (1 - right))
     return Model(languages, code, w, b, trust / trust.mean(), bits)

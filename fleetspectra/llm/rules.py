@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import in_batches, labelled, settled
-from fleetspectra.llm.linear import calibrate, fit_logistic, sigmoid
+from fleetspectra.llm.linear import calibrate, fifth_first, fit_logistic, sigmoid
 from fleetspectra.llm.textvec import (
     BASE, IS_SPACE, U, Rolling, Texts, add_counts, byte_grams, chunks, damped, owner, pack, repeated_lines, repeated_words, unpack,
 )
 
 #: Size of the hashed vocabulary, and the labelled rows of each class that the model is fitted on at most (about).
-BITS, PER_CLASS = 12, 3000
+BITS, PER_CLASS = 12, 2000
 #: A document stays if its probability of good quality is at least KEEP_FROM.
 KEEP_FROM = 0.3
 # Symbols that are counted; the limits of the fixed rules.
@@ -104,12 +104,12 @@ def train(
     y = np.array([r["label"] > 0 for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(None, 1.0, float(y[0]) if len(y) else 1.0, bits)
-    weight = np.array([r["weight"] for r in got])
-    x = unpack([bytes(r["row"]) for r in got], 1 << bits)
-    held = np.arange(len(y)) % 5 == 0
+    order, n = fifth_first(len(y))
+    x = unpack([bytes(got[k]["row"]) for k in order], 1 << bits)
+    y, weight = y[order], np.array([got[k]["weight"] for k in order])
     even = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y == 0).sum()))
-    w, b = fit_logistic(x[~held], y[~held, None], even[~held])
-    slope, offset = calibrate((x[held] @ w[:, 0] + b[0]).astype(np.float64), y[held], weight[held])
+    w, b = fit_logistic(x[n:], y[n:, None], even[n:])
+    slope, offset = calibrate((x[:n] @ w[:, 0] + b[0]).astype(np.float64), y[:n], weight[:n])
     return Model(w[:, 0], slope, float(slope * b[0] + offset), bits)
 
 
