@@ -31,11 +31,19 @@ def on_axis(axis: Axis, out_of_range: str = "drop", keep_null: bool = False) ->
 
 
 def bin_number(axis: Axis, out_of_range: str = "drop") -> str:
-    """SQL for the bin, 0 being the first, of rows ``on_axis``."""
-    x, kind = f"`{axis.signal}`", "DOUBLE" if axis.whole else FRACTION
-    start, width = _number(axis.start, axis.whole), _number(axis.width, axis.whole)
-    last = axis.bins - 1
-    number = f"least(CAST(floor((CAST({x} AS {kind}) - {start}) / {width}) AS INT), {last})"
+    """SQL for the bin, 0 being the first, of rows ``on_axis``.
+
+    A reading is never rounded: on a fractional axis the quotient only gives
+    the bin nearby, and the edges decide.
+    """
+    x, last = f"`{axis.signal}`", axis.bins - 1
+    start, width = _number(axis.start, True), _number(axis.width, True)
+    number = f"CAST(floor((CAST({x} AS DOUBLE) - {start}) / {width}) AS INT)"
+    if not axis.whole:
+        own = lower_edge(f"({number})", axis.start, axis.width)
+        after = lower_edge(f"({number} + 1)", axis.start, axis.width)
+        number = f"CASE WHEN {x} < {own} THEN {number} - 1 WHEN {x} >= {after} THEN {number} + 1 ELSE {number} END"
+    number = f"greatest(least({number}, {last}), 0)"
     if out_of_range == "clip":
         lo, hi = _number(axis.start, True), _number(axis.stop, True)
         number = f"CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN {last} ELSE {number} END"

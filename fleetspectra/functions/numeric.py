@@ -5,29 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-STEP = 1e6
+#: Doubles are cut into limbs of 20 bits, from 2**20 down to 2**-60.
+LIMB = float(1 << 20)
+LIMBS = 5
 
 
 def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
-    """Sum of doubles, to twelve decimals, the same in any order.
+    """Sum of doubles, the same in any order.
 
     Adding doubles gives other last digits whenever partitions arrive in
-    another order or a lost task runs again. Whole numbers do not, so millionths
-    and the millionths of what is left are added as two bigints. A sum may
-    reach ``9.2e12``; beyond that Spark's ANSI mode raises. NaN counts as
-    missing.
+    another order or a lost task runs again. Whole numbers do not, so each
+    double is cut into limbs of 20 bits, which is exact down to ``2**-60``, and
+    the limbs are added as bigints. That holds for some 9e12 rows and sums up
+    to 9e24. NaN counts as missing.
     """
-    scaled = _known(value) * F.lit(STEP)
-    whole = F.rint(scaled)
-    parts = [whole.cast("bigint"), F.rint((scaled - whole) * F.lit(STEP)).cast("bigint")]
-    high, low = [F.sum(part) if over is None else F.sum(part).over(over) for part in parts]
-    return (high + low / F.lit(STEP)) / F.lit(STEP)
+    rest = known(value) / F.lit(LIMB)
+    total = []
+    for _ in range(LIMBS):
+        limb = F.rint(rest)
+        part = F.sum(limb.cast("bigint"))
+        total.append(part if over is None else part.over(over))
+        rest = (rest - limb) * F.lit(LIMB)
+    fraction = F.lit(0.0)
+    for part in total[:1:-1]:
+        fraction = (fraction + part) / F.lit(LIMB)
+    return (total[0] * F.lit(LIMB) + total[1]) + fraction
 
 
 def exact_avg(value: Column) -> Column:
     """Mean over the rows that have a value; null when none has."""
-    return F.try_divide(exact_sum(value), F.count(_known(value)))
+    return F.try_divide(exact_sum(value), F.count(known(value)))
 
 
-def _known(value: Column) -> Column:
+def known(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None))

@@ -49,13 +49,16 @@ def time_literal(df: DataFrame, column: str, text: str) -> Column:
     return F.lit(text).cast(kind)
 
 
-def in_period(df: DataFrame, start: str, end: str, order: str = "timestamp") -> DataFrame:
-    """Rows with ``start <= time < end``."""
+def in_period(df: DataFrame, start: str | None = None, end: str | None = None, order: str = "timestamp") -> DataFrame:
+    """Rows with ``start <= time < end``; an end that isn't given doesn't limit."""
     ts = F.col(order)
     if isinstance(df.schema[order].dataType, T.StringType):
         ts = F.to_timestamp(ts)
-    lo, hi = time_literal(df, order, start), time_literal(df, order, end)
-    return df.where((ts >= lo) & (ts < hi))
+    if start is not None:
+        df = df.where(ts >= time_literal(df, order, start))
+    if end is not None:
+        df = df.where(ts < time_literal(df, order, end))
+    return df
 
 
 def extract_signals(
@@ -72,8 +75,7 @@ def extract_signals(
     Spark broadcasts the list when it is small enough and otherwise sorts and
     merges, splitting a vehicle with too many rows (AQE skew join).
     """
-    if start is not None and end is not None:
-        signals = in_period(signals, start, end, order)
+    signals = in_period(signals, start, end, order)
     return signals.join(vehicles.select(key), key, "left_semi")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.joins import join_groups
 from fleetspectra.operators.fleet import weighted_mean
 from fleetspectra.operators.quantiles import grouped_quantiles
 
@@ -55,7 +56,7 @@ def box_stats(
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
     rows = stats.where(x.isNotNull() & ~F.isnan(x.cast("double"))).select(*by, column)
     # The quartiles are the same on all rows of a group, so max just hands them on.
-    return rows.join(quartiles, list(by)).groupBy(*by).agg(
+    return join_groups(rows, quartiles, list(by)).groupBy(*by).agg(
         F.count(x).alias("vehicles"),
         *[F.max(q).alias(q) for q in ("q1", "median", "q3")],
         F.min(F.when(inside, x)).alias("whisker_lo"),
@@ -84,14 +85,14 @@ def stat_histogram(stats: DataFrame, column: str, series: str, bins: int = 30) -
         F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1).cast("bigint")
     ).cast("int")
     counts = (
-        rows.join(span, series)
+        join_groups(rows, span, [series])
         .groupBy(series, number.alias("bin"))
         .agg(F.count(F.lit(1)).alias("__vehicles"))
     )
     all_bins = span.select(
         series, "__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    return all_bins.join(counts, [series, "bin"], "left").select(
+    return join_groups(all_bins, counts, [series, "bin"], "left").select(
         series,
         "bin",
         (F.col("__lo") + F.col("bin") * width).alias("bin_lo"),

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.numeric import exact_avg, exact_sum
+from fleetspectra.functions.joins import join_groups
+from fleetspectra.functions.numeric import exact_sum, known
 from fleetspectra.operators.grid import normalize_spectra
 
+
 def _shares(
     spectra_df: DataFrame, bin_col: str, key: str, by: Sequence[str]
 ) -> DataFrame:
@@ -20,19 +22,40 @@ def _shares(
     )
 
 
+def _means(shares: DataFrame, by: Sequence[str], key: str, means: dict[str, Column]) -> DataFrame:
+    """Per group and bin, for each name: the shares where the test holds, over the group's vehicles that have any.
+
+    A vehicle without a row for a bin counts 0 there, so completed and uncompleted spectra agree and the
+    means of a group add up to 1.
+    """
+    keys = list(by) or ["__all"]
+    rows = shares.where(F.col("norm_count").isNotNull())
+    rows = rows if by else rows.withColumn("__all", F.lit(1))
+    vehicles = rows.groupBy(*keys).agg(
+        *[F.count_distinct(F.when(test, F.col(key))).alias(f"__n_{name}") for name, test in means.items()]
+    )
+    sums = rows.groupBy(*keys, "x_bin").agg(
+        *[exact_sum(F.when(test, F.col("norm_count"))).alias(f"__s_{name}") for name, test in means.items()]
+    )
+    out = join_groups(sums, vehicles, keys)
+    return out.select(
+        *by, "x_bin", *[F.try_divide(F.col(f"__s_{n}"), F.col(f"__n_{n}")).alias(n) for n in means]
+    )
+
+
 def fleet_average(
     spectra_df: DataFrame,
     by: Sequence[str] = (),
     bin_col: str = "interval_start",
     key: str = "vin",
 ) -> DataFrame:
-    """Mean share per bin. Every vehicle weighs the same.
+    """Mean share per bin over the group's vehicles. Every vehicle weighs the same.
 
-    A vehicle whose total is 0 has no shares and is left out of the mean.
+    A vehicle whose total is 0 has no shares and is left out of the mean; so is
+    a bin in which no vehicle has a share.
     """
     shares = _shares(spectra_df, bin_col, key, by)
-    mean = exact_avg(F.col("norm_count"))
-    return shares.groupBy(*by, "x_bin").agg(mean.alias("avg_norm_count"))
+    return _means(shares, by, key, {"avg_norm_count": F.lit(True)})
 
 
 def vehicle_vs_fleet(
@@ -44,9 +67,8 @@ def vehicle_vs_fleet(
     """Each vehicle's share next to its fleet's mean: the lines of a chart."""
     shares = _shares(spectra_df, bin_col, key, by)
     average = fleet_average(spectra_df, by, bin_col, key)
-    return shares.select(*by, key, "x_bin", "norm_count").join(
-        average, [*by, "x_bin"], "left"
-    )
+    lines = shares.select(*by, key, "x_bin", "norm_count")
+    return join_groups(lines, average, [*by, "x_bin"], "left")
 
 
 def fleet_before_after(
@@ -65,18 +87,13 @@ def fleet_before_after(
     """
     keys = list(on or [key])
     flags = outliers.select(*keys).distinct().withColumn("__out", F.lit(1))
-    shares = _shares(spectra_df, bin_col, key, by).join(flags, keys, "left")
-    return shares.groupBy(*by, "x_bin").agg(
-        exact_avg(F.col("norm_count")).alias("avg_before"),
-        exact_avg(F.when(F.col("__out").isNull(), F.col("norm_count"))).alias(
-            "avg_after"
-        ),
-    )
+    shares = join_groups(_shares(spectra_df, bin_col, key, by), flags, keys, "left")
+    return _means(shares, by, key, {"avg_before": F.lit(True), "avg_after": F.col("__out").isNull()})
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    """Mean of ``value`` weighted by ``weight``, where both are known."""
-    both = value.isNotNull() & weight.isNotNull()
+    """Mean of ``value`` weighted by ``weight``, where both are known (NaN is not)."""
+    both = known(value).isNotNull() & known(weight).isNotNull()
     return F.try_divide(
         exact_sum(F.when(both, value * weight)), exact_sum(F.when(both, weight))
     )

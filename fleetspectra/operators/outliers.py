@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.binning import bin_center
+from fleetspectra.functions.joins import join_groups
 from fleetspectra.functions.numeric import exact_sum
 from fleetspectra.operators.quantiles import grouped_quantiles
 
@@ -80,7 +81,7 @@ def iqr_outliers(
     signals.
     """
     bounds = iqr_bounds(stats, column, k, [by])
-    fenced = stats.join(bounds, by, "left")
+    fenced = join_groups(stats, bounds, [by], "left")
     inside = F.col(column).between(F.col("lower_bound"), F.col("upper_bound"))
     split = _split(fenced, inside, key, by)
     return split._replace(kept=split.kept.select(*stats.columns))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.joins import join_groups
+
 ACCURACY = 10000
 
 
@@ -26,7 +28,8 @@ def grouped_quantiles(
     """One row per group with a column per entry of ``probs``.
 
     The result is a value of the data: the smallest one with at least the
-    share ``p`` of the values at or below it. Nulls and NaN are ignored.
+    share ``p`` of the values at or below it. Nulls and NaN are ignored; rows
+    without a group are a group of their own.
 
     The sketch's rank error is at most ``n / accuracy``, so the band from
     ``p - 2/accuracy`` to ``p + 2/accuracy`` holds the quantile and only about
@@ -66,7 +69,7 @@ def grouped_quantiles(
     ).select(*keys, "__q.*")
 
     counted = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    placed = counted.join(bands, keys).where(F.col("__x") <= F.col("__hi"))
+    placed = join_groups(counted, bands, keys).where(F.col("__x") <= F.col("__hi"))
     below = placed.where(F.col("__x") < F.col("__lo"))
     below = below.groupBy(*keys, "__name").agg(F.sum("__c").alias("__below"))
     band = placed.where(F.col("__x") >= F.col("__lo"))
@@ -75,10 +78,9 @@ def grouped_quantiles(
         .orderBy("__x")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    ranked = (
-        band.select(*keys, "__name", "__x", "__rank", up_to.alias("__up_to"))
-        .join(below, [*keys, "__name"], "left")
-        .where(F.col("__up_to") + F.coalesce("__below", F.lit(0)) >= F.greatest("__rank", F.lit(1)))
+    ordered = band.select(*keys, "__name", "__x", "__rank", up_to.alias("__up_to"))
+    ranked = join_groups(ordered, below, [*keys, "__name"], "left").where(
+        F.col("__up_to") + F.coalesce("__below", F.lit(0)) >= F.greatest("__rank", F.lit(1))
     )
     return ranked.groupBy(*keys).agg(
         *[F.min(F.when(F.col("__name") == name, F.col("__x"))).alias(name) for name in probs]

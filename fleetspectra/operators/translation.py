@@ -22,10 +22,11 @@ NO_UNIT = "No unit"
 
 
 def one_per(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, the smallest; a doubled lookup row must not double counts."""
+    """One row per key, the smallest, known values first; a doubled lookup row must not double counts."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
-    return picked.select(*keys, "__first.*")
+    ranked = [part for c in rest for part in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("__first"))
+    return picked.select(*keys, *[F.col(f"__first.{c}") for c in rest])
 
 
 def number_text(value: Column) -> Column:

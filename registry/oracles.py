@@ -11,11 +11,16 @@ PERIOD = ("1996-01-01 00:00:00", "1998-01-01 00:00:00")
 
 
 def total(x: str, over: str = "") -> str:
-    """Sum in millionths, and in millionths of what is left of them."""
-    high = f"CAST(({x}) * 1e6 AS BIGINT)"
-    low = f"CAST((({x}) * 1e6 - {high}) * 1e6 AS BIGINT)"
-    high, low = (f"CAST(sum({part}){over} AS BIGINT)" for part in (high, low))
-    return f"(({high} + {low} / 1e6) / 1e6)"
+    """Sum of the limbs of 20 bits of doubles, each sum a whole number without a cap."""
+    rest, sums = f"(CAST({x} AS DOUBLE) / CAST(1048576 AS DOUBLE))", []
+    for _ in range(5):
+        limb = f"round_even({rest}, 0)"
+        sums.append(f"CAST(sum(CAST({limb} AS HUGEINT)){over} AS DOUBLE)")
+        rest = f"(({rest} - {limb}) * CAST(1048576 AS DOUBLE))"
+    fraction = "CAST(0 AS DOUBLE)"
+    for part in sums[:1:-1]:
+        fraction = f"(({fraction} + {part}) / CAST(1048576 AS DOUBLE))"
+    return f"(({sums[0]} * CAST(1048576 AS DOUBLE) + {sums[1]}) + {fraction})"
 
 
 def mean(x: str) -> str:
@@ -512,13 +517,16 @@ SELECT sales_group, x_bin, {mean_share} AS avg_norm_count FROM n GROUP BY 1, 2""
 WITH {REGIONAL},{shares('cg', 'interval_start', ['sales_group', 'vin'])},
 a AS (SELECT sales_group, x_bin, {mean_share} AS avg_norm_count FROM n GROUP BY 1, 2)
 SELECT sales_group, x_bin, vin, norm_count, avg_norm_count FROM n JOIN a USING (sales_group, x_bin)"""
-    after = "CASE WHEN out_vin IS NULL THEN norm_count END"
     out["fleet_before_after"] = f"""
 WITH {GROUPED},{shares('x', 'x1_quantized', ['sales_group', 'vin'])},
 p AS (SELECT n.*, d.vin AS out_vin FROM n LEFT JOIN (SELECT DISTINCT vin, sales_group FROM o) d
-      USING (vin, sales_group))
-SELECT sales_group, x_bin, {mean_share} AS avg_before, {mean(after)} AS avg_after
-FROM p GROUP BY 1, 2"""
+      USING (vin, sales_group)),
+v AS (SELECT sales_group, count(DISTINCT vin) AS v_before,
+        count(DISTINCT CASE WHEN out_vin IS NULL THEN vin END) AS v_after
+      FROM p WHERE norm_count IS NOT NULL GROUP BY 1)
+SELECT sales_group, x_bin, {total('norm_count')} / any_value(v_before) AS avg_before,
+  {total('CASE WHEN out_vin IS NULL THEN norm_count END')} / any_value(nullif(v_after, 0)) AS avg_after
+FROM p JOIN v USING (sales_group) GROUP BY 1, 2"""
     out["weighted_fleet_average"] = f"WITH {REGIONAL_STATS} SELECT * FROM r"
     long = " UNION ALL ".join(
         f"SELECT sales_group, '{p}' AS parameter, {p} AS value FROM r" for p in PARAMETERS

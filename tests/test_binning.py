@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.binning import bin_center, interval_end, interval_label, interval_start
+from fleetspectra.functions.binning import bin_center, bin_number, interval_end, interval_label, interval_start
 from fleetspectra.functions.names import signal_id, signal_suffix, split_signal
 from fleetspectra.functions.numeric import exact_avg, exact_sum
 from fleetspectra.operators.spectra import spectra
@@ -124,7 +124,16 @@ def test_sums_do_not_depend_on_order(frame):
         assert tuple(row) == (0.6, 0.12)
 
 
-def test_sum_too_large_is_an_error_not_a_wrong_number(frame):
-    df = frame("x double", (9e12,), (9e12,))
-    with pytest.raises(Exception, match="(?i)overflow"):
-        df.agg(exact_sum(F.col("x"))).collect()
+def test_large_and_small_sums(spark, setting):
+    for ansi in ("true", "false"):
+        setting("spark.sql.ansi.enabled", ansi)
+        for n, value in ((21_000, 40_000.0 * 120_000.0), (2_100_000, 40_000.0 * 120_000.0), (1_000, 4e-13)):
+            got = spark.range(n).agg(exact_sum(F.lit(value) + F.col("id") * 0)).first()[0]
+            assert got == pytest.approx(n * value, rel=1e-5 if value < 1 else 1e-15)
+
+
+def test_readings_on_a_fractional_axis_are_not_rounded(frame):
+    axis = Axis("x", 0.0, 1.0, 0.1)
+    values = [0.2999999999999, 0.3, 0.7, 0.1 + 0.2, 0.9999999999999999]
+    got = [r[0] for r in frame("x double", *[(v,) for v in values]).selectExpr(bin_number(axis)).collect()]
+    assert got == [2, 3, 7, 3, 9]

@@ -10,7 +10,8 @@ from fleetspectra.operators.comparison import (
     stat_histogram,
     weighted_fleet_average,
 )
-from fleetspectra.operators.fleet import fleet_average, fleet_before_after, vehicle_vs_fleet
+from fleetspectra.operators.cohort import extract_signals
+from fleetspectra.operators.fleet import fleet_average, fleet_before_after, vehicle_vs_fleet, weighted_mean
 from fleetspectra.operators.outliers import (
     completeness_outliers,
     iqr_bounds,
@@ -318,3 +319,39 @@ def test_statistics_of_chosen_signals(frame):
         "vehicle_speed_avg_kmh",
         "vehicle_speed_max_kmh",
     ]
+
+
+def test_a_missing_group_is_a_group(frame):
+    stats = frame(
+        "vin string, sales_group int, x double", *[(f"v{i}", None, float(v)) for i, v in enumerate([1, 2, 3, 4, 100])]
+    )
+    split = iqr_outliers(stats, "x")
+    assert {r.vin for r in split.removed.collect()} == {"v4"}
+    assert split.kept.count() == 4
+
+
+def test_weighted_mean_leaves_nan_out(frame):
+    df = frame("x double, w double", (float("nan"), 1.0), (10.0, 1.0), (5.0, float("nan")))
+    assert df.agg(weighted_mean(F.col("x"), F.col("w"))).first()[0] == 10.0
+
+
+def test_a_period_may_have_one_end(frame):
+    rows = frame("vin string, timestamp string", ("A", "2024-01-01 00:00:00"), ("A", "2024-07-01 00:00:00"))
+    vins = frame("vin string", ("A",))
+    assert extract_signals(rows, vins, start="2024-06-01 00:00:00").count() == 1
+    assert extract_signals(rows, vins, end="2024-06-01 00:00:00").count() == 1
+    assert extract_signals(rows, vins).count() == 2
+
+
+def test_mean_shares_of_spectra_with_missing_bins_add_up_to_one(frame):
+    spectra = frame(
+        "vin string, sales_group int, interval_start double, count double",
+        ("A", 1, 0.0, 3.0), ("A", 1, 1.0, 1.0), ("B", 1, 1.0, 2.0), ("C", None, 5.0, 7.0), ("D", 1, 0.0, 0.0),
+    )
+    flags = frame("vin string", ("B",))
+    average = fleet_average(spectra, ["sales_group"])
+    both = fleet_before_after(spectra, flags, ["sales_group"])
+    lines = vehicle_vs_fleet(spectra, ["sales_group"]).select("sales_group", "x_bin", "avg_norm_count").distinct()
+    for df, column in ((average, "avg_norm_count"), (both, "avg_before"), (both, "avg_after"), (lines.dropna(subset=["avg_norm_count"]), "avg_norm_count")):
+        sums = [r[0] for r in df.groupBy("sales_group").agg(F.sum(column)).select(f"sum({column})").collect()]
+        assert sums == [1.0, 1.0]

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
+from registry.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 NO_SQL = {"vehicle_count_approx"}
@@ -13,7 +14,8 @@ def db():
 
 
 def test_every_query_but_the_approximate_one_has_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == NO_SQL
+    assert set(QUERIES) - set(entry_points.oracle_sql()) == NO_SQL
+    assert set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
@@ -22,13 +24,13 @@ def test_flagship(spark):
     assert df.columns == ["sales_group", "x_bin", "avg_norm_count"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, db, name):
     ok, note = check.compare(spark, db, SF, name)
     assert ok, note
 
 
 def test_no_query_runs_python_workers(spark, plan):
-    for name in ("spectra_all_configs", "clean_signals", "iqr_bounds", "fleet_average_by_group"):
+    for name in QUERIES:
         text = plan(entry_points.queries()[name](spark, SF))
         assert "Python" not in text and "Pandas" not in text
