@@ -174,15 +174,18 @@ def sketch(texts_of: DataFrame, known: np.ndarray, idf: np.ndarray, directions:
 
 
 def latent_space(gathered: np.ndarray, directions: np.ndarray, rank: int) -> np.ndarray:
-    """Features to latent coordinates: right singular vectors over singular values, from the sketch of AᵀA."""
+    """Features to latent coordinates: right singular vectors, from the sketch of AᵀA.
+
+    Coordinates that many passages share are scaled down by their singular value; those of single passages are not.
+    """
     inner = directions.T.astype(np.float64) @ gathered
     inner = (inner + inner.T) / 2
     value, vector = np.linalg.eigh(inner)
     good = value > max(value.max(), 1e-12) * 1e-6
     root = gathered @ (vector[:, good] / np.sqrt(value[good]))
     left, singular, _ = np.linalg.svd(root, full_matrices=False)
-    keep = singular[:rank] > max(singular.max(initial=0.0), 1e-12) * 1e-4
-    return (left[:, :rank][:, keep] / singular[:rank][keep]).astype(np.float32)
+    keep = singular[:rank] > max(singular.max(initial=0.0), 1e-12) * 1e-2  # smaller ones are noise of the sketch
+    return (left[:, :rank][:, keep] / np.maximum(1.0, singular[:rank][keep])).astype(np.float32)
 
 
 @dataclass

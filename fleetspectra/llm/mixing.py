@@ -16,6 +16,8 @@ MOST_COPIES = 3
 #: A task pairs the rows of one block of a source; the residuals of FAN_IN blocks meet in the next level's block.
 BLOCK_ROWS, FAN_IN = 4_000, 1_000
 EXACT = 1e-9
+#: Pairs that may change places when a source's last words are settled.
+SWAPS = 3
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -82,7 +84,7 @@ def _flight(blocks: pd.DataFrame, last: bool) -> pd.DataFrame:
 
 
 def _land(share: np.ndarray, size: np.ndarray, undecided: np.ndarray, held: int) -> None:
-    """Decide the last open row to the nearer side, then turn over the largest rows that still fit into what is missing."""
+    """Decide the last open row to the nearer side, then turn over or swap the few rows that bring the words closest to the target."""
     wanted = share[held] * size[held]
     share[held] = float(share[held] >= 0.5)
     missing = wanted - share[held] * size[held]
@@ -93,6 +95,21 @@ def _land(share: np.ndarray, size: np.ndarray, undecided: np.ndarray, held: int)
         if size[k] <= left:
             share[k] = 1.0 - share[k]
             left -= size[k]
+    missing = np.copysign(left, missing)
+    for _ in range(SWAPS):
+        taken, rest = np.flatnonzero(undecided & (share == 1)), np.flatnonzero(undecided & (share == 0))
+        if not len(taken) or not len(rest):
+            return
+        rest = rest[::-1]  # smallest first
+        aim = size[taken] + missing
+        right = np.clip(np.searchsorted(size[rest], aim), 0, len(rest) - 1)
+        near = np.where(np.abs(size[rest[np.maximum(right - 1, 0)]] - aim) < np.abs(size[rest[right]] - aim), np.maximum(right - 1, 0), right)
+        off = size[rest[near]] - aim
+        best = int(np.argmin(np.abs(off)))
+        if abs(off[best]) >= abs(missing):
+            return
+        share[taken[best]], share[rest[near[best]]] = 0.0, 1.0
+        missing = -off[best]
 
 
 def _flight_at(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -109,8 +126,8 @@ def mix(
     rounding, which keeps the source's words: rows are paired and exchange words until one is decided. A
     source's rows fall into blocks by a hash of the id, so a hot source is many tasks; a block leaves one
     open row at most, and those of ``fan_in`` blocks meet in one block of the next level, up to one block a
-    source. There the last open row is rounded to the nearer side, and the few largest rows that fit into what is
-    then missing are turned over, so a source misses its target by less than a small document. Draws are hashes of the id: reruns agree whatever the partitions.
+    source. There the last open row is rounded to the nearer side, and the few rows that fit into what is
+    then missing are turned over or swapped, so a source misses its target by a few words where it has many rows. Draws are hashes of the id: reruns agree whatever the partitions.
 
     A null source is a source, a null or empty text has size 0 and is taken 0 words (its whole copies stay),
     repeated rows are rows of their own. No documents: no rows.
