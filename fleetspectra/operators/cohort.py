@@ -51,6 +51,8 @@ def time_literal(df: DataFrame, column: str, text: str) -> Column:
 
 def in_period(df: DataFrame, start: str | None = None, end: str | None = None, order: str = "timestamp") -> DataFrame:
     """Rows with ``start <= time < end``; an end that isn't given doesn't limit."""
+    if start is None and end is None:
+        return df
     ts = F.col(order)
     if isinstance(df.schema[order].dataType, T.StringType):
         ts = F.to_timestamp(ts)
