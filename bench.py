@@ -41,6 +41,10 @@ HEADLINES = [
     "weighted_fleet_average",
     "box_stats",
     "value_quantiles",
+    "prepare_signals",
+    "weight_matrix",
+    "vehicle_vs_fleet",
+    "save_and_reload",
 ]
 
 

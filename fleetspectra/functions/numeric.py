@@ -37,5 +37,13 @@ def exact_avg(value: Column) -> Column:
     return F.try_divide(exact_sum(value), F.count(known(value)))
 
 
+def exact_stddev(value: Column) -> Column:
+    """Sample deviation that does not depend on row order; null below two values."""
+    n = F.count(known(value))
+    mean = F.try_divide(exact_sum(value), n)
+    rest = F.greatest(exact_sum(value * value) - mean * mean * n, F.lit(0.0))
+    return F.sqrt(F.try_divide(rest, F.nullif(n, F.lit(0)) - 1))
+
+
 def known(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None))

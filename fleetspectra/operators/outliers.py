@@ -7,10 +7,8 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.binning import bin_center
 from fleetspectra.functions.joins import join_groups
 from fleetspectra.functions.numeric import exact_sum
 from fleetspectra.operators.quantiles import grouped_quantiles
@@ -21,6 +19,9 @@ MIN_KM = 500.0
 IQR_REACH = 1.5
 WEIGHT_LO, WEIGHT_HI, WEIGHT_WIDTH = 12000, 50000, 1000
 
+# The columns with a bin's edges; completed spectra have them as interval_start, interval_end.
+EDGES = ("x1_quantized", "x1_upper")
+
 
 class Split(NamedTuple):
     """Rows that stay, vehicles that go, and the count of both per group."""
@@ -180,22 +181,28 @@ def _centers(lo: float, hi: float, width: float) -> list[float]:
     return [lo + (i + 0.5) * width for i in range(round((hi - lo) / width))]
 
 
+def _center(edges: tuple[str, str]) -> Column:
+    return (F.col(edges[0]) + F.col(edges[1])) / F.lit(2.0)
+
+
 def weight_matrix(
     spectra_df: DataFrame,
     lo: float = WEIGHT_LO,
     hi: float = WEIGHT_HI,
     width: float = WEIGHT_WIDTH,
     key: str = "vin",
-    label: str = "x1_interval",
+    edges: tuple[str, str] = EDGES,
 ) -> DataFrame:
     """One row per vehicle, one column ``bin_<centre>`` per bin of the range.
 
     Bins outside the range are dropped, missing ones are 0. The bins are
-    given, so Spark need not look for them.
+    given, so Spark need not look for them. The spectra are shuffled once, by
+    vehicle, which both steps of the pivot use.
     """
     centers = _centers(lo, hi, width)
     wide = (
-        spectra_df.select(key, bin_center(F.col(label)).alias("__center"), "count")
+        spectra_df.select(key, _center(edges).alias("__center"), "count")
+        .repartition(key)
         .groupBy(key)
         .pivot("__center", centers)
         .agg(exact_sum(F.col("count")))
@@ -223,17 +230,22 @@ def zero_mass_outliers(
     width: float = WEIGHT_WIDTH,
     key: str = "vin",
     by: str = "sales_group",
-    label: str = "x1_interval",
+    edges: tuple[str, str] = EDGES,
 ) -> DataFrame:
     """Vehicles with no weight inside the range, with the groups they are in.
 
     The mass is that of the vehicle over all its groups. What lies outside the
-    range does not save a vehicle.
+    range does not save a vehicle. One aggregation per vehicle gives the mass
+    and the groups.
     """
-    center = bin_center(F.col(label))
+    center = _center(edges)
     inside = (center > F.lit(float(lo))) & (center < F.lit(float(hi)))
     aligned = F.floor((center - F.lit(float(lo))) / F.lit(float(width))) * width + lo + width / 2
     mass = exact_sum(F.when(inside & (center == aligned), F.col("count")))
-    per_group = spectra_df.groupBy(key, by).agg(F.coalesce(mass, F.lit(0.0)).alias("__mass"))
-    total = exact_sum(F.col("__mass"), over=W.partitionBy(key))
-    return per_group.select(key, by, total.alias("__total")).where("__total = 0").select(key, by)
+    vehicles = spectra_df.groupBy(key).agg(
+        F.coalesce(mass, F.lit(0.0)).alias("__mass"),
+        # In a struct, so that no group is a group as well.
+        F.collect_set(F.struct(by)).alias("__groups"),
+    )
+    empty = vehicles.where("__mass = 0").select(key, F.explode("__groups").alias("__group"))
+    return empty.select(key, F.col(f"__group.{by}"))

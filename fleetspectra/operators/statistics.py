@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.numeric import exact_avg, exact_sum
+from fleetspectra.functions.numeric import exact_avg, exact_stddev, exact_sum
 from fleetspectra.operators.signals import SPEED_NOT_AVAILABLE
 
 # Fixed value: diesel, kilograms per litre.
@@ -36,7 +36,7 @@ def vehicle_stats(
     """Distance, fuel, speed, weight and gradient statistics in one aggregation.
 
     The formulas are this library's own definitions: each row stands for
-    ``sample_s`` seconds, driving means speed above 0, fuel flow is in kg/h.
+    ``sample_s`` seconds of operation, driving means speed above 0, fuel flow is in kg/h.
     """
     speed = F.col(f"`{names.speed}`").cast("double")
     if sna is not None:
@@ -51,6 +51,8 @@ def vehicle_stats(
         "vehicle_speed_avg_driving_kmh": exact_avg(F.when(driving, speed)),
         "vehicle_speed_avg_kmh": exact_avg(speed),
         "vehicle_speed_max_kmh": F.max(speed),
+        "operating_time_h": F.count(F.lit(1)) * dt / F.lit(3600.0),
+        "driving_time_h": F.count(F.when(driving, speed)) * dt / F.lit(3600.0),
     }
     if names.fuel_flow:
         flow = F.col(f"`{names.fuel_flow}`").cast("double")
@@ -68,7 +70,7 @@ def vehicle_stats(
         slope = F.when(driving, F.col(f"`{names.gradient}`").cast("double"))
         stats["road_gradient_avg"] = exact_avg(slope)
         stats["road_gradient_abs_avg"] = exact_avg(F.abs(slope))
-        stats["road_gradient_stddev"] = F.stddev_samp(slope)
+        stats["road_gradient_stddev"] = exact_stddev(slope)
     out = step.groupBy(*group_by).agg(*[s.alias(name) for name, s in stats.items()])
     if names.fuel_flow:
         litres = F.col("fuel_kg") / F.lit(float(density))

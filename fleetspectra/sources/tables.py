@@ -10,7 +10,7 @@ from functools import cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: files a signal extract is written to.
+# Fixed value: files of an extract of one group of vehicles over a year; no default.
 EXTRACT_FILES = 600
 
 
@@ -59,21 +59,26 @@ def save_table(
 
 
 def layout_signals(
-    df: DataFrame, files: int = EXTRACT_FILES, key: str = "vin", order: str = "timestamp"
+    df: DataFrame, files: int | None = None, key: str = "vin", order: str = "timestamp"
 ) -> DataFrame:
     """Rows of a vehicle side by side and in time order, in even files.
 
     Ranges over vehicle and time split a vehicle that would not fit one file,
     which hashing the vehicle cannot; and files that cover few vehicles and a
     stretch of time are skipped when a query filters on either.
+
+    Without ``files`` there are as many as shuffle partitions, and Spark joins
+    those below its advisory size. Finding the ranges samples the rows in a
+    pass of its own, so pass a table or stored step, not a long plan.
     """
-    return df.repartitionByRange(files, key, order).sortWithinPartitions(key, order)
+    parts = [files] if files else []
+    return df.repartitionByRange(*parts, key, order).sortWithinPartitions(key, order)
 
 
 def save_signals(
     df: DataFrame,
     name: str,
-    files: int = EXTRACT_FILES,
+    files: int | None = None,
     key: str = "vin",
     order: str = "timestamp",
     fmt: str = "parquet",

@@ -20,11 +20,14 @@ def start_spectra(
     signals: DataFrame,
     specs: Sequence[SpectrumSpec],
     name: str,
+    sink: str,
     group_by: Sequence[str] = ("vin",),
-    sink: str = "memory",
     mode: str = "update",
 ) -> StreamingQuery:
-    """Start a query that emits the changed bins of each batch."""
+    """Start a query that emits the changed bins of each batch to ``sink``.
+
+    The ``memory`` sink keeps every row on the driver: for tests only.
+    """
     writer = spectra(signals, specs, group_by=group_by).writeStream
     place = f"{shared_folder(signals.sparkSession)}/fleetspectra-stream-{name}"
     return (

@@ -6,6 +6,7 @@ import math
 
 USER_MIN_KM = 2500
 USER_LIMIT_S = 21600
+ORDER_MIN_KM = 20
 GROUP_K = 0.5
 PERIOD = ("1996-01-01 00:00:00", "1998-01-01 00:00:00")
 
@@ -163,7 +164,9 @@ USER_STATS = f"""
 t AS (
   SELECT vin, {total('speed * 3600.0 / 3600.0')} AS distance_via_speed_km,
          {mean('CASE WHEN speed > 0 THEN speed END')} AS vehicle_speed_avg_driving_kmh,
-         {mean('speed')} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh
+         {mean('speed')} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh,
+         CAST(count(*) AS DOUBLE) AS operating_time_h,
+         CAST(count(CASE WHEN speed > 0 THEN 1 END) AS DOUBLE) AS driving_time_h
   FROM u GROUP BY vin),
 st AS (SELECT t.*, c_mktsegment AS sales_group FROM t JOIN customer ON c_custkey = t.vin),
 kept AS (SELECT * FROM st WHERE distance_via_speed_km >= {USER_MIN_KM}),
@@ -194,6 +197,8 @@ def vehicle_stats(group):
     SELECT {keys}, {total('km')} AS distance_via_speed_km,
       {mean('CASE WHEN speed > 0 THEN speed END')} AS vehicle_speed_avg_driving_kmh,
       {mean('speed')} AS vehicle_speed_avg_kmh, max(speed) AS vehicle_speed_max_kmh,
+      CAST(count(*) AS DOUBLE) / CAST(3600 AS DOUBLE) AS operating_time_h,
+      CAST(count(CASE WHEN speed > 0 THEN 1 END) AS DOUBLE) / CAST(3600 AS DOUBLE) AS driving_time_h,
       {total('fuel_flow * 1.0 / 3600.0')} AS fuel_kg,
       {total(f'CASE WHEN {both} THEN weight * km END')}
         / nullif({total(f'CASE WHEN {both} THEN km END')}, 0) AS weight_distance_based_kg,
@@ -212,10 +217,12 @@ o AS (SELECT vin, sales_group FROM st JOIN f USING (sales_group) WHERE NOT coale
 X = ("sales_group, vin, x1_signal_id, x1_quantized, x1_upper, x1_interval, count").split(", ")
 X_COLS = ", ".join("x." + c for c in X)
 
-ORDERS = f"""
+ORDER_ROWS = """
 w AS (
   SELECT l_orderkey AS vin, l_linestatus AS sales_group, l_extendedprice AS weight,
-         l_quantity AS km FROM lineitem),
+         l_quantity AS km FROM lineitem)"""
+
+ORDERS = f"""{ORDER_ROWS},
 x AS ({spectrum(2, [WEIGHT], 'TRUE', DIST, source='w', group=('vin', 'sales_group'))})"""
 
 PARAMETERS = ["fuel_l_per_100km", "weight_avg_kg", "vehicle_speed_avg_driving_kmh"]
@@ -247,6 +254,8 @@ def sql() -> dict[str, str]:
     out["read_group_family"] = """
 SELECT c_custkey AS vin, c_nationkey AS nation, c_acctbal AS balance, 1 AS sales_group FROM customer
 UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 2 FROM supplier"""
+    out["read_group_family_empty"] = """
+SELECT c_custkey AS vin, c_nationkey AS nation, c_acctbal AS balance, 1 AS sales_group FROM customer"""
     out["save_and_reload"] = f"WITH {ITEMS} SELECT vin, ts AS timestamp, speed, weight FROM s"
 
     out["cohort_filter"] = """
@@ -271,6 +280,10 @@ SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE {period.format(c='o_
     out["vehicle_count"] = """
 SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS vehicles FROM events GROUP BY 1"""
 
+    out["vehicle_count_approx"] = """
+SELECT l_returnflag AS sales_group, count(DISTINCT l_suppkey) AS vehicles, TRUE AS estimate_near
+FROM lineitem GROUP BY 1"""
+
     out["clean_signals"] = f"""
 WITH {USERS}
 SELECT vin, event_id, speed, speed_cleaned, CASE WHEN gear <> 2 THEN gear ELSE 0 END AS gear_cleaned
@@ -351,6 +364,8 @@ SELECT CAST(c AS INTEGER) AS ls_config_id, vin, 'speed' AS x1_signal_id, lo AS x
   CASE WHEN c = 1 THEN CAST(t AS DOUBLE) ELSE d END AS count
 FROM k, (VALUES (1), (2)) w(c)"""
     out["spectra_inspect"] = over_items(spectrum(4, [WEIGHT], DRIVE, DIST))
+    out["inspect_vehicle"] = out["spectra_inspect"] + " WHERE vin = 1"
+    out["stack_spectra"] = over_items(f"{spectrum(1, [WEIGHT], DRIVE, TIME)} UNION ALL {spectrum(2, [WEIGHT], DRIVE, DIST)}")
     gear = Ax("gear", 0, 16, 1)
     out["translate_spectra"] = f"""
 WITH {USERS},
@@ -391,6 +406,17 @@ m(ls_config_id, title, tag, count_type, description, x1_signal_in_config, x1_sig
   x1_signal_suffix, x1_signal, x1_unit) AS (VALUES {', '.join(meta)})
 SELECT m.*, bins, vehicles FROM m JOIN (
   SELECT ls_config_id, count(*) AS bins, count(DISTINCT vin) AS vehicles FROM x GROUP BY 1)
+USING (ls_config_id)"""
+    two_axes = [Ax("speed", 0, 160, 20), GRADIENT]
+    out["spectra_metadata_two_axes"] = f"""
+WITH {ITEMS}, x AS ({spectrum(1, two_axes, DRIVE, TIME)} UNION ALL {spectrum(2, two_axes, DRIVE, DIST)}),
+m(ls_config_id, count_type) AS (VALUES (1, 'time'), (2, 'distance'))
+SELECT ls_config_id, 'Speed by gradient' AS title, count_type, '`20` > 0' AS description,
+  '20' AS x1_signal_in_config, '20' AS x1_signal_id, CAST(NULL AS VARCHAR) AS x1_signal_suffix,
+  'VehSpd_Cval' AS x1_signal, 'km/h' AS x1_unit, '209_abs' AS x2_signal_in_config,
+  '209' AS x2_signal_id, 'abs' AS x2_signal_suffix, 'RoadGrad_abs' AS x2_signal, '%' AS x2_unit,
+  bins, vehicles
+FROM m JOIN (SELECT ls_config_id, count(*) AS bins, count(DISTINCT vin) AS vehicles FROM x GROUP BY 1)
 USING (ls_config_id)"""
     out["signal_id_parts"] = """
 WITH n AS (
@@ -505,6 +531,15 @@ z AS (SELECT vin FROM x GROUP BY vin HAVING coalesce(sum(
         CASE WHEN x1_quantized >= 12000 AND x1_quantized < 50000 THEN count END), 0) = 0)
 SELECT DISTINCT vin, sales_group FROM x WHERE vin IN (SELECT vin FROM z)"""
 
+    order_spec = spectrum(2, [WEIGHT], "TRUE", DIST, source="w", group=("vin", "sales_group"))
+    out["clean_chain_zero_mass"] = f"""
+WITH {ORDER_ROWS},{complete(order_spec, lo, '55000', 1000, ['sales_group'])},
+o AS (SELECT vin FROM x GROUP BY vin, sales_group HAVING sum(count) < {ORDER_MIN_KM}),
+k AS (SELECT * FROM c WHERE vin NOT IN (SELECT vin FROM o)),
+z AS (SELECT vin FROM k GROUP BY vin HAVING sum(
+        CASE WHEN interval_start >= 12000 AND interval_start < 50000 THEN count ELSE 0 END) = 0)
+SELECT DISTINCT vin, sales_group FROM k WHERE vin IN (SELECT vin FROM z)"""
+
     mean_share = mean("norm_count")
     out["fleet_average"] = f"""
 WITH {REGIONAL},{shares('cg', 'interval_start', ['vin'])}
@@ -528,6 +563,10 @@ SELECT sales_group, x_bin, {total('norm_count')} / any_value(v_before) AS avg_be
   {total('CASE WHEN out_vin IS NULL THEN norm_count END')} / any_value(nullif(v_after, 0)) AS avg_after
 FROM p JOIN v USING (sales_group) GROUP BY 1, 2"""
     out["weighted_fleet_average"] = f"WITH {REGIONAL_STATS} SELECT * FROM r"
+    by_time = ", ".join(f"{weighted(p, 'operating_time_h')} AS {p}" for p in PARAMETERS)
+    out["weighted_fleet_average_time"] = (
+        f"WITH {REGIONAL_STATS} SELECT sales_group, {by_time} FROM st GROUP BY sales_group"
+    )
     long = " UNION ALL ".join(
         f"SELECT sales_group, '{p}' AS parameter, {p} AS value FROM r" for p in PARAMETERS
     )
@@ -546,6 +585,19 @@ SELECT sales_group, count({speed}) AS vehicles, any_value(q1) AS q1, any_value(m
   max(CASE WHEN {inside} THEN {speed} END) AS whisker_hi,
   count(CASE WHEN NOT ({inside}) THEN 1 END) AS outliers
 FROM st JOIN q USING (sales_group) GROUP BY 1"""
+    fuel = "fuel_l_per_100km"
+    inside = f"{fuel} BETWEEN q1 - (q3 - q1) AND q3 + (q3 - q1)"
+    out["box_fuel_by_customer"] = f"""
+WITH {ITEMS},
+st AS (SELECT v.*, n_name AS customer FROM ({vehicle_stats(['vin'])}) v
+       JOIN supplier ON s_suppkey = v.vin JOIN nation ON s_nationkey = n_nationkey),
+q AS (SELECT customer, quantile_disc({fuel}, 0.25) AS q1, quantile_disc({fuel}, 0.5) AS median,
+        quantile_disc({fuel}, 0.75) AS q3 FROM st GROUP BY 1)
+SELECT customer, count({fuel}) AS vehicles, any_value(q1) AS q1, any_value(median) AS median,
+  any_value(q3) AS q3, min(CASE WHEN {inside} THEN {fuel} END) AS whisker_lo,
+  max(CASE WHEN {inside} THEN {fuel} END) AS whisker_hi,
+  count(CASE WHEN NOT ({inside}) THEN 1 END) AS outliers
+FROM st JOIN q USING (customer) GROUP BY 1"""
     out["stat_histogram"] = f"""{users},{fences('st', GROUP_K)},
 h AS (SELECT 'before' AS stage, {speed} AS v FROM st UNION ALL
       SELECT 'after', {speed} FROM st JOIN f USING (sales_group) WHERE {INSIDE}),

@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters under which every branch has rows in the test data.
 USER_MIN_KM = 2500
 USER_LIMIT_S = 21600
+ORDER_MIN_KM = 20
 GROUP_K = 0.5
 PERIOD = ("1996-01-01 00:00:00", "1998-01-01 00:00:00")
 
@@ -58,13 +59,24 @@ def read_group_family(spark, sf):
     )
 
 
+@query
+def read_group_family_empty(spark, sf):
+    """A family without tables, then the first group's rows."""
+    none = fs.read_group_family(
+        spark, {}, schema="vin bigint, nation int, balance double, sales_group int"
+    )
+    customers = views.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS vin", "c_nationkey AS nation", "c_acctbal AS balance", "1 AS sales_group"
+    )
+    return none.unionByName(customers)
+
+
 @query
 def save_and_reload(spark, sf):
     name = f"signal_extract_{uuid.uuid4().hex}"
     rows = views.supplier_signals(spark, sf).select("vin", "timestamp", "speed", "weight")
     path = f"{shared_folder(spark)}/{name}"
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fs.save_signals(rows, name, files=files, path=path)
+    fs.save_signals(rows, name, path=path)
     return fs.read_table(spark, name)
 
 
@@ -125,7 +137,13 @@ def vehicle_count(spark, sf):
 
 @query
 def vehicle_count_approx(spark, sf):
-    return fs.vehicle_count_approx(views.supplier_signals(spark, sf), ["sales_group"])
+    """The exact number per group, and whether the estimate is within three deviations."""
+    rows, rsd = views.supplier_signals(spark, sf), 0.02
+    exact = fs.vehicle_count(rows, ["sales_group"]).select("sales_group", "vehicles")
+    estimate = fs.vehicle_count_approx(rows, ["sales_group"], rsd=rsd)
+    both = exact.join(estimate.withColumnRenamed("vehicles", "estimate"), "sales_group")
+    near = F.abs(F.col("estimate") - F.col("vehicles")) <= 3 * rsd * F.col("vehicles")
+    return both.select("sales_group", "vehicles", near.alias("estimate_near"))
 
 
 # --- signals ----------------------------------------------------------------
@@ -265,8 +283,21 @@ def spectra_clipped(spark, sf):
 
 @query
 def spectra_inspect(spark, sf):
-    everything = _spectra(spark, sf, SPECS)
-    return fs.one_spectrum(everything, 4).orderBy("vin", F.desc("x1_quantized"))
+    return fs.one_spectrum(_spectra(spark, sf, SPECS), 4)
+
+
+@query
+def inspect_vehicle(spark, sf):
+    """One vehicle's spectrum, the highest bin first."""
+    return fs.inspect_vehicle(_spectra(spark, sf, SPECS), 1, 4)
+
+
+@query
+def stack_spectra(spark, sf):
+    """Counts of time as whole numbers under distances."""
+    time = _spectra(spark, sf, [WEIGHT], ["time"])
+    time = time.withColumn("count", F.col("count").cast("bigint"))
+    return fs.stack_spectra([time, _spectra(spark, sf, [WEIGHT], ["distance"])])
 
 
 @query
@@ -309,6 +340,33 @@ def spectra_metadata(spark, sf):
     )
 
 
+@query
+def spectra_metadata_two_axes(spark, sf):
+    """Metadata of a spectrum over two signals, one of them derived."""
+    rows = views.driven_signals(spark, sf).withColumnsRenamed(
+        {"speed": "20", "gradient_abs": "209_abs"}
+    )
+    axes = (fs.Axis("20", 0, 160, 20), fs.Axis("209_abs", 0, 25, 1))
+    specs = [fs.SpectrumSpec("Speed by gradient", axes, ("`20` > 0",), "Entire vehicle")]
+    mapping = spark.createDataFrame(
+        [("20", "VehSpd", "VehSpd_Cval", "float", "km/h"), ("209", "RoadGrad", None, "float", "%")],
+        "signal_id string, signal_name string, can_signal_name string, type string, unit string",
+    )
+    metadata = fs.name_signals(fs.spectra_metadata(spark, specs), mapping)
+    totals = fs.spectra(rows, specs).groupBy("ls_config_id").agg(
+        F.count(F.lit(1)).alias("bins"), F.count_distinct("vin").alias("vehicles")
+    )
+    return metadata.join(totals, "ls_config_id").select(
+        "ls_config_id",
+        "title",
+        "count_type",
+        "description",
+        *[f"x{n}_{c}" for n in (1, 2) for c in ("signal_in_config", "signal_id", "signal_suffix", "signal", "unit")],
+        "bins",
+        "vehicles",
+    )
+
+
 @query
 def signal_id_parts(spark, sf):
     part = views.table(spark, sf, "part")
@@ -411,27 +469,28 @@ def vehicle_stats(spark, sf):
     return out.withColumn("road_gradient_stddev", F.round("road_gradient_stddev", 6))
 
 
-def _user_stats(spark, sf):
-    """Statistics per user, one row an hour, with the user's group; as a stored table."""
+def _user_stats(spark, sf, store=True):
+    """Statistics per user, one row an hour, with the user's group; stored where they are read again."""
     stats = fs.vehicle_stats(
         views.user_signals(spark, sf), USER_NAMES, ["vin"], sample_s=3600, sna=None
     )
-    return fs.stored(stats.join(views.user_groups(spark, sf), "vin"), "stats")
+    stats = stats.join(views.user_groups(spark, sf), "vin")
+    return fs.stored(stats, "stats") if store else stats
 
 
 @query
 def min_mileage_filter(spark, sf):
-    return fs.mileage_outliers(_user_stats(spark, sf), USER_MIN_KM).kept
+    return fs.mileage_outliers(_user_stats(spark, sf, store=False), USER_MIN_KM).kept
 
 
 @query
 def mileage_summary(spark, sf):
-    return fs.mileage_outliers(_user_stats(spark, sf), USER_MIN_KM).summary
+    return fs.mileage_outliers(_user_stats(spark, sf, store=False), USER_MIN_KM).summary
 
 
 @query
 def removed_vins_bag(spark, sf):
-    return fs.mileage_outliers(_user_stats(spark, sf), USER_MIN_KM).removed
+    return fs.mileage_outliers(_user_stats(spark, sf, store=False), USER_MIN_KM).removed
 
 
 @query
@@ -470,9 +529,10 @@ def completeness_outliers(spark, sf):
     return fs.completeness_outliers(rows, ["rpm", "fuel"], 0.8)
 
 
-def _grouped(spark, sf):
-    """Weight spectra and outliers of vehicles that are in several groups."""
-    spectra = _stored_spectra(spark, sf, WEIGHT, ("sales_group", "vin"))
+def _grouped(spark, sf, store=False):
+    """Weight spectra (stored where they are read again) and outliers of vehicles that are in several groups."""
+    spectra = _spectra(spark, sf, [WEIGHT], ["distance"], ("sales_group", "vin")).drop("ls_config_id")
+    spectra = fs.stored(spectra, "spectrum") if store else spectra
     stats = fs.vehicle_stats(views.supplier_signals(spark, sf), NAMES, ["sales_group", "vin"])
     found = fs.iqr_outliers(fs.stored(stats, "stats"), k=GROUP_K).removed
     # Stored, the list has a known size and the spectra need no shuffle to lose it.
@@ -525,6 +585,17 @@ def zero_mass_outliers(spark, sf):
     return fs.zero_mass_outliers(_order_spectra(spark, sf))
 
 
+@query
+def clean_chain_zero_mass(spark, sf):
+    """Spectra on their common grid, without vehicles of little mileage, then the ones that carry no weight."""
+    spectra = fs.stored(_order_spectra(spark, sf).drop("ls_config_id"), "spectrum")
+    totals = fs.total_distance(spectra, ["sales_group", "vin"])
+    found = fs.mileage_outliers(totals, ORDER_MIN_KM, "total_distance").removed
+    full = fs.complete_spectra(spectra, *chains.WEIGHT_GRID, by=["sales_group"])
+    clean = chains.combine_clean_spectra(full, fs.stored(found, "outliers")).spectra
+    return fs.zero_mass_outliers(clean, edges=("interval_start", "interval_end"))
+
+
 # --- fleets -----------------------------------------------------------------
 
 
@@ -555,7 +626,7 @@ def vehicle_vs_fleet(spark, sf):
 
 @query
 def fleet_before_after(spark, sf):
-    spectra, found = _grouped(spark, sf)
+    spectra, found = _grouped(spark, sf, store=True)
     return fs.fleet_before_after(
         spectra, found, ["sales_group"], "x1_quantized", on=["vin", "sales_group"]
     )
@@ -576,6 +647,11 @@ def weighted_fleet_average(spark, sf):
     )
 
 
+@query
+def weighted_fleet_average_time(spark, sf):
+    return fs.weighted_fleet_average(_regional_stats(spark, sf), PARAMETERS, "operating_time_h")
+
+
 @query
 def radar_profile(spark, sf):
     averages = fs.weighted_fleet_average(
@@ -589,6 +665,13 @@ def box_stats(spark, sf):
     return fs.box_stats(_user_stats(spark, sf), "vehicle_speed_avg_driving_kmh", k=1.0)
 
 
+@query
+def box_fuel_by_customer(spark, sf):
+    stats = fs.vehicle_stats(views.supplier_signals(spark, sf), NAMES, ["vin"])
+    stats = stats.select("vin", "fuel_l_per_100km").join(views.supplier_customers(spark, sf), "vin")
+    return fs.box_stats(fs.stored(stats, "stats"), "fuel_l_per_100km", ["customer"], k=1.0)
+
+
 @query
 def stat_histogram(spark, sf):
     stats = _user_stats(spark, sf)

@@ -100,6 +100,14 @@ def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def supplier_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The nation of each supplier as the customer who runs it."""
+    supplier, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+        F.col("s_suppkey").alias("vin"), F.col("n_name").alias("customer")
+    )
+
+
 def signal_mapping(spark: SparkSession) -> DataFrame:
     """Lookup of signals; a dictionary, the same at every scale."""
     return spark.createDataFrame(

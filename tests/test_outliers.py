@@ -190,8 +190,10 @@ def test_zero_mass(frame):
         *weights("two groups", 2, (20000, 5.0)),
         *weights("both", 1, (11000, 5.0)),
         *weights("both", 2, (60000, 5.0)),
-    )
-    assert rows_of(zero_mass_outliers(df)) == [
+        *weights("no group", None, (11000, 5.0)),
+    ).withColumn("x1_upper", F.col("x1_quantized") + 1000)
+    found = zero_mass_outliers(df)
+    assert rows_of(found.where("vin <> 'no group'")) == [
         ("above", 1),
         ("below", 1),
         ("both", 1),
@@ -199,13 +201,14 @@ def test_zero_mass(frame):
         ("null", 1),
         ("zero", 1),
     ]
+    assert rows_of(found.where("vin = 'no group'")) == [("no group", None)]
     matrix = weight_matrix(df).orderBy("vin")
     assert matrix.columns[:2] == ["vin", "bin_12500"] and matrix.columns[-1] == "bin_49500"
     assert len(matrix.columns) == 39
     sums = {r.vin: sum(r[1:]) for r in matrix.collect()}
     shares = weight_shares(matrix).orderBy("vin").collect()
     assert [(r.vin, sum(r[1:])) for r in shares] == [("first", 1.0), ("last", 1.0), ("two groups", 1.0)]
-    assert {v for v, s in sums.items() if s == 0} == {"above", "below", "both", "null", "zero"}
+    assert {v for v, s in sums.items() if s == 0} == {"above", "below", "both", "no group", "null", "zero"}
 
 
 # --- fleets -----------------------------------------------------------------------------
@@ -306,7 +309,8 @@ def test_statistics(frame):
     assert a.weight_max_kg == 40000
     assert (a.road_gradient_avg, a.road_gradient_abs_avg) == (1.0, 3.0)
     assert a.road_gradient_stddev == pytest.approx(18**0.5)
-    assert all(value is None for value in b[1:])
+    assert b.operating_time_h > 0 and b.driving_time_h == 0
+    assert all(v is None for name, v in b.asDict().items() if name not in ("vin", "operating_time_h", "driving_time_h"))
 
 
 def test_statistics_of_chosen_signals(frame):

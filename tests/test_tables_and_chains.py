@@ -233,7 +233,7 @@ def test_spectra_of_a_stream(spark, tmp_path, frame):
         frame(schema, *rows).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     name = f"live_{uuid.uuid4().hex}"
-    query = start_spectra(stream, vehicle_specs("20", "5589", "209_abs"), name, mode="complete")
+    query = start_spectra(stream, vehicle_specs("20", "5589", "209_abs"), name, "memory", mode="complete")
     try:
         query.processAllAvailable()
     finally:
