@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +62,11 @@ class Code:
         return row, (word[row] ^ self.flips[at]) >> 11, self.home[at]
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of the word shingles of a whole text; each shingle counts as often as it occurs."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text in lower case, in order; of the whole sequence if it is shorter."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         starts, ends = [0], [sum(map(len, words)) + len(words) - 1]
     else:
@@ -73,7 +74,12 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         edges = np.concatenate([[0], np.cumsum(lengths)])
         starts, ends = edges[: len(words) - shingle + 1].tolist(), (edges[shingle:] - 1).tolist()
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of the word shingles of a whole text; each shingle counts as often as it occurs. Zero without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)].astype("<u8").view(np.uint8)
@@ -161,45 +167,45 @@ def _cell_links(home: np.ndarray, there: np.ndarray, max_bits: int) -> tuple[np.
     return nodes[moved], nodes[label[moved]]
 
 
-def _compare(max_bits: int):
-    """Compare the sorted rows of each cell; holds one cell at a time."""
+def by_cell(links_of: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
+    """A function for ``mapInArrow`` over the sorted rows of ``in_cells``: the links of each cell, one cell held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts):
-            cell = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            if cell[2].any() and len(cell[2]) > 1:
-                a, b = _cell_links(cell[1][cell[2]], cell[1][~cell[2]], max_bits)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        held: list = []
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = pa.Table.from_batches(parts)
+            if len(cell) > 1 and pc.any(cell["home"]).as_py():
+                for a, b in links_of(cell):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            cell = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)])
-            fp = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-            home = batch.column(4).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
-            for k, (x, f, h) in enumerate(
-                zip(np.split(cell, cuts, axis=1), np.split(fp, cuts), np.split(home, cuts), strict=True)
-            ):
-                if held and (k or (held[0][0] != x[:, 0]).any()):
-                    yield from links(held)
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(edges, edges[1:], strict=False):
+                if last is not None and (last != at[:, first]).any():
+                    yield from found(held)
                     held = []
-                if len(f):
-                    held.append((x[:, 0], f, h))
+                held.append(batch.slice(first, end - first))
+                last = at[:, first]
         if held:
-            yield from links(held)
+            yield from found(held)
 
     return run
 
 
-def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 16_384, finer: bool = False) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints of at most ``max_bits`` differing bits, or chains of such links.
+def in_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """``key, x, y`` and the columns of ``rows`` (``key, fp, home`` and any others), a cell's rows together.
 
-    A full anchor is cut into cells of about ``cell_rows`` home rows by ``cell_rows`` others; each row goes to the
-    cells of its stripe, so every pair still meets once and no task gets a whole hot anchor. There are at most
-    12,288 anchors (times pieces when ``finer``), so the table of the full ones is small.
+    Home rows come as ``home``, and all rows come as the others that they are compared with. A full anchor is cut
+    into cells of about ``cell_rows`` home rows by ``cell_rows`` others; each row goes to the cells of its stripe,
+    so every pair still meets once and no task gets a whole hot anchor. An anchor is one of some ten thousand
+    keys (more where keys are finer), so the table of the full ones is small.
     """
-    rows = at_anchors(prints, max_bits, finer)
+    more = [c for c in rows.columns if c not in ("key", "home")]
     full = (
         rows.groupBy("key")
         .agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("all"))
@@ -214,13 +220,22 @@ def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 16_384, finer:
     gh, ga = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("gh", "ga"))
     stripe = F.xxhash64("fp", F.lit(7))
     at_home = rows.where("home").select(
-        "key", F.pmod(stripe, gh).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), ga - 1)).alias("y"), "fp", F.lit(True).alias("home")
+        "key", F.pmod(stripe, gh).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), ga - 1)).alias("y"), F.lit(True).alias("home"), *more
     )
     others = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), gh - 1)).alias("x"), F.pmod(stripe, ga).cast("int").alias("y"), "fp", F.lit(False).alias("home")
+        "key", F.explode(F.sequence(F.lit(0), gh - 1)).alias("x"), F.pmod(stripe, ga).cast("int").alias("y"), F.lit(False).alias("home"), *more
     )
-    cells = at_home.union(others).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return cells.mapInArrow(_compare(max_bits), "a bigint, b bigint")
+    return at_home.union(others).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 16_384, finer: bool = False) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints of at most ``max_bits`` differing bits, or chains of such links."""
+
+    def star(cell: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp, home = cell["fp"].to_numpy().view(np.uint64), cell["home"].to_numpy()
+        yield _cell_links(fp[home], fp[~home], max_bits)
+
+    return in_cells(at_anchors(prints, max_bits, finer), cell_rows).mapInArrow(by_cell(star), "a bigint, b bigint")
 
 
 #: From so many distinct fingerprints on, anchors are made finer; the links are the same.
@@ -250,29 +265,35 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row of each group of near duplicates: the smallest id's, a null id last.
+    """One row of each group of near duplicates, as ``one_of_each`` chooses it."""
+    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    return one_of_each(docs, groups, lambda text: int(np.uint64(fingerprint(text, shingle)).view(np.int64)), id_col, text_col)
 
-    Rows that share id and fingerprint count as one and the smallest text stays. All columns are kept.
+
+def one_of_each(docs: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """One row of each ``label`` of ``groups`` (``doc_id, fp, label``): the smallest id's, a null id last.
+
+    Rows that share id and fingerprint (``print_of`` a text) count as one and the smallest text stays. All
+    columns are kept.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("m")
     chosen = groups.groupBy("label").agg(first).select("m.doc_id", "m.fp")
     doubled = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if doubled.isEmpty():
         gone = groups.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_anti")
         return docs.join(gone, docs[id_col].cast("bigint") == gone["doc_id"], "left_anti")
-    return _keep_by_print(docs, settled(chosen), id_col, text_col, shingle)
+    return _keep_by_print(docs, settled(chosen), print_of, id_col, text_col)
 
 
-def _keep_by_print(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _keep_by_print(docs: DataFrame, chosen: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
     """The chosen rows where ids are not unique: by id and fingerprint, then one of those with both equal."""
     packed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                          F.struct(text_col, *[c for c in docs.columns if c != text_col]).alias("row"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), batch.column(2)], ["doc_id", "fp", "row"])
+            values = pa.array([print_of(t.as_py()) for t in batch.column(1)], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), values, batch.column(2)], ["doc_id", "fp", "row"])
 
         return step
 

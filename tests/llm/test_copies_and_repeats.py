@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import simhash, suffix
+from fleetspectra.llm import similar, simhash, suffix
 from fleetspectra.llm.common import components
 from fleetspectra.llm.queries import QUERIES
 
@@ -124,3 +124,56 @@ def test_repeats_query_and_odd_rows(spark, sf, documents, odd, none):
     cut = suffix.remove_repeats(odd)
     assert cut.count() == odd.count() and cut.where("n_removed > 0").select(F.countDistinct("doc_id")).first()[0] == 2
     assert suffix.remove_repeats(none).count() == 0
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def edited(rng, words, share):
+    """The words with about this share of them replaced, in one run, so that few shingles change."""
+    n = max(1, round(len(words) * share))
+    at = rng.randrange(len(words) - n)
+    return words[:at] + [f"new{rng.getrandbits(40)}" for _ in range(n)] + words[at + n :]
+
+
+@pytest.mark.parametrize("cell_rows", [7, 16_384])
+def test_similar_documents_are_found_and_others_are_not(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(similar.links, "__defaults__", (0.8, cell_rows))
+    rng = random.Random(8)
+    texts = []
+    for k in range(80):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 120, 500]))]
+        texts += [words, edited(rng, words, 0.02), edited(rng, words, 0.5)] + [words] * (k % 3)
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    label = {r.doc_id: r.label for r in similar.similar_documents(docs).collect()}
+    shingles = [five_words(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            share = len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+            if share >= 0.85:
+                assert label[i] == label[j]
+            if share <= 0.5:
+                assert label[i] != label[j]
+    kept = {r.doc_id for r in similar.keep_one(docs).collect()}
+    first = {}
+    for i, x in sorted(label.items(), reverse=True):
+        first[x] = i
+    assert kept == set(first.values())
+
+
+def test_wide_fingerprint_takes_the_majority_of_different_shingles():
+    one, other = similar.wide_fingerprint("a b c d e f"), similar.wide_fingerprint("A B C D E F a b c d e f")
+    assert one.shape == (similar.LANES,) and not similar.wide_fingerprint(" \n").any() and not similar.wide_fingerprint(None).any()
+    assert (similar.wide_fingerprint("a b c d e f" + " a b c d e f" * 3) == similar.wide_fingerprint("a b c d e f" * 1 + " a b c d e f" * 9)).all()
+    assert (one != other).any() and similar.bits_at(1.0) == 0 < similar.bits_at(0.9) < similar.bits_at(0.8)
+
+
+def test_similar_with_odd_rows(odd, none):
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns
+    prints = {similar.node_of(similar.wide_fingerprint(r.text)) for r in odd.collect()}
+    assert kept.count() == len(prints) and similar.similar_documents(odd).count() == odd.count()
+    assert similar.keep_one(none).count() == 0 and similar.similar_documents(none).count() == 0
