@@ -198,34 +198,38 @@ def by_cell(links_of: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray
 
 
 def in_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """``key, x, y`` and the columns of ``rows`` (``key, fp, home`` and any others), a cell's rows together.
+    """``key, x, y, home`` and the other columns of ``rows`` (``key, home`` and any others), a cell's rows together.
 
-    Home rows come as ``home``, and all rows come as the others that they are compared with. A full anchor is cut
-    into cells of about ``cell_rows`` home rows by ``cell_rows`` others; each row goes to the cells of its stripe,
-    so every pair still meets once and no task gets a whole hot anchor. An anchor is one of some ten thousand
-    keys (more where keys are finer), so the table of the full ones is small.
+    A cell's home rows are to be compared with all of its rows. An anchor is one cell unless it is full: then it is cut
+    into cells of about ``cell_rows`` home rows by ``cell_rows`` others, and each row goes to the cells of its stripe,
+    once as a home row and once as an other, so every pair still meets and no task gets a whole hot anchor. An anchor
+    is one of some ten thousand keys (more where keys are finer), so the table of the full ones is small.
     """
     more = [c for c in rows.columns if c not in ("key", "home")]
-    full = (
+    full = settled(
         rows.groupBy("key")
         .agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("all"))
         .where(F.col("all") > cell_rows)
-        .select("key", F.ceil(F.col("homes") / cell_rows).cast("int").alias("gh"), F.ceil(F.col("all") / cell_rows).cast("int").alias("ga"))
+        .select(
+            "key", F.greatest(F.lit(1), F.ceil(F.col("homes") / cell_rows)).cast("int").alias("gh"),
+            F.ceil(F.col("all") / cell_rows).cast("int").alias("ga"),
+        )
     )
-    full = settled(full)
-    if not full.isEmpty():
-        rows = rows.join(full, "key", "left")
+    one = (F.lit(0).alias("x"), F.lit(0).alias("y"), "home", *more)
+    if full.isEmpty():
+        cells = rows.select("key", *one)
     else:
-        rows = rows.withColumns({"gh": F.lit(None).cast("int"), "ga": F.lit(None).cast("int")})
-    gh, ga = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("gh", "ga"))
-    stripe = F.xxhash64("fp", F.lit(7))
-    at_home = rows.where("home").select(
-        "key", F.pmod(stripe, gh).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), ga - 1)).alias("y"), F.lit(True).alias("home"), *more
-    )
-    others = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), gh - 1)).alias("x"), F.pmod(stripe, ga).cast("int").alias("y"), F.lit(False).alias("home"), *more
-    )
-    return at_home.union(others).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        rows = rows.join(full, "key", "left")
+        stripe, whole = F.xxhash64(*more, F.lit(7)), F.col("gh").isNull()
+        at_home = rows.where(~whole & F.col("home")).select(
+            "key", F.pmod(stripe, "gh").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("y"), "home", *more
+        )
+        others = rows.where(~whole).select(
+            "key", F.explode(F.sequence(F.lit(0), F.col("gh") - 1)).alias("x"), F.pmod(stripe, "ga").cast("int").alias("y"),
+            F.lit(False).alias("home"), *more,
+        )
+        cells = rows.where(whole).select("key", *one).union(at_home).union(others)
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
 def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 16_384, finer: bool = False) -> DataFrame:
@@ -233,7 +237,7 @@ def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 16_384, finer:
 
     def star(cell: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fp, home = cell["fp"].to_numpy().view(np.uint64), cell["home"].to_numpy()
-        yield _cell_links(fp[home], fp[~home], max_bits)
+        yield _cell_links(fp[home], fp, max_bits)
 
     return in_cells(at_anchors(prints, max_bits, finer), cell_rows).mapInArrow(by_cell(star), "a bigint, b bigint")
 
