@@ -177,3 +177,47 @@ def test_similar_with_odd_rows(odd, none):
     prints = {similar.node_of(similar.wide_fingerprint(r.text)) for r in odd.collect()}
     assert kept.count() == len(prints) and similar.similar_documents(odd).count() == odd.count()
     assert similar.keep_one(none).count() == 0 and similar.similar_documents(none).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [40, 16_384])
+def test_similar_documents_equal_exact_jaccard_groups(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(similar.links, "__defaults__", (0.8, cell_rows))
+    rng = random.Random(11)
+    texts = []
+    for k in range(120):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([9, 30, 104, 404]))]
+        n = len(words) - 4
+        texts += [words]
+        for share in (0.72, 0.77, 0.8, 0.8, 0.83):
+            # A text whose end is new: n - m of n shingles stay, of n + m in all.
+            m = round(n * (1 - share) / (1 + share)) + rng.choice([0, 0, 1])
+            texts.append(words[: len(words) - m] + [f"new{rng.getrandbits(40)}" for _ in range(m)])
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0] + " x"), (3, texts[9])], "doc_id bigint, text string")
+    rows = docs.collect()
+    sets = [five_words(r.text) for r in rows]
+    label = list(range(len(rows)))
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] & sets[j]:
+                both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+                near += 0.7 <= both / all_ < 0.8
+                if 5 * both >= 4 * all_ and label[i] != label[j]:
+                    a, b = label[i], label[j]
+                    label = [b if x == a else x for x in label]
+    want, got = {}, {}
+    for k, r in enumerate(rows):
+        want.setdefault(label[k], set()).add((r.doc_id, similar.set_node(similar.shingles(r.text))))
+    for r in similar.similar_documents(docs).collect():
+        got.setdefault(r.label, set()).add((r.doc_id, r.fp))
+    assert near > 100 and set(map(frozenset, got.values())) == set(map(frozenset, want.values()))
+
+
+def test_bands_meet_as_often_as_stated():
+    rng = np.random.default_rng(3)
+    met = np.zeros(similar.BANDS)
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, 108).astype(np.uint64)  # 96 of 120 are shared
+        met += similar.band_keys(x) == similar.band_keys(np.concatenate([x[:96], rng.integers(0, 1 << 63, 12).astype(np.uint64)]))
+    assert abs(met.mean() / 300 - 0.8**similar.ROWS) < 0.03 and 1 - (1 - 0.8**similar.ROWS) ** similar.BANDS > 0.9999
