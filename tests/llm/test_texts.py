@@ -181,3 +181,21 @@ def _all(scorer, model, x):
     y = np.full((n, lm.QUERIES), -1)
     y[:, 0] = np.arange(n)
     return scorer.log_probability(model.classes.of(np.repeat(x[:1], n, 0), "input"), y)[:, 0]
+
+
+def _zipf_words(rng, n, words=20_000):
+    return [f"w{k}" for k in np.minimum(words - 1, (words ** rng.random(n)).astype(int))]
+
+
+def test_short_items_in_running_text_are_found_against_a_large_benchmark(spark):
+    rng = np.random.default_rng(6)
+    items = [_zipf_words(rng, 5 + k % 12) for k in range(2000)]
+    rows, planted = [], set()
+    for d in range(240):
+        words, k = _zipf_words(rng, 150), d * 8 + d % 8
+        at = int(rng.integers(0, 150))
+        rows.append((d, " ".join(words[:at] + items[k] + words[at:])))
+        planted.add((d, k))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()}
+    assert planted <= found
