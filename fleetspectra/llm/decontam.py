@@ -208,7 +208,7 @@ class Anchors:
         self.need = np.ceil(np.where(self.short, COPY, PARAPHRASE) * size - 1e-9).astype(np.int64)
         self.width = np.where(self.short, 2 * size, PASSAGE + 2 * size)
         kinds = np.array([len(np.unique(f)) for f in pieces.features], np.int64)
-        self.count = np.clip(kinds - (size - self.need), 1, (self.need + 1) // 2)
+        self.count = np.clip(kinds - (size - self.need), 1, np.maximum(1, self.need // 3))
         slot, piece = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, f in enumerate(pieces.features):
             different = np.unique(f)

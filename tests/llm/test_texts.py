@@ -199,3 +199,37 @@ def test_short_items_in_running_text_are_found_against_a_large_benchmark(spark):
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()}
     assert planted <= found
+
+
+def _leaked_by_brute_force(piece, answer, words):
+    size, leaked = len(piece), False
+    for begin in range(0, len(words), decontam.STRIDE):
+        region = words[max(0, begin - size) : begin + decontam.PASSAGE + size]
+        share = decontam.common_subsequence(piece, region) / size
+        answered = decontam.common_subsequence(answer, region) / len(answer)
+        leaked |= share >= decontam.COPY or share >= decontam.PARAPHRASE and answered >= decontam.ANSWER
+    return leaked
+
+
+def test_gapped_copies_are_found_as_by_brute_force():
+    rng = np.random.default_rng(7)
+    items = [(k, " ".join(_zipf_words(rng, int(rng.integers(16, 49)))), None) for k in range(60)]
+    docs = []
+    for d in range(120):
+        item = items[d % 60][1].split()
+        kept = [w for k, w in enumerate(item) if k >= len(item) * 2 // 3 or rng.random() < (0.3, 0.5, 0.8)[d % 3]]
+        copy = [x for w in kept for x in [w, *_zipf_words(rng, int(rng.integers(0, 3)))]]
+        docs.append(" ".join(_zipf_words(rng, 60 + d % 9) + copy + _zipf_words(rng, 70)))
+    docs += ["", " ".join(_zipf_words(rng, 3)), "w0 " * 300]
+    pieces = decontam.pieces_of(items)
+    known = pieces.vocabulary
+    idf = decontam.inverse_frequency(rng.integers(0, 50, len(known)).astype(float), 400)
+    nothing = np.zeros((len(known), 1), np.float32), np.zeros((len(pieces.items), 1), np.float32)
+    index = decontam.Index(pieces, *nothing, decontam.Anchors(pieces, idf))
+    _, _, texts = next(iter(chunks(pa.array(docs))))
+    got = {(d, p) for d, p, *_ in index.search(texts, index.membership())}
+    want = {
+        (d, p) for d, text in enumerate(docs) for p in range(len(pieces.items))
+        if _leaked_by_brute_force(pieces.words[p].tolist(), pieces.answers[p].tolist(), decontam.hashed(text).tolist())
+    }
+    assert got == want and len(want) > 80
