@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import decontam, gam, langid, lm, mixing, pii, rules, sharding, simhash, suffix
+from fleetspectra.llm import decontam, exact, gam, langid, lm, mixing, pii, rules, sharding, simhash, suffix
 from fleetspectra.llm.common import fold_of, shared_folder
 
 
@@ -79,6 +79,11 @@ def op10_language_model(spark: SparkSession, sf: str, vocabulary: str = VOCABULA
     return scored.withColumn("held_out", held_out)
 
 
+def op12_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = exact.exact_duplicates(_read(spark, sf, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
@@ -90,7 +95,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_shard": op9_shard,
     "op10_language_model": op10_language_model,
+    "op12_exact_duplicates": op12_exact_duplicates,
 }
 
-# None of these queries has plain SQL; tests/llm compares them with brute force on small tables.
-SQL: dict[str, str] = {}
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST)"""
+
+# Queries without plain SQL are compared with brute force on small tables, or by held-out accuracy, in tests/llm.
+SQL: dict[str, str] = {"op12_exact_duplicates": OP12}
