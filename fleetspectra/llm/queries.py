@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import decontam, exact, gam, langid, lm, mixing, pii, rules, sharding, simhash, suffix
+from fleetspectra.llm import decontam, exact, gam, langid, lexical, lm, mixing, pii, rules, sharding, simhash, suffix
 from fleetspectra.llm.common import fold_of, shared_folder
 
 
@@ -84,6 +84,10 @@ def op12_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard": op9_shard,
     "op10_language_model": op10_language_model,
     "op12_exact_duplicates": op12_exact_duplicates,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 OP12 = r"""
@@ -105,5 +110,23 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST)"""
 
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents),
+one AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM one GROUP BY ALL),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM p, whole GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), whole GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
 # Queries without plain SQL are compared with brute force on small tables, or by held-out accuracy, in tests/llm.
-SQL: dict[str, str] = {"op12_exact_duplicates": OP12}
+SQL: dict[str, str] = {"op12_exact_duplicates": OP12, "op13_lexical_search": OP13}
