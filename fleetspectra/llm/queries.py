@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import decontam, exact, gam, langid, lexical, lm, mixing, pii, rules, sharding, simhash, suffix
+from fleetspectra.llm import alignment, decontam, exact, gam, langid, lexical, lm, mixing, pii, rules, sharding, simhash, suffix
 from fleetspectra.llm.common import fold_of, shared_folder
 
 
 #: A public vocabulary file; nothing of it is kept here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
+#: The two vocabularies that are aligned.
+ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -79,6 +82,10 @@ def op10_language_model(spark: SparkSession, sf: str, vocabulary: str = VOCABULA
     return scored.withColumn("held_out", held_out)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf: str, vocabularies: tuple[str, str] = ALIGNED) -> DataFrame:
+    return alignment.score(_read(spark, sf, "documents"), *vocabularies)
+
+
 def op12_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     found = exact.exact_duplicates(_read(spark, sf, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_shard": op9_shard,
     "op10_language_model": op10_language_model,
+    "op11_align_tokenizers": op11_align_tokenizers,
     "op12_exact_duplicates": op12_exact_duplicates,
     "op13_lexical_search": op13_lexical_search,
 }
