@@ -15,6 +15,9 @@ from fleetspectra.operators.comparison import (
     stat_histogram,
     weighted_fleet_average,
 )
+from fleetspectra.operators.anomalies import anomaly_scores, grow_trees, score_anomalies
+from fleetspectra.operators.clustering import cluster_spectra, quantile_vectors
+from fleetspectra.operators.distances import fleet_distances, group_distances
 from fleetspectra.operators.fleet import fleet_average, fleet_before_after, vehicle_vs_fleet
 from fleetspectra.operators.grid import (
     complete_spectra,
@@ -63,5 +66,7 @@ from fleetspectra.sources.tables import (
     stored,
 )
 from fleetspectra.spec import Axis, CleanRule, SpectrumSpec, engine_spec, vehicle_specs
+from fleetspectra.streaming.cleaning import clean_stream
+from fleetspectra.streaming.tables import BatchTable, start_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

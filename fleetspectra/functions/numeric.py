@@ -17,7 +17,7 @@ def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
     another order or a lost task runs again. Whole numbers do not, so each
     double is cut into limbs of 20 bits, which is exact down to ``2**-60``, and
     the limbs are added as bigints. That holds for some 9e12 rows and sums up
-    to 9e24. NaN counts as missing.
+    to 9e24. NaN and infinities count as missing.
     """
     rest = known(value) / F.lit(LIMB)
     total = []
@@ -37,13 +37,18 @@ def exact_avg(value: Column) -> Column:
     return F.try_divide(exact_sum(value), F.count(known(value)))
 
 
-def exact_stddev(value: Column) -> Column:
-    """Sample deviation that does not depend on row order; null below two values."""
-    n = F.count(known(value))
-    mean = F.try_divide(exact_sum(value), n)
-    rest = F.greatest(exact_sum(value * value) - mean * mean * n, F.lit(0.0))
-    return F.sqrt(F.try_divide(rest, F.nullif(n, F.lit(0)) - 1))
+def stable_stddev(value: Column, digits: int = 12) -> Column:
+    """Sample deviation from merged means and second moments; null below two values.
+
+    Those keep all digits of values that lie far from 0, but their last ones depend on the order of merging; so the
+    result is rounded to ``digits`` significant ones.
+    """
+    deviation = F.nullif(F.stddev_samp(known(value)), F.lit(float("nan")))
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(deviation)))
+    return F.when(deviation > 0, F.rint(deviation * scale) / scale).otherwise(deviation)
 
 
 def known(value: Column) -> Column:
-    return F.nanvl(value.cast("double"), F.lit(None))
+    """The value as a double; NaN and infinities count as missing."""
+    number = value.cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from fleetspectra.functions.times import epoch_micros, epoch_seconds
 from fleetspectra.spec import CleanRule
@@ -50,45 +51,82 @@ def with_previous(
     ``defaults[new]`` (null if not given). ``tie`` orders rows with equal time
     stamps. Rows without vehicle or time have no previous row.
 
-    The data is shuffled once, by vehicle and slice, and both the hand-over
-    join and the window use that shuffle. The hand-over holds one row per
-    vehicle and slice, so the only window over a whole vehicle sees
+    The rows are read and shuffled once, by vehicle and slice; the hand-over,
+    the window and the join of both use that shuffle. For that they travel
+    whole, so select the columns you need first. The hand-over holds one row
+    per vehicle and slice, so the only window over a whole vehicle sees
     ``time span / slice_s`` rows.
     """
-    defaults = dict(defaults or {})
-    sources = {new: F.col(f"`{old}`") for new, old in columns.items()}
-    types = {new: df.schema[old].dataType for new, old in columns.items()}
-    default = {new: F.lit(defaults.get(new)).cast(types[new]) for new in columns}
-    carried = {new: f"__carry_{i}" for i, new in enumerate(columns)}
-    rank = F.struct(order, *tie) if tie else F.col(order)
-
     spread_by = [key, *columns.values(), *tie]
-    sliced = df.withColumn(SLICE, time_slice(order, slice_s, spread_by))
-    timed = sliced.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    last = timed.groupBy(key, SLICE).agg(
-        *[F.max_by(sources[new], rank).alias(carried[new]) for new in columns]
+    rows = df.select(
+        F.col(f"`{key}`").alias("__key"), time_slice(order, slice_s, spread_by).alias(SLICE), F.struct("*").alias("__row")
+    )
+    return _previous(rows.repartition("__key", SLICE), df, columns, defaults, key, order, tie)
+
+
+def clean_with_previous(
+    df: DataFrame,
+    rules: Sequence[CleanRule],
+    columns: Mapping[str, str],
+    defaults: Mapping[str, object] | None = None,
+    drop: bool = True,
+    key: str = "vin",
+    order: str = "timestamp",
+    tie: Sequence[str] = (),
+    slice_s: int | None = None,
+) -> DataFrame:
+    """``hold_last_valid`` and then ``with_previous`` over the rows that stay, from one shuffle of the signals.
+
+    Both look at the same slices: the good readings copied into a slice serve the first, its own rows the second.
+    With ``drop``, rows that lack a cleaned signal go and are no one's previous row. Rows travel whole, so select the
+    columns you need first.
+    """
+    slice_s = slice_s or max([SLICE_S, *[4 * r.limit_s for r in rules]])
+    cleaned = _in_slices(df, rules, key, order, tie, slice_s)
+    outputs = [r.output for r in rules]
+    if drop:
+        cleaned = cleaned.dropna(subset=outputs, how="any")
+    kept = [*df.columns, *outputs]
+    rows = cleaned.select(
+        F.col(f"`{key}`").alias("__key"), F.col("__home").alias(SLICE), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row")
+    )
+    return _previous(rows, cleaned.select(*[F.col(f"`{c}`") for c in kept]), columns, defaults, key, order, tie)
+
+
+def _previous(
+    rows: DataFrame,
+    like: DataFrame,
+    columns: Mapping[str, str],
+    defaults: Mapping[str, object] | None,
+    key: str,
+    order: str,
+    tie: Sequence[str],
+) -> DataFrame:
+    """The rows in ``__row``, dealt by ``__key`` and slice, with the values of their previous rows.
+
+    Both branches use the whole row and no filter that could move below the shuffle, so Spark makes the shuffle once.
+    """
+    field = lambda name: F.col("__row")[name]
+    default = {new: F.lit((defaults or {}).get(new)).cast(like.schema[old].dataType) for new, old in columns.items()}
+    timed = F.col("__key").isNotNull() & field(order).isNotNull()
+    rank = F.struct(field(order), *[field(t) for t in tie])
+    last = rows.groupBy("__key", SLICE).agg(
+        F.max_by("__row", F.when(timed, rank)).alias("__last"), F.first("__key").alias("__of"), F.first(SLICE).alias("__at")
     )
-    by_slice = W.partitionBy(key).orderBy(SLICE)
-    carry = last.select(
-        key,
-        SLICE,
-        F.lag(F.lit(True)).over(by_slice).alias("__carried"),
-        *[F.lag(name).over(by_slice).alias(name) for name in carried.values()],
+    carry = last.where(F.col("__last").isNotNull()).select(
+        "__of", "__at", F.lag("__last").over(W.partitionBy("__of").orderBy("__at")).alias("__carry")
     )
-    within = W.partitionBy(key, SLICE).orderBy(order, *tie)
-    untimed = F.col(key).isNull() | F.col(order).isNull()
-    out = sliced.join(carry.hint("shuffle_hash"), [key, SLICE], "left").select(
-        *[F.col(f"`{c}`") for c in df.columns],
+    within = W.partitionBy("__key", SLICE).orderBy(field(order), *[field(t) for t in tie])
+    before = rows.withColumn("__within", F.lag("__row").over(within))
+    both = before.join(carry, (F.col("__key") == F.col("__of")) & (F.col(SLICE) == F.col("__at")), "left")
+    both = both.withColumn("__before", F.when(timed, F.coalesce("__within", "__carry")))
+    return both.select(
+        *[field(c).alias(c) for c in like.columns],
         *[
-            F.when(untimed, default[new])
-            .when(F.lag(F.lit(True)).over(within), F.lag(sources[new]).over(within))
-            .when(F.col("__carried"), F.col(carried[new]))
-            .otherwise(default[new])
-            .alias(new)
-            for new in columns
+            F.when(F.col("__before").isNotNull(), F.col("__before")[old]).otherwise(default[new]).alias(new)
+            for new, old in columns.items()
         ],
     )
-    return out
 
 
 def hold_last_valid(
@@ -105,18 +143,31 @@ def hold_last_valid(
     time limit reaches, so each slice can be worked on alone: one shuffle, no
     join, and copies of about ``limit / slice_s`` of the rows.
     """
-    valid = {
-        r.output: F.when(F.expr(r.valid) & F.col(f"`{r.signal}`").isNotNull(), F.col(f"`{r.signal}`"))
-        for r in rules
-    }
+    if not any(r.limit_s > 0 for r in rules):
+        types = {r.output: df.schema[r.signal].dataType for r in rules}
+        return df.select("*", *[_or_fill(_good(r, types), r, types).alias(r.output) for r in rules])
+    slice_s = slice_s or max(SLICE_S, *[4 * r.limit_s for r in rules])
+    return _in_slices(df, rules, key, order, tie, slice_s).drop("__home")
+
+
+def _good(rule: CleanRule, types: Mapping[str, object]) -> Column:
+    """The reading where it is good, else null. NaN is no reading."""
+    reading = F.col(f"`{rule.signal}`")
+    known = reading.isNotNull()
+    if isinstance(types[rule.output], (DoubleType, FloatType)):
+        known = known & ~F.isnan(reading)
+    return F.when(F.expr(rule.valid) & known, reading)
+
+
+def _in_slices(
+    df: DataFrame, rules: Sequence[CleanRule], key: str, order: str, tie: Sequence[str], slice_s: int
+) -> DataFrame:
+    """The rows with their cleaned signals and their slice in ``__home``, dealt by vehicle and slice."""
     types = {r.output: df.schema[r.signal].dataType for r in rules}
+    valid = {r.output: _good(r, types) for r in rules}
     held = [r for r in rules if r.limit_s > 0]
-    if not held:
-        return df.select("*", *[_or_fill(valid[r.output], r, types).alias(r.output) for r in rules])
-
-    reach = max(r.limit_s for r in held)
-    slice_s = slice_s or max(SLICE_S, 4 * reach)
-    any_valid = reduce(Column.__or__, [valid[r.output].isNotNull() for r in held])
+    reach = max([r.limit_s for r in held], default=0)
+    any_valid = reduce(Column.__or__, [valid[r.output].isNotNull() for r in held], F.lit(False))
     home = time_slice(order, slice_s, [key, *(r.signal for r in held), *tie])
     until = slice_start(epoch_seconds(F.col(order)) + F.lit(reach), slice_s)
     # A row without a time stamp has no "until" and stays where it is.
@@ -146,7 +197,7 @@ def hold_last_valid(
     return (
         spread.select("*", *[cleaned(r).alias(r.output) for r in rules])
         .where(F.col(SLICE) == F.col("__home"))
-        .drop(SLICE, "__home")
+        .drop(SLICE)
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.times import epoch_micros, epoch_seconds
-from fleetspectra.operators.ordering import hold_last_valid, with_previous
+from fleetspectra.operators.ordering import clean_with_previous, hold_last_valid, with_previous
 from fleetspectra.spec import CleanRule
 
 # The reading that means "speed not available", and the rated
@@ -133,6 +133,22 @@ def add_time_since_last(
     return out.withColumn(output, minutes_between(F.col(previous), F.col(order)))
 
 
+def clean_and_time_since_last(
+    df: DataFrame,
+    rules: Sequence[CleanRule],
+    drop: bool = True,
+    key: str = "vin",
+    order: str = "timestamp",
+    tie: Sequence[str] = (),
+    previous: str = "timestamp_lag_vin",
+    output: str = "diff_time_to_last_timestamp_vin_min",
+    slice_s: int | None = None,
+) -> DataFrame:
+    """``clean_signals`` and ``add_time_since_last`` of the rows that stay, from one shuffle."""
+    out = clean_with_previous(df, rules, {previous: order}, None, drop, key, order, tie, slice_s)
+    return out.withColumn(output, minutes_between(F.col(previous), F.col(order)))
+
+
 def minutes_between(before: Column, after: Column) -> Column:
     return (epoch_seconds(after) - epoch_seconds(before)) / F.lit(60)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.numeric import exact_avg, exact_stddev, exact_sum
+from fleetspectra.functions.numeric import exact_avg, exact_sum, known, stable_stddev
 from fleetspectra.operators.signals import SPEED_NOT_AVAILABLE
 
 # Fixed value: diesel, kilograms per litre.
@@ -38,7 +38,7 @@ def vehicle_stats(
     The formulas are this library's own definitions: each row stands for
     ``sample_s`` seconds of operation, driving means speed above 0, fuel flow is in kg/h.
     """
-    speed = F.col(f"`{names.speed}`").cast("double")
+    speed = known(F.col(f"`{names.speed}`"))
     if sna is not None:
         speed = F.when(speed != F.lit(float(sna)), speed)
     dt = F.lit(float(sample_s))
@@ -55,10 +55,10 @@ def vehicle_stats(
         "driving_time_h": F.count(F.when(driving, speed)) * dt / F.lit(3600.0),
     }
     if names.fuel_flow:
-        flow = F.col(f"`{names.fuel_flow}`").cast("double")
+        flow = known(F.col(f"`{names.fuel_flow}`"))
         stats["fuel_kg"] = exact_sum(flow * dt / F.lit(3600.0))
     if names.weight:
-        weight = F.col(f"`{names.weight}`").cast("double")
+        weight = known(F.col(f"`{names.weight}`"))
         both = weight.isNotNull() & km.isNotNull()
         stats["weight_distance_based_kg"] = F.try_divide(
             exact_sum(F.when(both, weight * km)), exact_sum(F.when(both, km))
@@ -67,10 +67,10 @@ def vehicle_stats(
         stats["weight_min_kg"] = F.min(weight)
         stats["weight_max_kg"] = F.max(weight)
     if names.gradient:
-        slope = F.when(driving, F.col(f"`{names.gradient}`").cast("double"))
+        slope = F.when(driving, known(F.col(f"`{names.gradient}`")))
         stats["road_gradient_avg"] = exact_avg(slope)
         stats["road_gradient_abs_avg"] = exact_avg(F.abs(slope))
-        stats["road_gradient_stddev"] = exact_stddev(slope)
+        stats["road_gradient_stddev"] = stable_stddev(slope)
     out = step.groupBy(*group_by).agg(*[s.alias(name) for name, s in stats.items()])
     if names.fuel_flow:
         litres = F.col("fuel_kg") / F.lit(float(density))

@@ -28,17 +28,18 @@ def prepare_signals(
 ) -> DataFrame:
     """Clean engine speed and fuel flow, then add the derived columns.
 
-    ``time_since_last`` costs a second look at the cleaned data and no
-    spectrum needs it, so it is only added when asked for.
+    ``time_since_last`` needs the rows in one piece and no spectrum needs it,
+    so it is only added when asked for; cleaning and it share one shuffle.
     """
     rules = [CleanRule(s, f"`{s}` > 0", limit_s) for s in (rpm, fuel_flow)]
-    df = signals.clean_signals(df, rules, key=key, order=order)
+    if time_since_last:
+        df = signals.clean_and_time_since_last(df, rules, key=key, order=order)
+    else:
+        df = signals.clean_signals(df, rules, key=key, order=order)
     df = signals.add_distance(df, speed, sample_s)
     df = signals.add_engine_power(df, torque, rpm)
     df = signals.add_abs(df, gradient)
     df = signals.add_year_month(df, order)
-    if time_since_last:
-        df = signals.add_time_since_last(df, key, order)
     return signals.copy_signal(df, speed, f"{speed}_cleaned")
 
 

@@ -610,4 +610,6 @@ FROM m CROSS JOIN range(0, 30) r(i) LEFT JOIN k ON k.stage = m.stage AND k.bin =
     out["value_quantiles"] = """
 SELECT event_type, quantile_disc(value, 0.01) AS p01, quantile_disc(value, 0.5) AS p50,
   quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1"""
-    return out
+    from registry import model_oracles
+
+    return {**out, **model_oracles.sql(out)}

@@ -24,6 +24,10 @@ USER_MIN_KM = 2500
 USER_LIMIT_S = 21600
 ORDER_MIN_KM = 20
 GROUP_K = 0.5
+CLUSTERS = 4
+ANOMALY_COLUMNS = [
+    "distance_via_speed_km", "vehicle_speed_avg_driving_kmh", "fuel_l_per_100km", "weight_avg_kg", "road_gradient_abs_avg"
+]
 PERIOD = ("1996-01-01 00:00:00", "1998-01-01 00:00:00")
 
 SPECS = fs.vehicle_specs("speed", "weight", "gradient_abs")
@@ -689,3 +693,100 @@ def value_quantiles(spark, sf):
     return fs.grouped_quantiles(
         views.user_signals(spark, sf), "speed", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, ["event_type"]
     )
+
+
+# --- distances, clusters, anomalies ---------------------------------------------
+
+
+def _rounded(df, column):
+    return df.withColumn(column, F.round(column, 6))
+
+
+@query
+def spectra_distance(spark, sf):
+    """Each vehicle's Wasserstein distance from the mean spectrum of its region."""
+    return _rounded(fs.fleet_distances(_regional_grid(spark, sf), ["sales_group"]), "distance")
+
+
+@query
+def spectra_distance_groups(spark, sf):
+    return _rounded(fs.group_distances(_regional_grid(spark, sf), "sales_group"), "distance")
+
+
+def _regional_grid(spark, sf):
+    """Weight spectra on their common grid, with each vehicle's region."""
+    full = fs.complete_spectra(_spectra(spark, sf, [WEIGHT], ["distance"]), 0, 55000, 1000)
+    full = full.select("vin", "interval_start", "interval_end", "count")
+    return fs.stored(full.join(views.supplier_regions(spark, sf), "vin"), "complete")
+
+
+def _clusters(spark, sf):
+    full = fs.complete_spectra(_spectra(spark, sf, [WEIGHT], ["distance"]), 0, 100000, 1000)
+    full = full.select("vin", "interval_start", "interval_end", "count")
+    return fs.cluster_spectra(full, CLUSTERS, levels=20, max_rounds=12)
+
+
+@query
+def cluster_spectra(spark, sf):
+    return _rounded(_clusters(spark, sf).vehicles, "distance")
+
+
+@query
+def cluster_medians(spark, sf):
+    centers = _clusters(spark, sf).centers
+    return centers.select("cluster", F.posexplode("q").alias("level", "median"), "vehicles")
+
+
+@query
+def anomaly_scores(spark, sf):
+    stats = fs.stored(fs.vehicle_stats(views.supplier_signals(spark, sf), NAMES, ["vin"]), "stats")
+    scored = fs.anomaly_scores(stats, ANOMALY_COLUMNS, trees=25, sample=32)
+    return scored.select("vin", F.round("anomaly_score", 9).alias("anomaly_score"))
+
+
+# --- streams ------------------------------------------------------------------
+
+ARRIVALS, LATE_S = 6, 1800
+
+
+def _arriving(spark, sf):
+    """The users' signals as a stream of files: up to half an hour late, and one row far ahead at the end."""
+    rows = views.user_signals(spark, sf)
+    arrival = F.unix_seconds("timestamp") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_S))
+    ends = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).head()
+    span = max(1, -(-(ends["hi"] + 1 - ends["lo"]) // ARRIVALS))
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    for n in range(ARRIVALS):
+        rows.where(F.floor((arrival - ends["lo"]) / span) == n).write.mode("append").parquet(folder)
+    last = {"vin": F.lit(-1), "timestamp": F.timestamp_seconds(F.lit(ends["hi"] + 10 * span)), "event_id": F.lit(-1)}
+    spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    # The files of one stretch of arrivals may come in any order.
+    return stream, f"{span + LATE_S} seconds"
+
+
+def _run_stream(spark, rows, keys=(), mode="append"):
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table = fs.BatchTable(spark, f"{folder}/table", keys, snapshot_every=3)
+    fs.start_table(rows, table, f"stream_{uuid.uuid4().hex}", mode, once=True, checkpoint=f"{folder}/checkpoint").awaitTermination()
+    return table.read().where("vin <> -1")
+
+
+@query
+def stream_clean_signals(spark, sf):
+    """Cleaning and the previous row over late rows in micro-batches."""
+    stream, delay = _arriving(spark, sf)
+    rules = [fs.CleanRule("speed", "speed > 5", USER_LIMIT_S), fs.CleanRule("gear", "gear <> 2", 0, fill=0)]
+    before = {"event_before": "event_id", "time_before": "timestamp"}
+    cleaned = fs.clean_stream(stream, rules, before, {"event_before": -1}, tie=["event_id"], delay=delay)
+    found = _run_stream(spark, cleaned)
+    time_before = F.col("time_before").cast("timestamp_ntz").alias("time_before")
+    return found.select("vin", "event_id", "speed", "speed_cleaned", "gear_cleaned", "event_before", time_before)
+
+
+@query
+def stream_spectra(spark, sf):
+    """A spectrum that grows batch by batch, each changed bin put in the place of its last value."""
+    stream, _ = _arriving(spark, sf)
+    counted = fs.spectra(stream, [USER_SPEED], ["time"])
+    return _run_stream(spark, counted, ["ls_config_id", "vin", "x1_quantized"], "update")

@@ -26,6 +26,7 @@ from fleetspectra.operators.outliers import (
     weight_shares,
     zero_mass_outliers,
 )
+from fleetspectra.operators import quantiles
 from fleetspectra.operators.quantiles import grouped_quantiles
 from fleetspectra.operators.statistics import SignalNames, vehicle_stats
 
@@ -74,10 +75,32 @@ def test_quantiles_of_one_value_repeated(spark):
     assert (got.m, got.p) == (values[24999], values[49])
 
 
-def test_quantiles_order_only_a_narrow_band(frame, plan):
+def test_quantiles_put_no_group_in_one_task(frame, plan):
     df = frame("g string, x double", ("a", 1.0))
     text = plan(grouped_quantiles(df, "x", {"m": 0.5}, ["g"]))
-    assert "percentile_approx" in text and " percentile(" not in text
+    assert "Window" not in text and " percentile(" not in text
+
+
+@pytest.mark.parametrize("edges", ["good", "first", "last", "same"])
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch, edges):
+    """Many narrowings, null groups, ties, infinities; a sketch that proposes poor values only makes it slower."""
+    rng = random.Random(11)
+    data = [(rng.choice("ab") if i % 9 else None, rng.choice([float(rng.randint(0, 9)), rng.random(), -1e300])) for i in range(3000)]
+    data += [("c", float(v)) for v in (1, 1, 2, 2)] + [("a", float("inf")), ("b", float("-inf"))]
+    df = spark.createDataFrame(data, "g string, x double").repartition(4)
+    poor = {"first": [0.0] * 11, "last": [1.0] * 11, "same": [0.5] * 11}
+    if edges != "good":
+        wrong = lambda parts: [F.percentile_approx("__x", poor[edges][: parts + 1], 10).alias("__edges")]
+        monkeypatch.setattr(quantiles, "_sketch", wrong)
+        df = df.limit(60)
+    df = df.cache()
+    probs = {"p0": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "p100": 1.0}
+    got = grouped_quantiles(df, "x", probs, ["g"], accuracy=100 if edges == "good" else 20, finish=5)
+    want = df.where("abs(x) < double('infinity')").groupBy("g").agg(
+        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias(name) for name, p in probs.items()]
+    )
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r)) for r in want.collect())
+    df.unpersist()
 
 
 # --- outliers -------------------------------------------------------------------
@@ -322,9 +345,18 @@ def test_statistics_of_chosen_signals(frame):
         "vehicle_speed_avg_driving_kmh",
         "vehicle_speed_avg_kmh",
         "vehicle_speed_max_kmh",
+        "operating_time_h",
+        "driving_time_h",
     ]
 
 
+def test_statistics_far_from_zero_and_with_infinities(frame):
+    rows = [("A", 1.0, 1e9 + i) for i in range(3)] + [("A", float("inf"), 0.0), ("A", 1.0, float("-inf")), ("B", 1.0, 7.0)]
+    got = vehicle_stats(frame("vin string, v double, g double", *rows), SignalNames("v", None, None, "g"), sample_s=3600).orderBy("vin").collect()
+    assert (got[0].road_gradient_stddev, got[0].distance_via_speed_km, got[0].vehicle_speed_max_kmh) == (1.0, 4.0, 1.0)
+    assert got[0].road_gradient_avg == 1e9 + 1 and got[1].road_gradient_stddev is None
+
+
 def test_a_missing_group_is_a_group(frame):
     stats = frame(
         "vin string, sales_group int, x double", *[(f"v{i}", None, float(v)) for i, v in enumerate([1, 2, 3, 4, 100])]
