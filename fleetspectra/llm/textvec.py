@@ -30,30 +30,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
+#: A second modulus: strings that a polynomial modulo 2**64 confuses whatever its base is (of Thue and Morse's kind) differ here.
+PRIME = (1 << 31) - 1
+BASE31, INVERSE31 = 1_103_515_245, pow(1_103_515_245, -1, PRIME)
+BYTE_VALUE31 = np.random.default_rng(12).integers(1, PRIME, 256, dtype=np.uint64)
+
+
+def _power(kind: str, base: int, n: int, modulus: int = 0) -> np.ndarray:
+    """The first ``n`` powers of ``base``, modulo 2**64 or another modulus below 2**32."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
         have = np.empty(size, np.uint64)
         have[0] = 1
-        have[1:] = U(base)
-        have = np.cumprod(have, dtype=np.uint64)
+        if modulus:
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                have[done : done + more] = have[:more] * U(pow(base, done, modulus)) % U(modulus)
+                done += more
+        else:
+            have[1:] = U(base)
+            have = np.cumprod(have, dtype=np.uint64)
         if size <= 4 * CHUNK_BYTES:
             _powers[kind] = have
     return have
 
 
 class Rolling:
-    """Hashes of any stretch of ``data`` from one running sum (a polynomial modulo 2**64)."""
+    """Hashes of any stretch of ``data`` from two running sums: polynomials modulo 2**64 and modulo a prime."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUE[data] * _power("up", BASE, n + 1)[:n], out=self.sums[1:])
         self.down = _power("down", INVERSE, n + 1)
+        self.sums31 = np.zeros(n + 1, np.uint64)  # below 2**63: terms are below 2**31
+        np.cumsum(BYTE_VALUE31[data] * _power("up31", BASE31, n + 1, PRIME)[:n] % U(PRIME), out=self.sums31[1:])
+        self.down31 = _power("down31", INVERSE31, n + 1, PRIME)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        second = (self.sums31[end] - self.sums31[start]) % U(PRIME) * self.down31[start] % U(PRIME)
+        return (self.sums[end] - self.sums[start]) * self.down[start] + second * U(0xC2B2AE3D27D4EB4F)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
