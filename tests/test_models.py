@@ -112,7 +112,7 @@ def plain_path(x, nodes, tree):
 def test_anomaly_scores_by_walking_down_the_trees(spark):
     rng = random.Random(4)
     rows = [(f"v{n}", rng.uniform(40, 60), rng.uniform(8, 12), None if n % 20 == 3 else rng.random()) for n in range(300)]
-    rows += [("odd1", 300.0, 60.0, 0.5), ("odd2", -100.0, -30.0, 0.5), ("nan", float("nan"), 10.0, float("inf"))]
+    rows += [("odd1", 300.0, 60.0, 5.0), ("odd2", -100.0, -30.0, -5.0), ("nan", float("nan"), 10.0, float("inf"))]
     df = spark.createDataFrame(rows, "vin string, a double, b double, c double").repartition(5)
     columns = ["a", "b", "c"]
     nodes = grow_trees(df, columns, trees=60, sample=64)
