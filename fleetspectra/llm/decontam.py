@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ SHORT = 16
 #: Leaked: so much of the piece in order; or so much, and so much of its answer in order.
 COPY, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 #: Benchmark pieces handled at once; a larger benchmark is searched block by block.
-BLOCK = 20_000
+BLOCK = 4_000
 
 # Letters in lower case; ASCII punctuation reads as space.
 PLAIN = LOWER.copy()
@@ -246,14 +247,12 @@ class Anchors:
             row = np.repeat(np.arange(a, stop), n)
             at = self.first[feature[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             key = np.sort(self.piece[at] * far + place[row])
-            starts = np.searchsorted(key, np.arange(len(self.size) + 1) * far)
-            close = [np.zeros(0, np.int64)]
-            for k in np.flatnonzero(np.diff(starts) >= self.count):
-                mine = key[starts[k] : starts[k + 1]]
-                step = self.count[k] - 1
-                close.append(starts[k] + np.flatnonzero(mine[step:] - mine[: len(mine) - step] < self.width[k]))
-            close = np.concatenate(close)
-            piece = key[close] // far
+            # Hits of which the c-th next one of the same piece is as near as a region is long.
+            mine = key // far
+            partner = np.minimum(np.arange(len(key)) + self.count[mine] - 1, max(0, len(key) - 1))
+            ahead = np.arange(len(key)) + self.count[mine] <= len(key)
+            close = np.flatnonzero(ahead & (mine[partner] == mine) & (key[partner] - key < self.width[mine]))
+            piece = mine[close]
             then = close + self.count[piece] - 1
             n = np.searchsorted(key, key[close] + self.width[piece]) - close
             first, last = where[key[close] - piece * far], where[key[then] - piece * far]
@@ -280,6 +279,13 @@ class Anchors:
         low = np.where(short, low, np.searchsorted(blocks, low))
         high = np.where(short, high, np.searchsorted(blocks, high))
         n = np.maximum(0, high - low)
+        # All regions of a candidate together must hold enough of the piece's words, before any of them is looked at.
+        some = np.flatnonzero(n)
+        lo, hi = low[some], high[some] - 1
+        begin = np.where(short[some], lo, np.maximum(doc_first[some], blocks[np.minimum(lo, len(blocks) - 1)] - size[some]))
+        end = np.where(short[some], hi + 2 * size[some], blocks[np.minimum(hi, len(blocks) - 1)] + size[some] + PASSAGE)
+        some = some[self._held(piece[some], begin, np.minimum(doc_end[some], end), feature)]
+        piece, low, high, doc_first, doc_end, size, short, n = (x[some] for x in (piece, low, high, doc_first, doc_end, size, short, n))
         for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) >> 20)):
             m = n[part]
             row = np.repeat(part, m)
@@ -295,21 +301,51 @@ class Anchors:
                 good = np.flatnonzero(self._in_order(p, begin[one], end[one], feature) >= self.need[p])
                 yield from zip(p[good].tolist(), at[one][good].tolist(), begin[one][good].tolist(), end[one][good].tolist(), strict=True)
 
+    def _masks(self, piece, begin, end, feature):
+        """``row, mask``: for each word of a region that is one of the piece's, where it stands there; by region, in order."""
+        width = int((end - begin).max(initial=0))
+        words = begin[:, None] + np.arange(width)
+        key = piece[:, None] << BITS | feature[np.minimum(words, len(feature) - 1)]
+        at = np.flatnonzero((words < end[:, None]) & self.filter[(key ^ key >> 13) & self.filter_mask])
+        key = key.ravel()[at]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        sure = self.keys[found] == key
+        return at[sure] // max(1, width), self.masks[found[sure]]
+
+    def _enough(self, row, mask, piece) -> np.ndarray:
+        """Whether the words of each region cover ``need`` places of the piece, which is no less than stand in order."""
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        covered = np.zeros(len(piece), U)
+        if len(first):
+            covered[row[first]] = np.bitwise_or.reduceat(mask, first)
+        return np.bitwise_count(covered) >= self.need[piece]
+
+    def _held(self, piece, begin, end, feature) -> np.ndarray:
+        """The numbers of the regions with enough words of their piece."""
+        good = [np.zeros(0, np.int64)]
+        for k in range(0, len(piece), 1 << 13):
+            one = slice(k, k + (1 << 13))
+            good.append(k + np.flatnonzero(self._enough(*self._masks(piece[one], begin[one], end[one], feature), piece[one])))
+        return np.concatenate(good)
+
     def _in_order(self, piece: np.ndarray, begin: np.ndarray, end: np.ndarray, feature: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of slots of each piece and region; less than ``need`` may read as 0."""
         out = np.zeros(len(piece), np.int64)
-        words = begin[:, None] + np.arange(int((end - begin).max(initial=0)))
-        inside = words < end[:, None]
-        key = piece[:, None] << BITS | feature[np.minimum(words, len(feature) - 1)]
-        held = inside & (self.filter[(key ^ key >> 13) & self.filter_mask])
-        rows = np.flatnonzero(held.sum(1) >= self.need[piece])
-        key, held = key[rows], held[rows]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        mask = np.where(held & (self.keys[at] == key), self.masks[at], U(0))
+        row, mask = self._masks(piece, begin, end, feature)
+        rows = np.flatnonzero(self._enough(row, mask, piece))
+        if not len(rows):
+            return out
+        number = np.full(len(piece), -1)
+        number[rows] = np.arange(len(rows))
+        row, mask = number[row], mask[number[row] >= 0]
+        row = row[row >= 0]
+        count = np.bincount(row, minlength=len(rows))
+        packed = np.zeros((len(rows), int(count.max())), U)
+        packed[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = mask
         full = (U(1) << self.size[piece[rows]].astype(U)) - U(1)
         state = full.copy()
-        for k in range(mask.shape[1]):
-            m = state & mask[:, k]
+        for k in range(packed.shape[1]):
+            m = state & packed[:, k]
             state = ((state + m) | (state - m)) & full
         out[rows] = self.size[piece[rows]] - np.bitwise_count(state)
         return out
@@ -324,6 +360,10 @@ class Index:
     vectors: np.ndarray
     anchors: Anchors
 
+    @cached_property
+    def padded(self) -> np.ndarray:
+        return np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.float32)])
+
     def search(self, texts: Texts, has: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(document, piece, share in order, share of the answer, cosine) of what is leaked, the best window of each."""
         word, doc = word_hashes(texts)
@@ -332,7 +372,12 @@ class Index:
         feature = (word >> U(64 - BITS)).astype(np.int64)
         blocks = np.flatnonzero(place_in_document(doc) % STRIDE == 0)
         block_doc = doc[blocks]
-        part = np.add.reduceat(self.table[feature], blocks, axis=0)
+        # Sums of each STRIDE words: their rows one after the other, a row of zeros where a block is shorter.
+        size = np.diff(np.append(blocks, len(feature)))
+        padded = np.append(feature, len(self.table))
+        part = self.padded[padded[blocks]]
+        for k in range(1, STRIDE):
+            part += self.padded[padded[np.where(k < size, blocks + k, len(feature))]]
         window = part.copy()
         for k in range(1, PASSAGE // STRIDE):
             same = np.flatnonzero(block_doc[k:] == block_doc[:-k]) if k < len(blocks) else np.zeros(0, np.int64)
@@ -343,7 +388,7 @@ class Index:
         doc_end = np.searchsorted(doc, np.arange(texts.n), side="right")
         for a in range(0, len(window), step):
             cosine = (window[a : a + step] / np.maximum(length[a : a + step, None], 1e-9)) @ self.vectors.T
-            row, piece = np.nonzero(cosine >= COSINE)
+            row, piece = np.divmod(np.flatnonzero(cosine >= COSINE), len(self.pieces.items))
             begin = blocks[a + row]
             end = np.minimum(begin + PASSAGE, doc_end[block_doc[a + row]])
             place = begin[:, None] + np.arange(PASSAGE)
