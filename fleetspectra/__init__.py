@@ -4,10 +4,13 @@ from fleetspectra.operators.cohort import (
     cohort_combinations,
     extract_signals,
     in_period,
+    merge_sketches,
     sample_vehicles,
     select_cohort,
+    sketched_count,
     vehicle_count,
     vehicle_count_approx,
+    vehicle_sketches,
 )
 from fleetspectra.operators.comparison import (
     box_stats,
@@ -18,7 +21,14 @@ from fleetspectra.operators.comparison import (
 from fleetspectra.operators.anomalies import anomaly_scores, grow_trees, score_anomalies
 from fleetspectra.operators.clustering import cluster_spectra, quantile_vectors
 from fleetspectra.operators.distances import fleet_distances, group_distances
-from fleetspectra.operators.fleet import fleet_average, fleet_before_after, vehicle_vs_fleet
+from fleetspectra.operators.fleet import (
+    complete_cells,
+    fleet_average,
+    fleet_average_cells,
+    fleet_before_after,
+    sort_averages,
+    vehicle_vs_fleet,
+)
 from fleetspectra.operators.grid import (
     complete_spectra,
     grid_bounds,
@@ -26,7 +36,7 @@ from fleetspectra.operators.grid import (
     total_distance,
     upper_edge_quantile,
 )
-from fleetspectra.operators.ordering import with_previous
+from fleetspectra.operators.ordering import clean_with_previous, with_previous
 from fleetspectra.operators.outliers import (
     completeness_outliers,
     iqr_bounds,
@@ -48,6 +58,7 @@ from fleetspectra.operators.signals import (
     add_gear_shift,
     add_time_since_last,
     clean_signals,
+    interpolate_signals,
 )
 from fleetspectra.operators.spectra import (
     inspect_vehicle,
@@ -61,6 +72,7 @@ from fleetspectra.operators.translation import name_signals, spectra_metadata, t
 from fleetspectra.sources.tables import (
     read_group_family,
     read_table,
+    save_bucketed,
     save_signals,
     save_table,
     stored,

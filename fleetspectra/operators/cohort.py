@@ -93,3 +93,40 @@ def vehicle_count_approx(
 ) -> DataFrame:
     """Distinct vehicles from a sketch; the quick check on raw data."""
     return df.groupBy(*by).agg(F.approx_count_distinct(key, rsd).alias("vehicles"))
+
+
+#: Bits of a sketch of vehicles; estimates hold for up to some three times as many vehicles.
+SKETCH_BITS = 22
+
+
+def vehicle_sketches(
+    signals: DataFrame, by: Sequence[str], key: str = "vin", number: Column | None = None, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """``bucket, bitmap`` per group: which of ``2**bits`` places have a vehicle. Store it, and later count any union of groups.
+
+    A place is a hash of the vehicle, or ``number`` where vehicles are numbered from 0 below ``2**bits`` (counts are
+    exact then). A bitmap is 4 KB, and only those with a vehicle exist. Rows without a vehicle are left out. A bitmap
+    holds what its rows say in any order, so sketches of months that are merged equal the sketch of the year.
+    """
+    place = number if number is not None else F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    rows = signals.where(F.col(key).isNotNull()).select(*by, place.cast("bigint").alias("__place"))
+    bucket, position = F.bitmap_bucket_number("__place"), F.bitmap_bit_position("__place")
+    return rows.groupBy(*by, bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of coarser groups."""
+    return sketches.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def sketched_count(sketches: DataFrame, by: Sequence[str], exact: bool = False, bits: int = SKETCH_BITS) -> DataFrame:
+    """``vehicles`` per group from its sketches, merged first if there are several.
+
+    Two vehicles may share a place; the number of empty places tells how many do (linear counting). With ``exact``,
+    for numbered vehicles, the places themselves are counted.
+    """
+    size = float(1 << bits)
+    ones = merge_sketches(sketches, by).groupBy(*by).agg(F.sum(F.bitmap_count("bitmap")).alias("__ones"))
+    full = F.least(F.col("__ones"), F.lit(size - 1))
+    count = F.col("__ones") if exact else F.round(F.lit(-size) * F.log1p(-full / F.lit(size))).cast("bigint")
+    return ones.select(*by, count.alias("vehicles"))

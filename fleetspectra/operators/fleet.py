@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.joins import join_groups
@@ -97,3 +99,47 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(
         exact_sum(F.when(both, value * weight)), exact_sum(F.when(both, weight))
     )
+
+
+def sort_averages(averages: DataFrame, by: Sequence[str] = (), bin_col: str = "x_bin") -> DataFrame:
+    """Averages in the order of a chart's axis, with their ``position`` from 1 on in each group.
+
+    A group's window holds its bins, as many as an axis has.
+    """
+    keys = [F.col(c) for c in by] or [F.lit(1)]
+    position = F.row_number().over(W.partitionBy(*keys).orderBy(bin_col))
+    return averages.withColumn("position", position).orderBy(*by, bin_col)
+
+
+def fleet_average_cells(
+    spectra_df: DataFrame,
+    by: Sequence[str] = (),
+    cells: Sequence[str] = ("x1_quantized", "x2_quantized"),
+    key: str = "vin",
+) -> DataFrame:
+    """Mean share per occupied cell of spectra over several axes; every vehicle weighs the same.
+
+    A vehicle without a row for a cell counts 0 there, by dividing by the group's vehicles: no grid is built, and what
+    is shuffled is the occupied cells. A group's means add up to 1. Vehicles whose total is 0 are left out.
+    """
+    shares = normalize_spectra(spectra_df.select(*by, key, *cells, "count"), [*by, key], "norm_count")
+    packed = shares.select(*by, key, F.struct(*cells).alias("x_bin"), "norm_count")
+    means = _means(packed, by, key, {"avg_norm_count": F.lit(True)})
+    return means.select(*by, *[F.col("x_bin")[c].alias(c) for c in cells], "avg_norm_count")
+
+
+def complete_cells(
+    averages: DataFrame, axes: Mapping[str, tuple[float, float, float]], by: Sequence[str] = (), value: str = "avg_norm_count"
+) -> DataFrame:
+    """All cells of a grid for each group of averages, 0 where nothing was; rows off the grid vanish.
+
+    ``axes``: column to (lowest edge, end, width). The grid is built for groups, not for vehicles.
+    """
+    keys = list(by) or ["__all"]
+    rows = averages if by else averages.withColumn("__all", F.lit(1))
+    grid = rows.select(*keys).distinct()
+    for column, (lo, hi, width) in axes.items():
+        steps = F.sequence(F.lit(0), F.lit(max(0, math.ceil((hi - lo) / width - 1e-9) - 1)))
+        grid = grid.withColumn("__n", F.explode(steps)).withColumn(column, F.lit(float(lo)) + F.col("__n") * F.lit(float(width))).drop("__n")
+    out = join_groups(grid, rows.select(*keys, *axes, value), [*keys, *axes], "left")
+    return out.select(*by, *axes, F.coalesce(value, F.lit(0.0)).alias(value))

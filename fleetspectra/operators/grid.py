@@ -13,6 +13,9 @@ from fleetspectra.functions.numeric import exact_sum
 
 Limit = float | str | tuple[str, float]
 
+# The column that tells the spectra of one table apart.
+CONFIG = "ls_config_id"
+
 # Edges that differ by less than this part of a bin are the same edge.
 EDGE_TOLERANCE = "1e-6"
 
@@ -68,7 +71,8 @@ def complete_spectra(
 
     A limit is a number, ``"min"`` or ``"max"`` of the data, or ``("p", 0.99)``
     for a quantile of the upper edges; limits from data are taken per ``by``
-    group. Rows outside the grid vanish. Other columns are null on filled
+    group, and per spectrum where the table holds several (``ls_config_id``).
+    Rows outside the grid vanish. Other columns are null on filled
     rows.
 
     A vehicle's first row also brings its empty grid, and those bins the
@@ -76,6 +80,8 @@ def complete_spectra(
     shuffled once, by vehicle. Limits from data need one more reading: pass a
     stored table then.
     """
+    if CONFIG in spectra_df.columns and CONFIG not in by:
+        by = [CONFIG, *by]
     keys = [*by, key]
     rows = spectra_df
     data_limits = {

@@ -201,6 +201,49 @@ def _in_slices(
     )
 
 
+def interpolate_valid(
+    df: DataFrame,
+    rules: Sequence[CleanRule],
+    key: str = "vin",
+    order: str = "timestamp",
+    tie: Sequence[str] = (),
+    slice_s: int | None = None,
+) -> DataFrame:
+    """Add ``rule.output`` per rule: the reading, or a straight line between the good readings around it.
+
+    A bad reading needs a good one of its vehicle at most ``limit_s`` seconds before and one at most as long after
+    it, else it takes ``fill``. Of several good readings at the same time the one ordered nearest counts. Good
+    readings near both ends of a slice are copied into the slices that their limit reaches, so one shuffle serves the
+    look back and the look ahead.
+    """
+    types = {r.output: df.schema[r.signal].dataType for r in rules}
+    valid = {r.output: _good(r, types) for r in rules}
+    reach = max([r.limit_s for r in rules], default=0)
+    slice_s = slice_s or max(SLICE_S, 4 * reach)
+    any_valid = reduce(Column.__or__, [c.isNotNull() for c in valid.values()], F.lit(False))
+    home = time_slice(order, slice_s, [key, *(r.signal for r in rules), *tie])
+    since, until = (slice_start(epoch_seconds(F.col(order)) + F.lit(d), slice_s).cast("bigint") for d in (-reach, reach))
+    slices = F.when(any_valid & until.isNotNull(), F.sequence(since, until, F.lit(slice_s).cast("bigint"))).otherwise(F.array("__home"))
+    spread = df.withColumn("__home", home).withColumn(SLICE, F.explode(slices))
+    near = W.partitionBy(key, SLICE).orderBy(order, *tie)
+    back, ahead = near.rowsBetween(W.unboundedPreceding, -1), near.rowsBetween(1, W.unboundedFollowing)
+    now = epoch_micros(F.col(order))
+
+    def filled(rule: CleanRule) -> Column:
+        good = valid[rule.output]
+        reading = F.when(good.isNotNull(), F.struct(now.alias("t"), good.cast("double").alias("v")))
+        a, b = F.last(reading, ignorenulls=True).over(back), F.first(reading, ignorenulls=True).over(ahead)
+        limit = F.lit(rule.limit_s * 1_000_000)
+        both = F.col(key).isNotNull() & (now - a["t"] <= limit) & (b["t"] - now <= limit)
+        part = F.coalesce(F.try_divide(now - a["t"], b["t"] - a["t"]), F.lit(0.0))
+        line = F.when(both, a["v"] + (b["v"] - a["v"]) * part)
+        value = F.coalesce(good.cast("double"), line)
+        return value if rule.fill is None else F.coalesce(value, F.lit(float(rule.fill)))
+
+    out = spread.select("*", *[filled(r).alias(r.output) for r in rules])
+    return out.where(F.col(SLICE) == F.col("__home")).drop(SLICE, "__home")
+
+
 def _or_fill(value: Column, rule: CleanRule, types: Mapping[str, object]) -> Column:
     if rule.fill is None:
         return value

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.times import epoch_micros, epoch_seconds
-from fleetspectra.operators.ordering import clean_with_previous, hold_last_valid, with_previous
+from fleetspectra.operators.ordering import clean_with_previous, hold_last_valid, interpolate_valid, with_previous
 from fleetspectra.spec import CleanRule
 
 # The reading that means "speed not available", and the rated
@@ -40,6 +40,20 @@ def clean_signals(
     return out.dropna(subset=[r.output for r in rules], how="any") if drop else out
 
 
+def interpolate_signals(
+    df: DataFrame,
+    rules: Sequence[CleanRule],
+    drop: bool = True,
+    key: str = "vin",
+    order: str = "timestamp",
+    tie: Sequence[str] = (),
+    slice_s: int | None = None,
+) -> DataFrame:
+    """Like ``clean_signals``, but bad readings lie on a line between the good ones around them; results are doubles."""
+    out = interpolate_valid(df, rules, key, order, tie, slice_s)
+    return out.dropna(subset=[r.output for r in rules], how="any") if drop else out
+
+
 def available(speed: str, sna: float | None = SPEED_NOT_AVAILABLE) -> Column:
     """Speed, null where the reading stands for "not available"."""
     return _col(speed) if sna is None else F.when(_col(speed) != F.lit(sna), _col(speed))

@@ -10,10 +10,6 @@ from functools import cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: files of an extract of one group of vehicles over a year; no default.
-EXTRACT_FILES = 600
-
-
 def read_table(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
     """A catalog table by name, or files by path."""
     if "/" in source:
@@ -88,6 +84,32 @@ def save_signals(
     save_table(layout_signals(df, files, key, order), name, fmt, path)
 
 
+def save_bucketed(
+    df: DataFrame,
+    name: str,
+    buckets: int,
+    key: str = "vin",
+    sort_by: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
+    fmt: str = "parquet",
+    path: str | None = None,
+) -> None:
+    """Replace a table dealt to buckets by vehicle and sorted within them.
+
+    Joins by vehicle with tables of as many buckets, aggregations and windows by vehicle then start from the files
+    without a shuffle. The rows are dealt before they are written, so each bucket is one file (per partition).
+    Buckets cannot be split: choose their number so that the largest vehicle fits a task, and no smaller than
+    ``spark.sql.shuffle.partitions``, or a join shuffles both sides to that number.
+    """
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.format(fmt).mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 

@@ -151,5 +151,55 @@ FROM c JOIN events USING (event_id) WINDOW w AS (PARTITION BY c.vin ORDER BY ts,
     }
 
 
+def storage_and_cells(known: dict[str, str]) -> dict[str, str]:
+    limit = f"INTERVAL {o.USER_LIMIT_S} SECONDS"
+    part = " OVER (PARTITION BY sales_group, vin)"
+    cells = f"""
+WITH {o.ITEMS},{o.REGIONS},
+e AS ({o.spectrum(2, [o.RPM, o.TORQUE], o.DRIVE, o.DIST)}),
+n AS (
+  SELECT sales_group, vin, x1_quantized, x2_quantized, count / nullif({o.total('count', over=part)}, 0) AS share
+  FROM e JOIN g USING (vin)),
+v AS (SELECT sales_group, count(DISTINCT vin) AS vehicles FROM n WHERE share IS NOT NULL GROUP BY 1),
+a AS (
+  SELECT sales_group, x1_quantized, x2_quantized, {o.total('share')} / any_value(vehicles) AS avg_norm_count
+  FROM n JOIN v USING (sales_group) WHERE share IS NOT NULL GROUP BY 1, 2, 3)"""
+    two = " UNION ALL ".join(
+        f"SELECT * FROM (WITH {o.ITEMS},{o.complete(o.spectrum(config, [ax], where, o.DIST), '(SELECT min(x1_quantized) FROM x)', '(SELECT max(x1_upper) FROM x)', 1)}"
+        f" SELECT CAST({config} AS INTEGER) AS ls_config_id, vin, x1_interval, interval_start, count FROM c)"
+        for config, ax, where in ((2, o.SPEED, o.RANGE), (4, o.GRADIENT, o.DRIVE))
+    )
+    return {
+        "save_and_reload_orc": known["save_and_reload"],
+        "bucketed_spectra": known["normalize_spectra"],
+        "vehicle_count_merged": """
+SELECT event_type, count(DISTINCT user_id) AS vehicles, TRUE AS merged_is_direct, TRUE AS estimate_near FROM events GROUP BY 1""",
+        "interpolate_signals": f"""
+WITH {o.USERS},
+g AS (SELECT *, CASE WHEN speed > 5 THEN speed END AS v, CASE WHEN speed > 5 THEN epoch_us(ts) END AS t FROM u),
+l AS (
+  SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(t IGNORE NULLS) OVER b AS t0,
+    first_value(v IGNORE NULLS) OVER a AS v1, first_value(t IGNORE NULLS) OVER a AS t1
+  FROM g WINDOW b AS (PARTITION BY vin ORDER BY ts RANGE BETWEEN {limit} PRECEDING AND CURRENT ROW),
+    a AS (PARTITION BY vin ORDER BY ts RANGE BETWEEN CURRENT ROW AND {limit} FOLLOWING))
+SELECT * FROM (
+  SELECT vin, event_id, speed,
+    coalesce(v, v0 + (v1 - v0) * (CAST(epoch_us(ts) - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE))) AS speed_cleaned FROM l)
+WHERE speed_cleaned IS NOT NULL""",
+        "sorted_fleet_average": f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY sales_group ORDER BY x_bin) AS INTEGER) AS position FROM (
+WITH {o.REGIONAL},{o.shares('cg', 'interval_start', ['sales_group', 'vin'])}
+SELECT sales_group, x_bin, {o.mean('norm_count')} AS avg_norm_count FROM n GROUP BY 1, 2)""",
+        "complete_two_spectra": two,
+        "fleet_average_cells": f"{cells} SELECT * FROM a",
+        "complete_engine_cells": f"""{cells},
+grid AS (
+  SELECT sales_group, CAST(i * 50 AS DOUBLE) AS x1_quantized, CAST(-3000 + j * 50 AS DOUBLE) AS x2_quantized
+  FROM (SELECT DISTINCT sales_group FROM a), range(0, 100) r(i), range(0, 120) q(j))
+SELECT sales_group, x1_quantized, x2_quantized, coalesce(avg_norm_count, 0.0) AS avg_norm_count
+FROM grid LEFT JOIN a USING (sales_group, x1_quantized, x2_quantized)""",
+    }
+
+
 def sql(known: dict[str, str]) -> dict[str, str]:
-    return {**distances(), **clusters(), **anomalies(), **streams(known["clean_signals"])}
+    return {**distances(), **clusters(), **anomalies(), **streams(known["clean_signals"]), **storage_and_cells(known)}

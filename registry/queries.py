@@ -790,3 +790,76 @@ def stream_spectra(spark, sf):
     stream, _ = _arriving(spark, sf)
     counted = fs.spectra(stream, [USER_SPEED], ["time"])
     return _run_stream(spark, counted, ["ls_config_id", "vin", "x1_quantized"], "update")
+
+
+# --- storage, sketches, interpolation, two axes -----------------------------------
+
+
+@query
+def save_and_reload_orc(spark, sf):
+    """A table in another format than the default one."""
+    name = f"signal_extract_{uuid.uuid4().hex}"
+    rows = views.supplier_signals(spark, sf).select("vin", "timestamp", "speed", "weight")
+    fs.save_signals(rows, name, fmt="orc", path=f"{shared_folder(spark)}/{name}")
+    return fs.read_table(spark, name)
+
+
+@query
+def bucketed_spectra(spark, sf):
+    """Completing and normalising a stored table that is dealt by vehicle, without another shuffle."""
+    name = f"spectra_{uuid.uuid4().hex}"
+    counted = _spectra(spark, sf, [WEIGHT], ["distance"]).drop("ls_config_id")
+    fs.save_bucketed(counted, name, 8, sort_by=["x1_quantized"], path=f"{shared_folder(spark)}/{name}")
+    full = fs.complete_spectra(fs.read_table(spark, name), 0, 55000, 1000)
+    return fs.normalize_spectra(full).select("vin", "x1_interval", "normalized_count")
+
+
+@query
+def vehicle_count_merged(spark, sf):
+    """Vehicles per kind of event from sketches of months: as from one sketch, and near the exact number."""
+    rows = sig.add_year_month(views.user_signals(spark, sf)).select("event_type", "year_month", "vin")
+    months = fs.stored(fs.vehicle_sketches(rows, ["event_type", "year_month"]), "sketches")
+    merged = fs.sketched_count(months, ["event_type"]).withColumnRenamed("vehicles", "merged")
+    direct = fs.sketched_count(fs.vehicle_sketches(rows, ["event_type"]), ["event_type"]).withColumnRenamed("vehicles", "direct")
+    both = fs.vehicle_count(rows, ["event_type"]).join(merged, "event_type").join(direct, "event_type")
+    near = F.abs(F.col("merged") - F.col("vehicles")) <= 3 + F.col("vehicles") / F.lit(1000.0)
+    return both.select("event_type", "vehicles", (F.col("merged") == F.col("direct")).alias("merged_is_direct"), near.alias("estimate_near"))
+
+
+@query
+def interpolate_signals(spark, sf):
+    rows = fs.interpolate_signals(
+        views.user_signals(spark, sf), [fs.CleanRule("speed", "speed > 5", USER_LIMIT_S)], tie=["event_id"]
+    )
+    return rows.select("vin", "event_id", "speed", "speed_cleaned")
+
+
+@query
+def sorted_fleet_average(spark, sf):
+    averages = fs.fleet_average(_regional(spark, sf), ["sales_group"])
+    return fs.sort_averages(averages, ["sales_group"])
+
+
+@query
+def complete_two_spectra(spark, sf):
+    """Two spectra in one table, each on its own grid."""
+    both = _spectra(spark, sf, [SPEED, GRADIENT], ["distance"])
+    full = fs.complete_spectra(fs.stored(both, "spectra"), "min", "max", 1)
+    return full.select("ls_config_id", "vin", "x1_interval", "interval_start", "count")
+
+
+def _regional_cells(spark, sf):
+    cells = _spectra(spark, sf, [ENGINE], ["distance"]).select("vin", "x1_quantized", "x2_quantized", "count")
+    return fs.fleet_average_cells(cells.join(views.supplier_regions(spark, sf), "vin"), ["sales_group"])
+
+
+@query
+def fleet_average_cells(spark, sf):
+    return _regional_cells(spark, sf)
+
+
+@query
+def complete_engine_cells(spark, sf):
+    """The averages of all cells of the engine map, empty ones included."""
+    axes = {f"x{n}_quantized": (a.start, a.stop, a.width) for n, a in enumerate(ENGINE.axes, 1)}
+    return fs.complete_cells(fs.stored(_regional_cells(spark, sf), "cells"), axes, ["sales_group"])
