@@ -104,11 +104,11 @@ def parse(texts: Texts, width: int) -> dict[str, np.ndarray]:
 def _parsed(texts_of: DataFrame, width: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            key, size, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
             parts = []
             for first, end, texts in chunks(batch.column(2)):
                 rows = parse(texts, width)
-                rows["h"], rows["size"] = key[first:end][rows["doc"]], size[first:end][rows["doc"]]
+                rows["h"], rows["size"], rows["many"] = (x[first:end][rows["doc"]] for x in (key, size, many))
                 parts.append(rows)
             one = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
             return pa.RecordBatch.from_arrays(
@@ -117,14 +117,15 @@ def _parsed(texts_of: DataFrame, width: int) -> DataFrame:
                     pa.array(one["lo"].astype(np.int32)), pa.array(one["n"].astype(np.int32)),
                     pa.array(one["at"].astype(np.int32)),
                     pa.array(one["k"].astype(np.uint64).view(np.int64)), pa.array(one["x"].astype(np.uint64).view(np.int64)),
+                    pa.array(one["many"].astype(bool)),
                 ],
-                ["kind", "h", "size", "lo", "n", "at", "k", "x"],
+                ["kind", "h", "size", "lo", "n", "at", "k", "x", "many"],
             )
 
         return step
 
-    schema = "kind tinyint, h bigint, size bigint, lo int, n int, at int, k bigint, x bigint"
-    return texts_of.mapInArrow(in_batches(make), schema)
+    schema = "kind tinyint, h bigint, size bigint, lo int, n int, at int, k bigint, x bigint, many boolean"
+    return texts_of.select("h", "size", "text", "many").mapInArrow(in_batches(make), schema)
 
 
 def _shape(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -215,7 +216,8 @@ def _merged(rows: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    grouped = rows.groupBy("h", "size").agg(F.collect_list(F.struct("lo", "n")).alias("at"))  # as long as the text at most
+    # Each content was parsed once, so a list is as long as the text at most, whatever the number of its copies.
+    grouped = rows.groupBy("h", "size").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
     return grouped.mapInArrow(in_batches(make), "h bigint, size bigint, runs array<int>")
 
 
@@ -224,18 +226,22 @@ GRAINS = (8, 1)
 
 
 def repeated_runs(texts_of: DataFrame, width: int = 400) -> DataFrame:
-    """``h, size, runs`` of the texts (``h, size, text``) that have bytes in a string of ``width`` bytes found elsewhere too."""
+    """``h, size, runs`` of the texts (``h, size, text, many``) that have bytes in a string of ``width`` bytes found elsewhere too.
+
+    A text stands here once; ``many`` says that it has copies. Its own windows are repeated then and aren't asked for,
+    but they settle those of other texts.
+    """
     parsed = _parsed(texts_of, width)
     kind = F.col("kind")
     loose = stored(parsed.where(kind != SEGMENT))
-    every = loose.where(kind == KNOWN).select("h", "size", "lo", "n")
-    rows = parsed.where(kind == SEGMENT).drop("kind").withColumn("witness", F.lit(False))
+    every = loose.where((kind == KNOWN) & ~F.col("many")).select("h", "size", "lo", "n")
+    rows = parsed.where(kind == SEGMENT).drop("kind").withColumnRenamed("many", "witness")
     for grain in (None, *GRAINS):
         if grain:
             rows = _finer(sized_join(texts_of, settled(asked), ["h", "size"]), grain, width)
         if grain == 1:
-            single = loose.where(kind == LOOSE).withColumns({"x": F.col("k"), "witness": F.col("lo") < 0})
-            rows = rows.unionByName(single.drop("kind"))
+            single = loose.where(kind == LOOSE).withColumns({"x": F.col("k"), "witness": F.col("many") | (F.col("lo") < 0)})
+            rows = rows.unionByName(single.drop("kind", "many"))
         known, asked = _judged(rows)
         every = every.union(known)
     return settled(_merged(every, width))
@@ -250,8 +256,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("bigint").alias("size"), text.alias("text"))
-    runs = repeated_runs(rows.where(F.col("size") >= width).select("h", "size", "text"), width)
-    return _cut(sized_join(rows, runs, ["h", "size"], "left"), dict(rows.dtypes)["doc_id"])
+    long = rows.where(F.col("size") >= width)
+    # Of each content the row with the smallest id is parsed (all rows with it, if it repeats); the others are settled
+    # by it, as all windows of a text with copies are repeated.
+    copies = long.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("first")).where("times > 1")
+    copies = stored(copies.select("h", "size", "first", F.lit(True).alias("many")))
+    one = sized_join(long, copies, ["h", "size"], "left").where(F.col("many").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
+    runs = repeated_runs(one.select("h", "size", "text", F.coalesce("many", F.lit(False)).alias("many")), width)
+    whole = copies.select("h", "size", F.array(F.lit(0), F.col("size").cast("int")).alias("runs"))
+    alone = runs.join(copies.select("h", "size"), ["h", "size"], "left_anti")
+    return _cut(sized_join(rows, stored(alone.unionByName(whole)), ["h", "size"], "left"), dict(rows.dtypes)["doc_id"])
 
 
 def _cut(joined: DataFrame, id_type: str) -> DataFrame:

@@ -117,6 +117,32 @@ def test_repeats_equal_brute_force(spark, width):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("copies", [2, 60])
+def test_lists_of_runs_do_not_grow_with_copies(spark, monkeypatch, copies):
+    """Copies, some with the same id or none, beside texts that share a part of them."""
+    rng = random.Random(copies)
+    body = "".join(rng.choice("abcdef ") for _ in range(3000))
+    part, own = body[700:1300], "".join(rng.choice("uvwxyz ") for _ in range(900))
+    rows = [(n % 7 if n % 3 else None, body) for n in range(copies)] + [(100, own[:400] + part + own[400:]), (101, own + "!" * 10), (102, "q" * 300)]
+    seen = []
+    merged = suffix._merged
+    monkeypatch.setattr(suffix, "_merged", lambda rows, width: seen.append(rows.groupBy("h", "size").count()) or merged(rows, width))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in suffix.remove_repeats(df, width=200).collect())
+    want = []
+    for doc_id, text in rows:
+        if text == body:
+            want.append((str(doc_id), 3000, 1))
+        elif doc_id == 100:
+            want.append(("100", 600 + 900, 1))
+        else:
+            want.append((str(doc_id), 900 if doc_id == 101 else 300 - 0, 1))
+    # 100's own text stands in 101 too, cut in two by the part; 102 repeats itself.
+    assert [w for w in got if w[0] not in ("100",)] == sorted(w for w in want if w[0] not in ("100",))
+    assert [w[1] for w in got if w[0] == "100"] == [1500]
+    assert max(r["count"] for r in seen[0].collect()) < 80
+
+
 def test_repeats_query_and_odd_rows(spark, sf, documents, odd, none):
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op4_repeats"](spark, sf).collect()}
     want = slow_repeats([(r.text or "").encode() for r in documents], 400)
