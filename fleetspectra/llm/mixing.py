@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import WORD, ranked, settled
@@ -170,20 +170,28 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows that repeat in id, source and size share the copies of all of them: as many each, and one more for the first
+    ones in an order of their texts. They are numbered by a range shuffle, so no task holds a group of them. The
+    input's columns travel in one of their own, so their names are free.
+    """
     plan = mix(docs, id_col, text_col, source_col)
-    plan = settled(
-        plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("total"), F.count("*").alias("peers"))
+    plan = settled(plan.select(F.struct("doc_id", "source", "size").alias("its"), "total", "peers"))
+    key = F.struct(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")
     )
-    key = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")]
-    same = [a.eqNullSafe(plan[n]) for a, n in zip((F.col(f"_key.{c}") for c in ("doc_id", "source", "size")), ("doc_id", "source", "size"), strict=True)]
-    rows = docs.withColumn("_key", F.struct(*key)).join(plan, same[0] & same[1] & same[2])
-    extra = F.col("_all") % F.col("_rows")
-    times = F.floor(F.col("_all") / F.col("_rows"))
-    if not plan.where("_rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(text_col)))
-        rows = rows.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(1))
-        times = times + (F.col("_nth") <= extra).cast("int")
-    rows = rows.withColumn("_times", times.cast("int")).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
-
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(text_col).alias("text_hash"))
+    same = [F.col(f"key.{c}").eqNullSafe(F.col(f"its.{c}")) for c in ("doc_id", "source", "size")]
+    rows = rows.join(plan, same[0] & same[1] & same[2])
+    each = F.floor(F.col("total") / F.col("peers")).cast("int")
+    out = rows.where("peers = 1 OR total % peers = 0").select("row", each.alias("times"))
+    several = rows.where("peers > 1 AND total % peers > 0")
+    if not plan.where("peers > 1 AND total % peers > 0").isEmpty():
+        several = several.withColumn("key_hash", F.xxhash64("key.doc_id", "key.source", "key.size")).withColumn("nth", F.monotonically_increasing_id())
+        several = ranked(several, [F.col("key_hash"), F.col("text_hash"), F.col("nth")], "place")
+        first = several.groupBy("key_hash").agg(F.min("place").alias("begins"))
+        more = (F.col("place") - F.col("begins") < F.col("total") % F.col("peers")).cast("int")
+        out = out.unionByName(several.join(first, "key_hash").select("row", (each + more).alias("times")))
+    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

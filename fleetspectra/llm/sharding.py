@@ -104,7 +104,8 @@ def shard_records(
 ) -> DataFrame:
     """``doc_id, size, text_crc32, vslot, shard, slot, map_version``: the shard of each row and its place there.
 
-    With ``carry``, the columns of ``docs`` come along (in place of ``doc_id``); else texts aren't shuffled.
+    With ``carry``, the columns of ``docs`` come along (in place of ``doc_id``); one that is named like a result
+    gives way to it. Else texts aren't shuffled.
 
     Records hash into fixed slots, bytes are added up per slot, and the slot-to-shard map in ``folder``
     (made there when missing) is edited until the shards' bytes are near equal: law ``bytes``. A row's place
@@ -124,7 +125,8 @@ def shard_records(
     )
     within = Window.partitionBy("vslot").orderBy("_id" if carry else "doc_id", "text_crc32", "size")
     placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(places), "vslot")  # a row per slot: SLOTS at most
-    own = [F.col(f"_row.{c}") for c in docs.columns] if carry else ["doc_id"]
+    results = {"size", "text_crc32", "vslot", "shard", "slot", "map_version"}
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in results] if carry else ["doc_id"]
     return placed.select(
         *own, "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "map_version"
     )

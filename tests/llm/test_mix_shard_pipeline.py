@@ -102,6 +102,29 @@ def test_shards_with_odd_rows(spark, odd, none, tmp_path):
         assert got.count() == docs.count()
 
 
+CLASHING = "doc_id bigint, text string, source string, key string, row int, its string, times int, nth int, size string, shard string, slot string, _key int"
+
+
+def test_mixed_and_sharded_tables_with_clashing_names_can_be_written(spark, tmp_path):
+    """Rows that repeat in id, source and size, and columns named like those used inside or like results."""
+    rows = [(n % 5 if n < 40 else n, "w " * (n % 3 + 1), "ab"[n % 2], "k", n, "i", 1, 2, "s", "h", "l", 3) for n in range(60)]
+    rows += [(7, "same words here", "c", "k", 1, "i", 1, 2, "s", "h", "l", 3)] * 30 + [(None, None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, CLASHING).repartition(4)
+    got = mixing.mixed(docs)
+    got.write.parquet(f"{tmp_path}/mixed")
+    back = spark.read.parquet(f"{tmp_path}/mixed")
+    assert back.columns == docs.columns
+    plan = mixing.mix(docs).groupBy("source").agg(F.sum("copies").alias("n"), F.sum("taken").alias("words")).collect()
+    there = {r.source: (r.n, r.words) for r in back.groupBy("source").agg(F.count("*").alias("n"), F.sum(mixing.word_count()).alias("words")).collect()}
+    assert there == {r.source: (r.n, r.words) for r in plan if r.n}
+    kept = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in kept for r in back.collect())
+    sharding.shard_records(back, 4, f"file://{tmp_path}/maps", carry=True, slots=64).write.parquet(f"{tmp_path}/shards")
+    placed = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, placed.select("doc_id", "text", "key", "row").collect())) == sorted(map(str, back.select("doc_id", "text", "key", "row").collect()))
+    assert dict(placed.dtypes)["shard"] == "int" and len(placed.columns) == len(set(placed.columns))
+
+
 def test_sharding_is_native(spark, sf):
     plan = QUERIES["op9_shard"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
