@@ -1,6 +1,7 @@
 import os
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,93 @@ def test_sharding_is_native(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_failed(text):
+    words = words_of(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = Counter(windows)
+    inside = {i + j for i, w in enumerate(windows) if times[w] > 1 for j in range(5)}
+    return len(words) < 10 or 100 * len(inside) > 20 * len(words)
+
+
+def plain_groups(texts):
+    """{id: text} -> {id: smallest id of its group}: five-word shingle sets of Jaccard similarity 0.8 or more."""
+    sets = {}
+    for i, text in texts.items():
+        words = [w.translate(LOWER) for w in words_of(text)]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if (len(a & b) >= 0.8 * len(a | b)) and (a or b) or a == b:
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in ids}
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_pipeline_stage_by_stage(spark, sf, tmp_path):
+    """Each stage's rows against a plain computation on that stage's own input."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = before, docs.collect()
+        assert docs.columns[: len(columns)] == columns
+    before, after = seen["quality_rules"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in after}
+    assert all(r in before for r in after) and not any(plain_failed(r.text) for r in after)
+    asked = [r.doc_id for r in before if not plain_failed(r.text) and r.doc_id in labels]
+    assert sum((i in kept) == (labels[i] == 1) for i in asked) >= 0.95 * len(asked)
+
+    before, after = seen["near_duplicates"]
+    group = plain_groups({r.doc_id: r.text for r in before})
+    assert all(r in before for r in after)
+    assert sorted(group[r.doc_id] for r in after) == sorted(set(group.values()))  # one of each group
+
+    before, after = seen["decontamination"]
+    items = [" " + " ".join(r.text.lower().split()) + " " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    holds = {r.doc_id for r in before if any(t in " " + " ".join(r.text.lower().split()) + " " for t in items)}
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    assert holds <= gone and len(gone) <= max(3, 1.5 * len(holds)) and all(r in before for r in after)
+
+    before, after = seen["mixture"]
+    sizes = {}
+    for r in before:
+        sizes[r.source] = sizes.get(r.source, 0) + len(words_of(r.text))
+    want, taken, times = plain_targets(sizes), {}, Counter(r.doc_id for r in after)
+    for r in after:
+        taken[r.source] = taken.get(r.source, 0) + len(words_of(r.text))
+    most = max(len(words_of(r.text)) for r in before)
+    assert all(abs(taken.get(s, 0) - want[s]) <= most for s in sizes) and max(times.values()) <= 3
+    assert all(r in before for r in after)
+
+    before, after = seen["shards"]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in after))) == sorted(map(str, map(tuple, before)))
+    load, places = Counter(), {}
+    for r in after:
+        assert r.size == len((r.text or "").encode()) + 16 and r.text_crc32 == zlib.crc32((r.text or "").encode())
+        load[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(load.values()) - min(load[k] for k in range(40)) <= 4 * max(r.size for r in after)
+
+
 def test_pipeline_stages_act(spark, sf, documents):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = [len(documents)]
