@@ -245,3 +245,27 @@ def test_gapped_copies_are_found_as_by_brute_force():
         if _leaked_by_brute_force(pieces.words[p].tolist(), pieces.answers[p].tolist(), decontam.hashed(text).tolist())
     }
     assert got == want and len(want) > 80
+
+
+def test_latent_search_alone_finds_paraphrases(spark, monkeypatch):
+    """Recall of the latent search without the search by rarer words: items of 16 words and more with every fifth word changed, in running text."""
+    sf = "/root/testdata/sf0.01"
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    documents = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(300).collect() if r.text]
+    rng = np.random.default_rng(8)
+    items = [(r.item_id, r.text.split()) for r in benchmark.collect() if len(r.text.split()) >= 16]
+    planted = []
+    for n, (item_id, words) in enumerate(items):
+        changed = [f"other{rng.integers(1 << 30)}" if k % 5 == 2 else w for k, w in enumerate(words)]
+        around = documents[n].split()
+        at = int(rng.integers(0, len(around) + 1))
+        planted.append((n, " ".join(around[:at] + changed + around[at:]), item_id))
+    docs = spark.createDataFrame([(n, t) for n, t, _ in planted] + [(1000 + k, t) for k, t in enumerate(documents[100:])], "doc_id bigint, text string")
+    monkeypatch.setattr(decontam.Anchors, "regions", lambda self, feature, doc, blocks: iter(()))
+    [index] = decontam.build(docs, benchmark)
+    has, found = index.membership(), set()
+    for n, text, _ in planted:
+        for _, _, texts in chunks(pa.array([text])):
+            found |= {(n, index.pieces.items[p]) for _, p, *_ in index.search(texts, has)}
+    recall = sum((n, item) in found for n, _, item in planted) / len(planted)
+    assert len(planted) >= 20 and recall >= 0.9
