@@ -28,9 +28,9 @@ from fleetspectra.llm.common import BATCH_ROWS, settled, stored
 #: Fixed value: the characters that do not count.
 SPACES = b" \t\n\x0b\x0c\r"
 #: A task's own table is handed on when its contents reach this size.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 #: A bucket's contents reach this size at most, unless it is one content.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Bits of the hash that deal the rows of one level to buckets, and the levels that 64 bits allow.
 BITS, LEVELS = 12, 5
 
@@ -83,17 +83,18 @@ def _members(schema: pa.Schema, task_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first, count, best = Contents(), [], [], []
 
-        def leaders() -> pa.RecordBatch:
-            n = len(first)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b[2] for b in best], pa.int64()), pa.array([b[1] for b in best], schema.field("doc_id").type),
-                    pa.array([b[0] for b in best], pa.int64()), pa.array(first, pa.int64()),
-                    pa.array([_signed(h) for h in table.hashes], pa.int64()), pa.array([len(v) for v in table.values], pa.int64()),
-                    pa.array(count, pa.int64()), pa.array(table.values, pa.binary()),
-                ],
-                schema=schema,
-            ) if n else None
+        def leaders() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(first), BATCH_ROWS):
+                some = slice(at, at + BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b[2] for b in best[some]], pa.int64()), pa.array([b[1] for b in best[some]], schema.field("doc_id").type),
+                        pa.array([b[0] for b in best[some]], pa.int64()), pa.array(first[some], pa.int64()),
+                        pa.array([_signed(h) for h in table.hashes[some]], pa.int64()), pa.array([len(v) for v in table.values[some]], pa.int64()),
+                        pa.array(count[some], pa.int64()), pa.array(table.values[some], pa.binary()),
+                    ],
+                    schema=schema,
+                )
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
@@ -122,10 +123,9 @@ def _members(schema: pa.Schema, task_bytes: int):
                     schema=schema,
                 )
                 if table.bytes > task_bytes:
-                    yield leaders()
+                    yield from leaders()
                     table, first, count, best = Contents(), [], [], []
-        if first:
-            yield leaders()
+        yield from leaders()
 
     return run
 
