@@ -140,6 +140,25 @@ def inverse_frequency(total: np.ndarray, passages: int) -> np.ndarray:
     return np.log((passages + 1.0) / (total + 1.0)) + 0.1
 
 
+#: Features of a chunk that more passages hold than this are added up by a product each.
+OFTEN = 16
+
+
+def _add_by_feature(total: np.ndarray, feature: np.ndarray, row: np.ndarray, weight: np.ndarray, seen: np.ndarray) -> None:
+    """Add ``weight * seen[row]`` to the row of ``total`` of each feature."""
+    order = np.argsort(feature.astype(np.uint16), kind="stable")
+    feature, row, weight = feature[order], row[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+    count = np.diff(np.append(first, len(feature)))
+    for a, n in zip(first[count > OFTEN].tolist(), count[count > OFTEN].tolist(), strict=True):
+        total[feature[a]] += weight[a : a + n] @ seen[row[a : a + n]]
+    rest = np.repeat(count <= OFTEN, count)
+    if rest.any():
+        feature, row, weight = feature[rest], row[rest], weight[rest]
+        first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+        total[feature[first]] += np.add.reduceat(seen[row] * weight[:, None], first, axis=0)
+
+
 def sketch(texts_of: DataFrame, known: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """AᵀAΩ for the matrix A of all passages (rows of length 1): each task adds up its own, Spark adds up the tasks."""
     width = directions.shape[1]
@@ -156,12 +175,14 @@ def sketch(texts_of: DataFrame, known: np.ndarray, idf: np.ndarray, directions:
                 length = np.sqrt(np.bincount(passage, weight * weight, n))[passage]
                 weight /= length.astype(np.float32)
                 starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                seen = np.add.reduceat(directions[feature] * weight[:, None], starts, axis=0)
-                row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(passage))))
-                order = np.argsort(feature, kind="stable")
-                f = feature[order]
-                first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                total[f[first]] += np.add.reduceat(seen[row[order]] * weight[order, None], first, axis=0)
+                size = np.diff(np.append(starts, len(passage)))
+                seen = np.zeros((len(starts), width), np.float32)
+                for k in range(int(size.max())):  # the k-th known word of each passage that has so many
+                    longer = np.flatnonzero(size > k)
+                    at = starts[longer] + k
+                    seen[longer] += directions[feature[at]] * weight[at, None]
+                row = np.repeat(np.arange(len(starts)), size)
+                _add_by_feature(total, feature, row, weight, seen)
         found = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(found), *(pa.array(total[found, k].astype(np.float64)) for k in range(width))], ["feature", *names]
