@@ -75,10 +75,11 @@ def complete_spectra(
     Rows outside the grid vanish. Other columns are null on filled
     rows.
 
-    A vehicle's first row also brings its empty grid, and those bins the
-    vehicle has rows for are dropped again. So the spectra are read once and
-    shuffled once, by vehicle. Limits from data need one more reading: pass a
-    stored table then.
+    A vehicle's first row also brings the empty bins: those of the grid that
+    the vehicle has no row for. So the spectra are read once and shuffled
+    once, by vehicle, and only rows that were counted are put in order.
+    Limits from data need one more reading: pass a stored table then. They
+    are one row per group, which goes to every task.
     """
     if CONFIG in spectra_df.columns and CONFIG not in by:
         by = [CONFIG, *by]
@@ -94,7 +95,8 @@ def complete_spectra(
     }
     if data_limits and by:
         limits = spectra_df.groupBy(*by).agg(*[a.alias(n) for n, a in data_limits.items()])
-        rows = rows.join(limits, list(by))
+        # Dealt by group for a join, all vehicles of a group would stay in one task.
+        rows = rows.join(F.broadcast(limits), list(by))
     else:
         for name, agg in data_limits.items():
             rows = rows.withColumn(name, spectra_df.agg(agg.alias(name)).scalar())
@@ -102,26 +104,22 @@ def complete_spectra(
         if name not in data_limits:
             rows = rows.withColumn(name, F.lit(float(limit)))
 
-    first_row = W.partitionBy(*keys).orderBy(start)
+    vehicle = W.partitionBy(*keys).orderBy(start)
+    whole = vehicle.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     size = f"CAST(ceil(round((__hi - __lo) / {float(width)!r}, 9)) AS INT)"
+    rows = rows.select("*", F.expr(size).alias("__size"), _own_bin(start, width).alias("__own"))
     rows = rows.select(
         "*",
-        F.expr(size).alias("__size"),
-        _own_bin(start, width).alias("__own"),
-        (F.row_number().over(first_row) == 1).alias("__first"),
+        (F.row_number().over(vehicle) == 1).alias("__first"),
+        F.collect_set("__own").over(whole).alias("__taken"),
     )
     # A seed is an empty bin; the row itself goes along as a null.
-    seeds = "concat(sequence(0, __size - 1), array(CAST(NULL AS INT)))"
-    seeds = f"IF(__first AND __size > 0, {seeds}, array(CAST(NULL AS INT)))"
-    spread = rows.select("*", F.expr(f"explode({seeds})").alias("__seed"))
+    seeds = "array_except(sequence(0, __size - 1), __taken)"
+    seeds = f"IF(__first AND __size > 0, concat({seeds}, array(CAST(NULL AS INT))), array(CAST(NULL AS INT)))"
+    spread = rows.select("*", F.expr(f"explode({seeds})").alias("__seed")).drop("__taken")
     spread = spread.select("*", F.coalesce("__seed", "__own").alias("__n"))
     filled = F.col("__seed").isNotNull()
-    taken = F.count(F.when(~filled, F.lit(1))).over(W.partitionBy(*keys, "__n"))
-    kept = (
-        spread.where("__n >= 0 AND __n < __size")
-        .select("*", taken.alias("__taken"))
-        .where(~filled | (F.col("__taken") == 0))
-    )
+    kept = spread.where("__n >= 0 AND __n < __size")
     rest = [
         c for c in spectra_df.columns if c not in (*keys, start, upper, "x1_interval", "count")
     ]

@@ -183,6 +183,25 @@ def test_complete_with_limits_per_group(frame):
     }
 
 
+def test_vehicles_of_one_group_are_dealt_over_tasks(frame, setting):
+    setting("spark.sql.adaptive.enabled", "false")
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = frame(SPECTRUM, *[row for n in range(40) for row in bins(f"V{n}", (1, 4), (4, 1))]).withColumn("sales_group", F.lit(1))
+    got = complete_spectra(df, "min", "max", 1, by=["sales_group"]).withColumn("task", F.spark_partition_id())
+    assert got.count() == 160 and got.select("task").distinct().count() > 1
+
+
+def test_complete_orders_only_counted_rows(frame, plan):
+    text = plan(complete_spectra(frame(SPECTRUM, *bins("A", (1, 4))), 0, 5, 1))
+    assert text.index("Generate explode") < min(text.index("Window"), text.index("Sort"))  # the root of a plan comes first
+
+
+def test_complete_with_repeated_and_stray_bins(frame):
+    df = frame(SPECTRUM, *bins("A", (1, 4), (1, 2), (9, 5)), *bins(None, (0.5, 3)))
+    got = sorted((r.vin or "", r.interval_start, r["count"]) for r in complete_spectra(df, 0, 3, 1).collect())
+    assert got == [("", 0.0, 0.0), ("", 1.0, 0.0), ("", 2.0, 0.0), ("A", 0.0, 0.0), ("A", 1.0, 2.0), ("A", 1.0, 4.0), ("A", 2.0, 0.0)]
+
+
 def test_complete_without_room_is_empty(frame):
     df = frame(SPECTRUM, *bins("A", (2, 4)))
     assert complete_spectra(df, 3, 3, 1).count() == 0
