@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,13 +21,22 @@ def exact_sum(value: Column, over: WindowSpec | None = None) -> Column:
     the limbs are added as bigints. That holds for some 9e12 rows and sums up
     to 9e24. NaN and infinities count as missing.
     """
-    rest = known(value) / F.lit(LIMB)
-    total = []
+    total = [F.sum(limb) for limb in limbs(value)]
+    return joined_limbs(total if over is None else [part.over(over) for part in total])
+
+
+def limbs(value: Column) -> list[Column]:
+    """A double as LIMBS bigints, whose sums ``joined_limbs`` puts together; for sums in several steps."""
+    rest, parts = known(value) / F.lit(LIMB), []
     for _ in range(LIMBS):
         limb = F.rint(rest)
-        part = F.sum(limb.cast("bigint"))
-        total.append(part if over is None else part.over(over))
+        parts.append(limb.cast("bigint"))
         rest = (rest - limb) * F.lit(LIMB)
+    return parts
+
+
+def joined_limbs(total: Sequence[Column]) -> Column:
+    """The double that sums of limbs stand for; null without a value."""
     fraction = F.lit(0.0)
     for part in total[:1:-1]:
         fraction = (fraction + part) / F.lit(LIMB)

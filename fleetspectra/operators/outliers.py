@@ -7,10 +7,11 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.joins import join_groups
-from fleetspectra.functions.numeric import exact_sum
+from fleetspectra.functions.numeric import exact_sum, joined_limbs, limbs
 from fleetspectra.operators.quantiles import grouped_quantiles
 
 # Least mileage, reach of the fences in interquartile ranges,
@@ -235,17 +236,16 @@ def zero_mass_outliers(
     """Vehicles with no weight inside the range, with the groups they are in.
 
     The mass is that of the vehicle over all its groups. What lies outside the
-    range does not save a vehicle. One aggregation per vehicle gives the mass
-    and the groups.
+    range does not save a vehicle. The bins are added up per vehicle and group
+    first, so only one row of each is put in order by vehicle.
     """
     center = _center(edges)
     inside = (center > F.lit(float(lo))) & (center < F.lit(float(hi)))
     aligned = F.floor((center - F.lit(float(lo))) / F.lit(float(width))) * width + lo + width / 2
-    mass = exact_sum(F.when(inside & (center == aligned), F.col("count")))
-    vehicles = spectra_df.groupBy(key).agg(
-        F.coalesce(mass, F.lit(0.0)).alias("__mass"),
-        # In a struct, so that no group is a group as well.
-        F.collect_set(F.struct(by)).alias("__groups"),
-    )
-    empty = vehicles.where("__mass = 0").select(key, F.explode("__groups").alias("__group"))
-    return empty.select(key, F.col(f"__group.{by}"))
+    bins = spectra_df.select(key, by, F.when(inside & (center == aligned), F.col("count")).alias("__inside"))
+    parts = limbs(F.col("__inside"))
+    names = [f"__limb_{i}" for i in range(len(parts))]
+    members = bins.groupBy(key, by).agg(*[F.sum(part).alias(name) for name, part in zip(names, parts)])
+    vehicle = W.partitionBy(key)
+    mass = joined_limbs([F.sum(name).over(vehicle) for name in names])
+    return members.select(key, by, F.coalesce(mass, F.lit(0.0)).alias("__mass")).where("__mass = 0").select(key, by)

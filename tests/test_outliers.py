@@ -200,6 +200,13 @@ def weights(vin, group, *pairs):
     return [(vin, group, f"[{lo},{lo + 1000})", float(lo), c) for lo, c in pairs]
 
 
+def test_zero_mass_orders_one_row_per_vehicle_and_group(frame, plan):
+    df = frame(COUNTS, *weights("A", 1, (20000, 5.0)), *weights("A", 2, (20000, -5.0)), *weights(None, None, (11000, 5.0)), *weights("B", 1, (20000, 1.0)))
+    got = zero_mass_outliers(df.withColumn("x1_upper", F.col("x1_quantized") + 1000))
+    assert {tuple(r) for r in got.collect()} == {("A", 1), ("A", 2), (None, None)}
+    assert "ObjectHashAggregate" not in plan(got) and "SortAggregate" not in plan(got)
+
+
 def test_zero_mass(frame):
     df = frame(
         COUNTS,
