@@ -757,7 +757,8 @@ def _arriving(spark, sf):
     span = max(1, -(-(ends["hi"] + 1 - ends["lo"]) // ARRIVALS))
     folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     for n in range(ARRIVALS):
-        rows.where(F.floor((arrival - ends["lo"]) / span) == n).write.mode("append").parquet(folder)
+        # One file each, so that the number of micro-batches does not grow with the table's files.
+        rows.where(F.floor((arrival - ends["lo"]) / span) == n).repartition(1).write.mode("append").parquet(folder)
     last = {"vin": F.lit(-1), "timestamp": F.timestamp_seconds(F.lit(ends["hi"] + 10 * span)), "event_id": F.lit(-1)}
     spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)

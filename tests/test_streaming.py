@@ -136,3 +136,21 @@ def test_upserts_of_a_growing_spectrum(spark, frame, tmp_path):
 def test_a_table_without_a_batch_is_named(spark, tmp_path):
     with pytest.raises(ValueError, match="no finished batch"):
         BatchTable(spark, f"{tmp_path}/none").read()
+
+
+def test_arrivals_are_one_file_each_whatever_the_table_is_cut_into(spark, tmp_path):
+    from pathlib import Path
+
+    from registry import queries
+
+    rows = spark.range(600, numPartitions=8).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-06-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60) AS ts", "id % 7 AS user_id",
+        "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props",
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    place = Path(queries.shared_folder(spark).removeprefix("file:"))
+    before = set(place.glob("arrivals-*"))
+    queries._arriving(spark, str(tmp_path))
+    (folder,) = set(place.glob("arrivals-*")) - before
+    assert len(list(folder.glob("*.parquet"))) <= queries.ARRIVALS + 2  # the far row may bring an empty file
+    assert spark.read.parquet(str(folder)).where("vin <> -1").count() == 600
