@@ -187,6 +187,31 @@ def test_windows_score_each_subword_once_and_look_back_only():
     assert np.allclose(before[:, :-1], after[:, :-1]) and np.allclose(np.exp(_all(scorer, model, x)).sum(), 1.0, atol=1e-4)
 
 
+def test_the_model_learns_from_every_window_of_the_rows_in_use(spark, sf, documents):
+    from fleetspectra.llm.common import fold_of
+
+    docs, ranks = spark.read.parquet(f"{sf}/documents.parquet"), lm.load_ranks(VOCABULARY)
+    encoder, want, count = lm.Encoder(ranks), 0, np.zeros(max(ranks.values()) + 2)
+    for r in documents:
+        if fold(r.doc_id, 5) != 1:
+            words = (r.text or "").encode().lower().split()
+            n = sum(map(len, encoder.words([hash(w) for w in words], words))) + 1
+            want += -(-n // lm.QUERIES)
+    assert want > 1000
+    for least in (want // 8, want + 1):  # some tasks, and rows of their own for each round; one task and all rows in each
+        model = lm.Attention(lm.Classes(count))
+        before = model.weights()
+        assert lm.learn(docs, fold_of("doc_id", 5) != 1, ranks, model, want, least=least) == want
+        assert (model.weights() != before).mean() > 0.5
+
+
+def test_models_of_tasks_are_averaged_by_their_windows():
+    import pyarrow as pa
+
+    rows = pa.table({"task": [3, 1], "n": [30, 10], "at": [7, 7], "weights": [[1.0, 2.0], [5.0, 2.0]]})
+    assert lm._average(rows).to_pylist() == [{"at": 7, "n": 40, "weights": [2.0, 2.0]}]
+
+
 def _all(scorer, model, x):
     """Log probability of every subword as the first target of one window."""
     n = 51
