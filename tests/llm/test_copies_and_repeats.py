@@ -247,3 +247,20 @@ def test_bands_meet_as_often_as_stated():
         x = rng.integers(0, 1 << 63, 108).astype(np.uint64)  # 96 of 120 are shared
         met += similar.band_keys(x) == similar.band_keys(np.concatenate([x[:96], rng.integers(0, 1 << 63, 12).astype(np.uint64)]))
     assert abs(met.mean() / 300 - 0.8**similar.ROWS) < 0.03 and 1 - (1 - 0.8**similar.ROWS) ** similar.BANDS > 0.9999
+
+
+def test_pairs_meet_at_codewords_without_the_bands(spark):
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(4000)}" for _ in range(304)]
+        m = round(300 * 0.2 / 1.8) - k % 3 * 12  # Jaccard similarities of 0.8, 0.86 and 0.93
+        pairs.append((similar.shingles(" ".join(words)), similar.shingles(" ".join(words[: len(words) - m] + [f"new{rng.getrandbits(40)}" for _ in range(m)]))))
+    sets = [x for pair in pairs for x in pair]
+    rows = [(similar.set_node(x), bytearray(similar._wide(x).tobytes())) for x in sets]
+    nodes = spark.createDataFrame(rows, "fp bigint, wide binary")
+    for cell_rows in (20, 16_384):
+        label = {r.node: r.label for r in components(similar.linked(similar.at_anchors(nodes), 0.8, cell_rows)).collect()}
+        met = [label.get(similar.set_node(a), 1) == label.get(similar.set_node(b), 2) for a, b in pairs]
+        assert sum(met[::3]) >= 93 and sum(met[1::3]) >= 97 and sum(met[2::3]) >= 98
+        assert len({label[similar.set_node(a)] for (a, _), hit in zip(pairs, met, strict=True) if hit}) == sum(met)
