@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import in_batches
-from fleetspectra.llm.textvec import LOWER, U, Rolling, Texts, chunks
+from fleetspectra.llm.textvec import LOWER, U, Texts, chunks, distinct
 
 #: Words in a corpus passage, and how far the next search window begins; bits of the hashed vocabulary.
 PASSAGE, STRIDE, BITS = 32, 8, 14
@@ -31,13 +31,15 @@ BLOCK = 4_000
 # Letters in lower case; ASCII punctuation reads as space.
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
+_PLAIN = PLAIN.tobytes()
 
 
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each word, without case and punctuation."""
-    plain = Texts(PLAIN[texts.data], texts.edges)
+    plain = Texts(np.frombuffer(texts.data.tobytes().translate(_PLAIN), np.uint8), texts.edges)
     start, end, doc = plain.words()
-    return Rolling(plain.data).of(start, end), doc
+    at, hashes, _ = distinct(plain.data, start, end)
+    return hashes[at], doc
 
 
 def hashed(text: str) -> np.ndarray:
@@ -47,20 +49,32 @@ def hashed(text: str) -> np.ndarray:
 
 def place_in_document(doc: np.ndarray) -> np.ndarray:
     """The number of each word in its document."""
-    return np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    return np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
 
 
 def common_subsequence(piece: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence, a bit for each word of the piece (bit-parallel)."""
+    return in_order(places(piece), len(piece), region)
+
+
+def places(piece: list[int]) -> dict[int, int]:
+    """Where each word of a piece stands in it, a bit a word."""
     where: dict[int, int] = {}
     for k, w in enumerate(piece):
         where[w] = where.get(w, 0) | 1 << k
-    full = (1 << len(piece)) - 1
+    return where
+
+
+def in_order(where: dict[int, int], size: int, region: list[int]) -> int:
+    """``common_subsequence`` of a region with the piece of ``size`` words that stand at ``where``."""
+    full = (1 << size) - 1
     state = full
     for w in region:
-        m = state & where.get(w, 0)
-        state = ((state + m) | (state - m)) & full
-    return len(piece) - state.bit_count()
+        if w in where:
+            m = state & where[w]
+            state = ((state + m) | (state - m)) & full
+    return size - state.bit_count()
 
 
 @dataclass
@@ -176,12 +190,17 @@ def sketch(texts_of: DataFrame, known: np.ndarray, idf: np.ndarray, directions:
                 weight /= length.astype(np.float32)
                 starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
                 size = np.diff(np.append(starts, len(passage)))
-                seen = np.zeros((len(starts), width), np.float32)
+                seen, place = np.zeros((len(starts), width), np.float32), np.empty(len(starts), np.int64)
+                order = np.argsort(-size, kind="stable")
+                place[order] = np.arange(len(starts))
+                at, longer = starts[order], len(size) - np.cumsum(np.bincount(size))
                 for k in range(int(size.max())):  # the k-th known word of each passage that has so many
-                    longer = np.flatnonzero(size > k)
-                    at = starts[longer] + k
-                    seen[longer] += directions[feature[at]] * weight[at, None]
-                row = np.repeat(np.arange(len(starts)), size)
+                    n = int(longer[k])
+                    row = directions.take(feature[at[:n]], 0)
+                    row *= weight[at[:n], None]
+                    seen[:n] += row
+                    at[:n] += 1
+                row = np.repeat(place, size)
                 _add_by_feature(total, feature, row, weight, seen)
         found = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays(
@@ -214,6 +233,8 @@ def latent_space(gathered: np.ndarray, directions: np.ndarray, rank: int) -> np.
 
 #: Hits of the words of pieces held at once; more are searched part by part of the text.
 HITS = 1 << 22
+#: Regions or blocks looked at together; cosines of windows and pieces together.
+SLICE, COMPARED = 1 << 10, 1 << 20
 
 
 class Anchors:
@@ -250,7 +271,14 @@ class Anchors:
         self.masks = np.bitwise_or.reduceat(bit[order], start) if len(pair) else np.zeros(0, U)
         self.filter_mask = (1 << max(16, int(16 * len(pair)).bit_length())) - 1
         self.filter = np.zeros(self.filter_mask + 1, bool)
-        self.filter[(self.keys ^ self.keys >> 13) & self.filter_mask] = True
+        slot = self._folded(self.keys)
+        self.filter[slot] = True
+        self.key_at = np.zeros(self.filter_mask + 1, np.int32)  # one of the pairs there
+        self.key_at[slot] = np.arange(len(slot))
+
+    def _folded(self, key: np.ndarray) -> np.ndarray:
+        """Place in the coarse table; that of a pair is that of its piece (shifted) xor that of its slot."""
+        return (key ^ key >> 13) & self.filter_mask
 
     def regions(self, feature: np.ndarray, doc: np.ndarray, blocks: np.ndarray):
         """``piece, at, begin, end`` of the regions that may be leaked, once each; ``at`` is a window's first word (begin, for short pieces)."""
@@ -260,6 +288,10 @@ class Anchors:
         far = int(place[-1]) + 2 * gap
         where = np.zeros(far, np.int32)
         where[place] = np.arange(len(place))
+        edges = np.searchsorted(doc, np.arange(doc[-1] + 2))
+        # No region is longer than four gaps, so each can be read to the end of the longest.
+        words = np.concatenate([feature, np.zeros(4 * gap, np.int64)])
+        words = words, self._folded(words)
         a = 0
         while a < len(feature):
             b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, side="right")) - 1)
@@ -287,51 +319,56 @@ class Anchors:
                 good.append(part[kinds >= self.count[piece[part]]])
             good = np.concatenate(good)
             piece, first, last = piece[good], first[good], last[good]
-            yield from self._around(piece, first, last, feature, doc, blocks)
+            yield from self._around(piece, first, last, words, edges[doc[first]], edges[doc[first] + 1], blocks)
             a = b
 
-    def _around(self, piece, first, last, feature, doc, blocks):
+    def _around(self, piece, first, last, words, doc_first, doc_end, blocks):
         """Regions around the words from ``first`` to ``last`` that hold ``need`` words of the piece in order."""
-        doc_first = np.searchsorted(doc, doc[first], side="left")
-        doc_end = np.searchsorted(doc, doc[first], side="right")
         size, short = self.size[piece], self.short[piece]
         low = np.maximum(doc_first, last + 1 - np.where(short, 2 * size, PASSAGE + size))
         high = np.where(short, first + 1, np.minimum(doc_end, first + size + 1))
         low = np.where(short, low, np.searchsorted(blocks, low))
         high = np.where(short, high, np.searchsorted(blocks, high))
-        n = np.maximum(0, high - low)
-        # All regions of a candidate together must hold enough of the piece's words, before any of them is looked at.
-        some = np.flatnonzero(n)
+        # Candidates with the same regions count once.
+        order = np.lexsort((high, low, piece))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(piece[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        some = order[new & (high > low)[order]]
+        # All regions of a candidate together must hold enough of the piece's words in order, before any of them is looked at.
         lo, hi = low[some], high[some] - 1
         begin = np.where(short[some], lo, np.maximum(doc_first[some], blocks[np.minimum(lo, len(blocks) - 1)] - size[some]))
         end = np.where(short[some], hi + 2 * size[some], blocks[np.minimum(hi, len(blocks) - 1)] + size[some] + PASSAGE)
-        some = some[self._held(piece[some], begin, np.minimum(doc_end[some], end), feature)]
-        piece, low, high, doc_first, doc_end, size, short, n = (x[some] for x in (piece, low, high, doc_first, doc_end, size, short, n))
+        some = some[self._holding(piece[some], begin, np.minimum(doc_end[some], end), words)]
+        piece, low, high, doc_first, doc_end, size, short = (x[some] for x in (piece, low, high, doc_first, doc_end, size, short))
+        n = high - low
         for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) >> 20)):
             m = n[part]
             row = np.repeat(part, m)
             at = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
             at = np.where(short[row], at, blocks[np.minimum(at, len(blocks) - 1)])
-            _, once = np.unique(piece[row] * len(feature) + at, return_index=True)
+            _, once = np.unique(piece[row] * len(words[0]) + at, return_index=True)
             row, at = row[once], at[once]
             begin = np.where(short[row], at, np.maximum(doc_first[row], at - size[row]))
             end = np.minimum(doc_end[row], at + np.where(short[row], 2, 1) * size[row] + np.where(short[row], 0, PASSAGE))
-            for k in range(0, len(row), 1 << 15):
-                one = slice(k, k + (1 << 15))
-                p = piece[row[one]]
-                good = np.flatnonzero(self._in_order(p, begin[one], end[one], feature) >= self.need[p])
-                yield from zip(p[good].tolist(), at[one][good].tolist(), begin[one][good].tolist(), end[one][good].tolist(), strict=True)
+            good = self._holding(piece[row], begin, end, words)
+            yield from zip(piece[row[good]].tolist(), at[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True)
 
-    def _masks(self, piece, begin, end, feature):
+    def _masks(self, piece, begin, end, words):
         """``row, mask``: for each word of a region that is one of the piece's, where it stands there; by region, in order."""
-        width = int((end - begin).max(initial=0))
-        words = begin[:, None] + np.arange(width)
-        key = piece[:, None] << BITS | feature[np.minimum(words, len(feature) - 1)]
-        at = np.flatnonzero((words < end[:, None]) & self.filter[(key ^ key >> 13) & self.filter_mask])
-        key = key.ravel()[at]
-        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        feature, folded = words
+        width = max(1, int((end - begin).max(initial=0)))
+        slot = np.lib.stride_tricks.sliding_window_view(folded, width)[begin]
+        slot ^= self._folded(piece << BITS)[:, None]
+        near = self.filter.take(slot)
+        near &= np.arange(width) < (end - begin)[:, None]
+        at = np.flatnonzero(near)
+        row = at // width
+        key = piece[row] << BITS | feature[begin[row] + at - row * width]
+        found = self.key_at.take(slot.ravel()[at])
+        other = np.flatnonzero(self.keys[found] != key)
+        found[other] = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
         sure = self.keys[found] == key
-        return at[sure] // max(1, width), self.masks[found[sure]]
+        return row[sure], self.masks[found[sure]]
 
     def _enough(self, row, mask, piece) -> np.ndarray:
         """Whether the words of each region cover ``need`` places of the piece, which is no less than stand in order."""
@@ -341,18 +378,18 @@ class Anchors:
             covered[row[first]] = np.bitwise_or.reduceat(mask, first)
         return np.bitwise_count(covered) >= self.need[piece]
 
-    def _held(self, piece, begin, end, feature) -> np.ndarray:
-        """The numbers of the regions with enough words of their piece."""
+    def _holding(self, piece, begin, end, words) -> np.ndarray:
+        """The numbers of the regions that hold ``need`` words of their piece in order."""
         good = [np.zeros(0, np.int64)]
-        for k in range(0, len(piece), 1 << 13):
-            one = slice(k, k + (1 << 13))
-            good.append(k + np.flatnonzero(self._enough(*self._masks(piece[one], begin[one], end[one], feature), piece[one])))
+        for k in range(0, len(piece), SLICE):
+            one = slice(k, k + SLICE)
+            good.append(k + np.flatnonzero(self._in_order(piece[one], begin[one], end[one], words) >= self.need[piece[one]]))
         return np.concatenate(good)
 
-    def _in_order(self, piece: np.ndarray, begin: np.ndarray, end: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    def _in_order(self, piece: np.ndarray, begin: np.ndarray, end: np.ndarray, words: tuple) -> np.ndarray:
         """Length of the longest common subsequence of slots of each piece and region; less than ``need`` may read as 0."""
         out = np.zeros(len(piece), np.int64)
-        row, mask = self._masks(piece, begin, end, feature)
+        row, mask = self._masks(piece, begin, end, words)
         rows = np.flatnonzero(self._enough(row, mask, piece))
         if not len(rows):
             return out
@@ -383,7 +420,17 @@ class Index:
 
     @cached_property
     def padded(self) -> np.ndarray:
-        return np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.float32)])
+        out = np.zeros((len(self.table) + 1, self.table.shape[1]), np.float32)  # row by row, as it is read
+        out[:-1] = self.table
+        return out
+
+    @cached_property
+    def places(self) -> list[dict[int, int]]:
+        return [places(w.tolist()) for w in self.pieces.words]
+
+    @cached_property
+    def answer_places(self) -> list[dict[int, int]]:
+        return [places(w.tolist()) for w in self.pieces.answers]
 
     def search(self, texts: Texts, has: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(document, piece, share in order, share of the answer, cosine) of what is leaked, the best window of each."""
@@ -396,40 +443,45 @@ class Index:
         # Sums of each STRIDE words: their rows one after the other, a row of zeros where a block is shorter.
         size = np.diff(np.append(blocks, len(feature)))
         padded = np.append(feature, len(self.table))
-        part = self.padded[padded[blocks]]
-        for k in range(1, STRIDE):
-            part += self.padded[padded[np.where(k < size, blocks + k, len(feature))]]
+        part = np.empty((len(blocks), self.padded.shape[1]), np.float32)
+        for a in range(0, len(blocks), SLICE):  # a slice stays in the processor's cache
+            begin, n, some = blocks[a : a + SLICE], size[a : a + SLICE], part[a : a + SLICE]
+            self.padded.take(padded[begin], 0, some, "clip")
+            more = np.empty_like(some)
+            for k in range(1, STRIDE):
+                some += self.padded.take(padded[np.where(k < n, begin + k, len(feature))], 0, more, "clip")
         window = part.copy()
         for k in range(1, PASSAGE // STRIDE):
             same = np.flatnonzero(block_doc[k:] == block_doc[:-k]) if k < len(blocks) else np.zeros(0, np.int64)
             window[same] += part[same + k]
         length = np.sqrt((window * window).sum(1))
         found = []
-        step = max(1, (1 << 22) // len(self.pieces.items))
+        step = max(1, COMPARED // len(self.pieces.items))
         doc_end = np.searchsorted(doc, np.arange(texts.n), side="right")
+        sizes = np.array([len(w) for w in self.pieces.words])
+        ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([feature, np.zeros(PASSAGE, np.int64)]), PASSAGE)
         for a in range(0, len(window), step):
             cosine = (window[a : a + step] / np.maximum(length[a : a + step, None], 1e-9)) @ self.vectors.T
             row, piece = np.divmod(np.flatnonzero(cosine >= COSINE), len(self.pieces.items))
             begin = blocks[a + row]
-            end = np.minimum(begin + PASSAGE, doc_end[block_doc[a + row]])
-            place = begin[:, None] + np.arange(PASSAGE)
-            inside = place < end[:, None]
-            shared = (has[piece[:, None], feature[np.minimum(place, len(feature) - 1)]] & inside).sum(1)
-            sizes = np.array([len(w) for w in self.pieces.words])
-            near = np.flatnonzero(shared >= SHARED * np.minimum(PASSAGE, sizes[piece]))
+            inside = has.take(ahead[begin] + (piece << BITS)[:, None])
+            inside &= np.arange(PASSAGE) < (doc_end[block_doc[a + row]] - begin)[:, None]
+            near = np.flatnonzero(np.count_nonzero(inside, axis=1) >= SHARED * np.minimum(PASSAGE, sizes[piece]))
             found += [(int(block_doc[a + row[i]]), int(piece[i]), int(begin[i]), float(cosine[row[i], piece[i]])) for i in near]
         doc_first = np.searchsorted(doc, np.arange(texts.n), side="left")
-        best: dict[tuple[int, int], tuple[bool, float, float, float]] = {}
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
 
         def look(d: int, p: int, begin: int, end: int, cosine: float, share_only: bool) -> None:
-            if best.get((d, p), (False, 0.0))[1] >= 1.0:
+            if (d, p) in best and best[d, p][0] >= 1.0:
+                return
+            region, size = word[begin:end].tolist(), len(self.pieces.words[p])
+            share = in_order(self.places[p], size, region) / size
+            if share < (COPY if share_only else PARAPHRASE):
                 return
-            region = word[begin:end].tolist()
-            share = common_subsequence(self.pieces.words[p].tolist(), region) / len(self.pieces.words[p])
-            answer = self.pieces.answers[p]
-            answered = common_subsequence(answer.tolist(), region) / max(1, len(answer))
-            leaked = share >= COPY or not share_only and share >= PARAPHRASE and answered >= ANSWER
-            best[d, p] = max(best.get((d, p), (False, 0.0, 0.0, 0.0)), (leaked, share, answered, cosine))
+            size = len(self.pieces.answers[p])
+            answered = in_order(self.answer_places[p], size, region) / max(1, size)
+            if share >= COPY or answered >= ANSWER:
+                best[d, p] = max(best.get((d, p), (0.0, 0.0, 0.0)), (share, answered, cosine))
 
         for d, p, begin, cosine in sorted(found, key=lambda x: -x[3]):
             size = len(self.pieces.words[p])
@@ -438,7 +490,7 @@ class Index:
             w = np.searchsorted(blocks, at, side="right") - 1
             cosine = float(window[w] @ self.vectors[p]) / max(float(length[w]), 1e-9)
             look(int(doc[at]), p, begin, end, cosine, bool(self.anchors.short[p]))
-        return sorted((d, p, *s[1:]) for (d, p), s in best.items() if s[0])
+        return sorted((d, p, *s) for (d, p), s in best.items())
 
     def membership(self) -> np.ndarray:
         has = np.zeros((len(self.pieces.items), 1 << BITS), bool)

@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fleetspectra.llm import rules, suffix
+from fleetspectra.llm import decontam, rules, suffix
 from fleetspectra.llm.lm import Words
-from fleetspectra.llm.textvec import PRIME, Rolling, _power, chunks
+from fleetspectra.llm.textvec import PRIME, Rolling, _power, chunks, distinct
 
 
 def thue_morse(n, a="a", b="b"):
@@ -55,3 +55,20 @@ def test_repeats_of_windows_of_thue_morse(spark):
     rows = spark.createDataFrame([(1, a), (2, b), (3, "x" + a)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(rows, width=1024).collect()}
     assert got == {1: 1024, 2: 0, 3: 1024}
+
+
+def test_distinct_words_are_hashed_once_and_as_by_rolling(monkeypatch):
+    dice = np.random.default_rng(4)
+    some = ["a", "a\0", "\0a", "é", "日" * 21, "x" * 63, "x" * 64, "x" * 65, "y" * 64 + "z", "b" * 8, "b" * 16, "b" * 17, "q" * 5000]
+    some += ["".join(dice.choice(list("ab0"), dice.integers(1, 20))) for _ in range(400)]
+    text = " \n".join(some[k] for k in dice.integers(0, len(some), 6000))
+    for _, _, texts in chunks(pa.array([text, None, "", " ", "a", "a\0"])):
+        start, end, _ = texts.words()
+        if not len(start):
+            continue
+        at, hashes, first = distinct(texts.data, start, end)
+        want = Rolling(texts.data).of(start, end)
+        assert (hashes[at] == want).all() and len(hashes) == len(set(want.tolist())) and (at[first] == np.arange(len(first))).all()
+    hashed = []
+    monkeypatch.setattr("fleetspectra.llm.textvec.Rolling", lambda data: hashed.append(len(data)))
+    assert len(decontam.hashed("one two three " * 1000)) == 3000 and not hashed

@@ -272,6 +272,24 @@ def test_gapped_copies_are_found_as_by_brute_force():
     assert got == want and len(want) > 80
 
 
+def test_words_out_of_order_need_no_window_and_no_answer(monkeypatch):
+    """A piece's words in another order are ruled out for all windows at once, and what is not leaked has its answer left alone."""
+    rng = np.random.default_rng(9)
+    item = [f"v{k}" for k in range(40)]
+    backwards = " ".join(_zipf_words(rng, 200) + item[::-1] + _zipf_words(rng, 200))
+    pieces = decontam.pieces_of([(1, " ".join(item), "gold silver")])
+    known = pieces.vocabulary
+    nothing = np.zeros((len(known), 1), np.float32), np.zeros((1, 1), np.float32)
+    index = decontam.Index(pieces, *nothing, decontam.Anchors(pieces, decontam.inverse_frequency(np.ones(len(known)), 400)))
+    looked, checked = [], decontam.Anchors._masks
+    monkeypatch.setattr(decontam.Anchors, "_masks", lambda self, piece, *rest: looked.append(len(piece)) or checked(self, piece, *rest))
+    for text, leaked in ((backwards, []), (" ".join(item), [(0, 0)])):
+        looked.clear()
+        _, _, texts = next(iter(chunks(pa.array([text]))))
+        assert [x[:2] for x in index.search(texts, index.membership())] == leaked
+        assert leaked or sum(looked) <= 12
+
+
 def test_latent_search_alone_finds_paraphrases(spark, monkeypatch):
     """Recall of the latent search without the search by rarer words: items of 16 words and more with every fifth word changed, in running text."""
     sf = "/root/testdata/sf0.01"
