@@ -161,16 +161,19 @@ OFTEN = 16
 def _add_by_feature(total: np.ndarray, feature: np.ndarray, row: np.ndarray, weight: np.ndarray, seen: np.ndarray) -> None:
     """Add ``weight * seen[row]`` to the row of ``total`` of each feature."""
     order = np.argsort(feature.astype(np.uint16), kind="stable")
-    feature, row, weight = feature[order], row[order], weight[order]
+    feature, row, weight = feature.take(order), row.take(order), weight.take(order)
     first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
     count = np.diff(np.append(first, len(feature)))
-    for a, n in zip(first[count > OFTEN].tolist(), count[count > OFTEN].tolist(), strict=True):
-        total[feature[a]] += weight[a : a + n] @ seen[row[a : a + n]]
-    rest = np.repeat(count <= OFTEN, count)
+    often = count > OFTEN
+    for f, a, b in zip(*(x[often].tolist() for x in (feature[first], first, first + count)), strict=True):
+        total[f] += weight[a:b] @ seen.take(row[a:b], 0)
+    rest = np.repeat(~often, count)
     if rest.any():
         feature, row, weight = feature[rest], row[rest], weight[rest]
         first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
-        total[feature[first]] += np.add.reduceat(seen[row] * weight[:, None], first, axis=0)
+        part = seen.take(row, 0)
+        part *= weight[:, None]
+        total[feature[first]] += np.add.reduceat(part, first, axis=0)
 
 
 def sketch(texts_of: DataFrame, known: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -286,8 +289,8 @@ class Anchors:
         place = np.arange(len(feature)) + doc * gap  # further apart than a region, if in different documents
         total = np.concatenate([[0], np.cumsum(self.most[feature])])
         far = int(place[-1]) + 2 * gap
-        where = np.zeros(far, np.int32)
-        where[place] = np.arange(len(place))
+        where, slots = np.zeros(far, np.int32), np.zeros(far, np.int32)
+        where[place], slots[place] = np.arange(len(place)), feature
         edges = np.searchsorted(doc, np.arange(doc[-1] + 2))
         # No region is longer than four gaps, so each can be read to the end of the longest.
         words = np.concatenate([feature, np.zeros(4 * gap, np.int64)])
@@ -302,19 +305,19 @@ class Anchors:
             key = np.sort(self.piece[at] * far + place[row])
             # Hits of which the c-th next one of the same piece is as near as a region is long.
             mine = key // far
+            spot = key - mine * far
             partner = np.minimum(np.arange(len(key)) + self.count[mine] - 1, max(0, len(key) - 1))
             ahead = np.arange(len(key)) + self.count[mine] <= len(key)
             close = np.flatnonzero(ahead & (mine[partner] == mine) & (key[partner] - key < self.width[mine]))
             piece = mine[close]
             then = close + self.count[piece] - 1
             n = np.searchsorted(key, key[close] + self.width[piece]) - close
-            first, last = where[key[close] - piece * far], where[key[then] - piece * far]
+            first, last, slot = where[spot[close]], where[spot[then]], slots.take(spot)
             good = [np.zeros(0, np.int64)]
             for part in np.array_split(np.arange(len(close)), max(1, int(n.sum()) >> 20)):
                 group = np.repeat(part, n[part])
                 hit = close[group] + np.arange(len(group)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-                slot = feature[where[key[hit] - piece[group] * far]]
-                kind = np.sort((group - part[:1]) << BITS | slot)
+                kind = np.sort((group - part[:1]) << BITS | slot.take(hit))
                 kinds = np.bincount(kind[np.diff(kind, prepend=-1) != 0] >> BITS, minlength=len(part))
                 good.append(part[kinds >= self.count[piece[part]]])
             good = np.concatenate(good)
