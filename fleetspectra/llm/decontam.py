@@ -283,6 +283,11 @@ class Anchors:
         """Place in the coarse table; that of a pair is that of its piece (shifted) xor that of its slot."""
         return (key ^ key >> 13) & self.filter_mask
 
+    def read(self, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and their places in the coarse table, with room after them: no region is longer than four gaps."""
+        words = np.concatenate([feature, np.zeros(4 * int(self.width.max()), np.int64)])
+        return words, self._folded(words)
+
     def regions(self, feature: np.ndarray, doc: np.ndarray, blocks: np.ndarray):
         """``piece, at, begin, end`` of the regions that may be leaked, once each; ``at`` is a window's first word (begin, for short pieces)."""
         gap = int(self.width.max())
@@ -292,9 +297,7 @@ class Anchors:
         where, slots = np.zeros(far, np.int32), np.zeros(far, np.int32)
         where[place], slots[place] = np.arange(len(place)), feature
         edges = np.searchsorted(doc, np.arange(doc[-1] + 2))
-        # No region is longer than four gaps, so each can be read to the end of the longest.
-        words = np.concatenate([feature, np.zeros(4 * gap, np.int64)])
-        words = words, self._folded(words)
+        words = self.read(feature)
         a = 0
         while a < len(feature):
             b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, side="right")) - 1)
@@ -455,8 +458,8 @@ class Index:
                 some += self.padded.take(padded[np.where(k < n, begin + k, len(feature))], 0, more, "clip")
         window = part.copy()
         for k in range(1, PASSAGE // STRIDE):
-            same = np.flatnonzero(block_doc[k:] == block_doc[:-k]) if k < len(blocks) else np.zeros(0, np.int64)
-            window[same] += part[same + k]
+            if k < len(blocks):
+                np.add(window[:-k], part[k:], out=window[:-k], where=(block_doc[k:] == block_doc[:-k])[:, None])
         length = np.sqrt((window * window).sum(1))
         found = []
         step = max(1, COMPARED // len(self.pieces.items))
@@ -486,9 +489,14 @@ class Index:
             if share >= COPY or answered >= ANSWER:
                 best[d, p] = max(best.get((d, p), (0.0, 0.0, 0.0)), (share, answered, cosine))
 
-        for d, p, begin, cosine in sorted(found, key=lambda x: -x[3]):
-            size = len(self.pieces.words[p])
-            look(d, p, max(doc_first[d], begin - size), min(doc_end[d], begin + PASSAGE + size), cosine, False)
+        if found:  # what can't hold half of a longer piece in order is ruled out together
+            d, p, begin = (np.array(x) for x in list(zip(*found, strict=True))[:3])
+            low, high = np.maximum(doc_first[d], begin - sizes[p]), np.minimum(doc_end[d], begin + PASSAGE + sizes[p])
+            stays = self.anchors.short[p]
+            stays[self.anchors._holding(p, low, high, self.anchors.read(feature))] = True
+            found = [(*found[i][:2], int(low[i]), int(high[i]), found[i][3]) for i in np.flatnonzero(stays).tolist()]
+        for d, p, low, high, cosine in sorted(found, key=lambda x: -x[4]):
+            look(d, p, low, high, cosine, False)
         for p, at, begin, end in self.anchors.regions(feature, doc, blocks):
             w = np.searchsorted(blocks, at, side="right") - 1
             cosine = float(window[w] @ self.vectors[p]) / max(float(length[w]), 1e-9)
