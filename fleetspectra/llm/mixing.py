@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import WORD, ranked, settled
+from fleetspectra.llm.common import WORD, in_few_parts, ranked, settled
 
 #: Most copies of a document, as the targets stop at so many times their source's size.
 MOST_COPIES = 3
@@ -138,7 +138,7 @@ def mix(
     rows = settled(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     wanted = settled(targets(sizes))
-    most_rows = wanted.agg(F.max("n_docs")).head()[0] or 0
+    most_rows, all_rows = (x or 0 for x in wanted.agg(F.max("n_docs"), F.sum("n_docs")).head())
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES))))
     ratio = F.coalesce(ratio, F.lit(1.0))
     ratio = F.when(F.abs(ratio - F.round(ratio)) < EXACT, F.round(ratio)).otherwise(ratio)
@@ -157,7 +157,8 @@ def mix(
     while True:
         last = n_blocks <= 1
 
-        made = settled(level.groupBy("source", "block").applyInPandas(_flight_at(last), schema))
+        made = level.groupBy("source", "block").applyInPandas(_flight_at(last), schema)
+        made = settled(in_few_parts(made, all_rows, block_rows))
         is_open = (F.col("share") > 0) & (F.col("share") < 1)
         part = made if last else made.where(~is_open)
         decided = part if decided is None else decided.unionByName(part)
@@ -177,8 +178,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     input's columns travel in one of their own, so their names are free.
     """
     plan = mix(docs, id_col, text_col, source_col)
+    n = plan.count()
     plan = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("total"), F.count("*").alias("peers"))
-    plan = settled(plan.select(F.struct("doc_id", "source", "size").alias("its"), "total", "peers"))
+    plan = plan.select(F.struct("doc_id", "source", "size").alias("its"), "total", "peers")
+    plan = settled(in_few_parts(plan, n))
     key = F.struct(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")
     )

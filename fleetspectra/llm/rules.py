@@ -95,7 +95,7 @@ def train(
 
     Four fifths fit the weights, the others calibrate them.
     """
-    sample = settled(labelled(docs, labels, id_col, label_col, F.lit(True), per_class))
+    sample = settled(labelled(docs, labels, id_col, label_col, F.lit(True), per_class).repartition(1))  # rows: the sample's bound
 
     def rows_of(texts: Texts) -> list[bytes]:
         return [pack(row) for row in damped(gram_counts(texts, bits))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import settled
+from fleetspectra.llm.common import in_few_parts, settled
 
 #: Number of virtual slots; it never changes, so a record's slot never does.
 SLOTS = 8192
@@ -116,7 +116,7 @@ def shard_records(
     spark = docs.sparkSession
     rows = records(docs, id_col, text_col, slots, carry)
     rows = rows if carry else settled(rows)
-    sizes = settled(slot_sizes(spark, rows, slots))
+    sizes = settled(in_few_parts(slot_sizes(spark, rows, slots), slots))
     store_map(first_map(spark, n_shards, slots), folder)
     store_map(edited(load_map(spark, folder), sizes, n_shards), folder)
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)

@@ -197,6 +197,10 @@ def by_cell(links_of: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray
     return run
 
 
+#: Partitions of the table of full anchors.
+FULL_PARTS = 4
+
+
 def in_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
     """``key, x, y, home`` and the other columns of ``rows`` (``key, home`` and any others), a cell's rows together.
 
@@ -214,6 +218,7 @@ def in_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
             "key", F.greatest(F.lit(1), F.ceil(F.col("homes") / cell_rows)).cast("int").alias("gh"),
             F.ceil(F.col("all") / cell_rows).cast("int").alias("ga"),
         )
+        .repartition(FULL_PARTS)
     )
     one = (F.lit(0).alias("x"), F.lit(0).alias("y"), "home", *more)
     if full.isEmpty():

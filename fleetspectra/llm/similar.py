@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import components, in_batches, settled, sized_join, stored
+from fleetspectra.llm.common import components, in_batches, in_few_parts, settled, sized_join, stored
 from fleetspectra.llm.simhash import COVERING, LENGTH, Code, by_cell, in_cells, one_of_each, shingle_hashes
 
 U = np.uint64
@@ -160,6 +160,10 @@ def in_bands(nodes: DataFrame) -> DataFrame:
     return sized_join(rows, shared, ["key"], "left_semi").select("key", F.lit(True).alias("home"), "fp", "wide")
 
 
+#: Pairs of a cell whose fingerprints are compared at once, so that a group of near copies takes no more memory than others.
+PAIRS = 1 << 18
+
+
 class _Parts:
     """Connected parts of the rows of one cell; equal ``fp`` are one member."""
 
@@ -177,13 +181,15 @@ class _Parts:
         else:
             after = np.full(len(self.names), -1)
         other = np.ascontiguousarray(self.wide.T)
-        step = max(1, (1 << 20) // len(self.names))
+        step = max(1, PAIRS // len(self.names))
         for k in range(0, len(at_home), step):
             part = at_home[k : k + step]
             # Half of the bits rules out nearly every pair; the rest is counted for those that are left.
             half = sum(np.bitwise_count(self.wide[part, lane, None] ^ other[lane][None, :]).astype(np.uint16) for lane in range(LANES // 2))
             i, j = np.nonzero((half <= most) & (self.label[part][:, None] != self.label[None, :]))
-            good = (j > after[part[i]]) & (np.bitwise_count(self.wide[part[i]] ^ self.wide[j]).sum(1, dtype=np.int64) <= most)
+            left = part[i]
+            bits = sum(np.bitwise_count(lane[left] ^ lane[j]).astype(np.uint16) for lane in other)
+            good = (j > after[left]) & (bits <= most)
             i, j = i[good], j[good]
             cuts = np.flatnonzero(np.diff(i)) + 1
             for a, b in zip(np.split(i, cuts), np.split(j, cuts), strict=True):
@@ -274,7 +280,7 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shing
         return step
 
     # A null id has a hash too; what only shares the id of a wanted text falls out by its number.
-    wanted = stored(members.select(F.xxhash64("first_id").alias("id")).distinct())
+    wanted = stored(in_few_parts(members.select(F.xxhash64("first_id").alias("id")).distinct(), members.count()))
     texts = docs.select(F.xxhash64(F.col(id_col).cast("bigint")).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = sized_join(texts, wanted, ["id"], "left_semi").select("text").mapInArrow(in_batches(make), "fp bigint, hashes binary")
     once = found.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("hashes").alias("hashes"))
@@ -295,14 +301,18 @@ def similar_documents(
     one with more. Null texts and texts without words are alike; repeated rows stay. No documents: no rows.
     """
     prints = stored(wide_fingerprints(docs, id_col, text_col, shingle))
+    n = prints.count()
     one = F.min(F.struct("wide", "bands")).alias("m")
-    nodes = stored(prints.groupBy("fp").agg(one, F.min("doc_id").alias("first_id")).select("fp", "first_id", "m.wide", "m.bands"))
+    nodes = prints.groupBy("fp").agg(one, F.min("doc_id").alias("first_id")).select("fp", "first_id", "m.wide", "m.bands")
+    nodes = stored(in_few_parts(nodes, n))
     cell_rows = links.__defaults__[1]
     maybe = components(links(nodes.select("fp", "wide", "bands"), similarity, cell_rows))
-    members = stored(nodes.join(maybe, F.col("fp") == F.col("node")).select("fp", "first_id", "wide", F.col("label").alias("key")))
-    sets = stored(_sets(docs, members, id_col, text_col, shingle))
+    members = nodes.join(maybe, F.col("fp") == F.col("node")).select("fp", "first_id", "wide", F.col("label").alias("key"))
+    members = stored(in_few_parts(members, n))
+    sets = stored(in_few_parts(_sets(docs, members, id_col, text_col, shingle), members.count()))
     parts = components(verified_links(sets, similarity, max(2, cell_rows // SET_SHARE)))
-    named = settled(nodes.select("fp").join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label")))
+    named = nodes.select("fp").join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    named = settled(in_few_parts(named, n))
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "label")
 
 

@@ -1,12 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fleetspectra.llm import similar, simhash, suffix
+from fleetspectra.llm import mixing, similar, simhash, suffix
 from fleetspectra.llm.common import components
 from fleetspectra.llm.queries import QUERIES
 
@@ -73,6 +75,30 @@ def test_components_of_stars_and_chains(spark):
     assert sorted(map(len, parts.values())) == [31, 40]
 
 
+def test_small_tables_are_stored_in_few_files(spark, setting, odd):
+    setting("spark.sql.shuffle.partitions", "48")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)], "a bigint, b bigint")
+    assert components(links).rdd.getNumPartitions() == 1
+    assert similar.similar_documents(odd).count() == odd.count()
+    assert mixing.mix(odd).rdd.getNumPartitions() == 1
+
+
+def test_a_large_group_of_near_copies_takes_little_memory():
+    rng = np.random.default_rng(3)
+    wide = np.repeat(rng.integers(0, 1 << 63, (1, similar.LANES)).astype(np.uint64), 4096, 0)
+    wide[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 4096).astype(np.uint64)
+    cell = pa.table({"fp": np.arange(4096), "home": np.ones(4096, bool), "wide": pa.chunked_array([similar._packed(wide)])})
+    parts = similar._Parts(cell)
+    tracemalloc.start()
+    for one, others in parts.near(similar.bits_at(0.8)):
+        parts.join(one, others)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts.star()[0]) == 4095
+    assert peak < 40e6
+
+
 def test_keep_one_with_odd_rows(odd, none):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
