@@ -66,14 +66,16 @@ def complete_spectra(
     by: Sequence[str] = (),
     start: str = "x1_quantized",
     upper: str = "x1_upper",
+    keep_above: bool = False,
 ) -> DataFrame:
     """Every vehicle with every bin from ``lo`` to ``hi``; missing counts are 0.
 
     A limit is a number, ``"min"`` or ``"max"`` of the data, or ``("p", 0.99)``
     for a quantile of the upper edges; limits from data are taken per ``by``
     group, and per spectrum where the table holds several (``ls_config_id``).
-    Rows outside the grid vanish. Other columns are null on filled
-    rows.
+    Rows outside the grid vanish; with ``keep_above`` those from ``hi`` on
+    stay as they were counted, and no vehicle is filled there. Other columns
+    are null on filled rows.
 
     A vehicle's first row also brings the empty bins: those of the grid that
     the vehicle has no row for. So the spectra are read once and shuffled
@@ -119,7 +121,8 @@ def complete_spectra(
     spread = rows.select("*", F.expr(f"explode({seeds})").alias("__seed")).drop("__taken")
     spread = spread.select("*", F.coalesce("__seed", "__own").alias("__n"))
     filled = F.col("__seed").isNotNull()
-    kept = spread.where("__n >= 0 AND __n < __size")
+    above = F.expr(f"__seed IS NULL AND `{start}` >= __hi" if keep_above else "false")
+    kept = spread.where(F.expr("__n >= 0 AND __n < __size") | above)
     rest = [
         c for c in spectra_df.columns if c not in (*keys, start, upper, "x1_interval", "count")
     ]
@@ -129,8 +132,10 @@ def complete_spectra(
         edges = [lower_edge(n, lo, width) for n in ("__n", "(__n + 1)")]
     out = kept.select(
         *keys,
-        F.expr(f"CAST({edges[0]} AS DOUBLE)").alias("interval_start"),
-        F.expr(f"CAST({edges[1]} AS DOUBLE)").alias("interval_end"),
+        *[
+            F.when(above, F.col(own).cast("double")).otherwise(F.expr(f"CAST({edge} AS DOUBLE)")).alias(name)
+            for own, edge, name in zip((start, upper), edges, ("interval_start", "interval_end"), strict=True)
+        ],
         *[F.when(~filled, F.col(f"`{c}`")).alias(c) for c in rest],
         F.when(filled, F.lit(0.0)).otherwise(F.coalesce("count", F.lit(0.0))).alias("count"),
     )

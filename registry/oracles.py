@@ -451,8 +451,10 @@ SELECT ls_config_id, quantile_disc(x1_upper, 0.99) AS upper_edge FROM x GROUP BY
         out[name] = f"WITH {ITEMS},{complete(spec, *limits, width)} SELECT * FROM c"
     out["complete_to_p99_by_group"] = (
         f"WITH {ITEMS},"
-        f"{complete(GROUPED_WEIGHT, lo, 'quantile_disc(x1_upper, 0.9)', 1000, ['sales_group'])}"
-        " SELECT * FROM c"
+        f"{complete(GROUPED_WEIGHT, lo, 'quantile_disc(x1_upper, 0.99)', 1000, ['sales_group'])}"
+        " SELECT * FROM c UNION ALL"
+        " SELECT sales_group, vin, x1_interval, x1_quantized, x1_upper, x1_signal_id, count"
+        " FROM x JOIN b USING (sales_group) WHERE x1_quantized >= hi"
     )
     out["total_distance"] = f"""
 WITH {ITEMS}, x AS ({WEIGHT_DIST})

@@ -442,7 +442,7 @@ def complete_gradient(spark, sf):
 @query
 def complete_to_p99_by_group(spark, sf):
     rows = _stored_spectra(spark, sf, WEIGHT, ("sales_group", "vin"))
-    return fs.complete_spectra(rows, "min", ("p", 0.9), 1000, by=["sales_group"])
+    return fs.complete_spectra(rows, "min", ("p", 0.99), 1000, by=["sales_group"], keep_above=True)
 
 
 @query

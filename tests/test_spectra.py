@@ -26,6 +26,8 @@ from fleetspectra.operators.translation import (
     translate_spectra,
 )
 from fleetspectra.spec import Axis, SpectrumSpec, engine_spec, vehicle_specs
+from registry.queries import QUERIES
+from registry.views import COLUMNS
 
 SF = "/root/testdata/sf0.01"
 SIGNALS = "vin string, timestamp timestamp, `20` double, `5589` double, `209_abs` double, `distance_via_speed_km` double"
@@ -183,6 +185,35 @@ def test_complete_with_limits_per_group(frame):
     }
 
 
+def test_complete_keeps_counted_rows_above_the_limit(frame):
+    df = frame(SPECTRUM, *bins("A", (2, 4), (3, 1), (9, 7), (9, 2)), *bins("B", (2, 1), (3.5, 6)), ("B", None, None, None, "t", 1.0))
+    df = df.withColumn("sales_group", F.lit(1))
+    for lo in ("min", 2):
+        got = complete_spectra(df, lo, ("p", 0.4), 1, by=["sales_group"], keep_above=True)
+        assert sorted((r.vin, r.x1_interval, r.interval_start, r.interval_end, r["count"], r.tag) for r in got.collect()) == [
+            ("A", "[2,3)", 2.0, 3.0, 4.0, "t"),
+            ("A", "[3,4)", 3.0, 4.0, 1.0, "t"),
+            ("A", "[9,10)", 9.0, 10.0, 2.0, "t"),
+            ("A", "[9,10)", 9.0, 10.0, 7.0, "t"),
+            ("B", "[2,3)", 2.0, 3.0, 1.0, "t"),
+            ("B", "[3,4)", 3.0, 4.0, 0.0, None),
+        ]
+        # The stray edge lies inside the grid, so it vanishes as before; above the limit any edge stays.
+    far = complete_spectra(df, "min", 3, 1, by=["sales_group"], keep_above=True).where("vin = 'B'")
+    assert sorted((r.interval_start, r.interval_end, r["count"]) for r in far.collect()) == [(2.0, 3.0, 1.0), (3.5, 4.5, 6.0)]
+
+
+def test_completing_to_p99_loses_no_counted_bin(spark, frame, tmp_path):
+    places = [(v, p) for v, some in {1: range(10), 2: range(10), 3: range(10, 95), 4: [99]}.items() for p in some]
+    rows = [(1, 1, v, n, 36.0, p * 1000.0 + 500, 0.0, 0.0, "N", "O", dt.datetime(2024, 1, 1)) for n, (v, p) in enumerate(places)]
+    frame(COLUMNS["lineitem"], *rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["complete_to_p99_by_group"](spark, str(tmp_path))
+    assert sorted((r.vin, int(r.interval_start) // 1000) for r in got.where("count > 0").collect()) == places
+    # 106 bins were counted: the 105th, [94000,95000), is the grid's last, and only vehicle 4 has one above it.
+    sizes = {r.vin: (r["n"], r["hi"]) for r in got.groupBy("vin").agg(F.count("*").alias("n"), F.max("interval_end").alias("hi")).collect()}
+    assert sizes == {1: (95, 95000.0), 2: (95, 95000.0), 3: (95, 95000.0), 4: (96, 100000.0)}
+
+
 def test_vehicles_of_one_group_are_dealt_over_tasks(frame, setting):
     setting("spark.sql.adaptive.enabled", "false")
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
